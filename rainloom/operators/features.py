@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,16 +46,19 @@ def add_rolling(df: DataFrame, windows: Sequence[int], stats: Sequence[str] = ("
     return over_halo(df, axis, columns, before=max(windows))
 
 
-def add_time_rolling(df: DataFrame, days: int, min_obs: int, column: str = "value", name: str | None = None,
+def add_time_rolling(df: DataFrame, days: int, min_obs: int, columns: Mapping[str, str],
                      axis: Axis = DAILY) -> DataFrame:
-    """Mean over the last ``days`` days by time, NULL with fewer than ``min_obs`` values; rows may be absent."""
-    def columns(w):
+    """Means over the last ``days`` days by time (column -> new name); rows may be absent.
+
+    NULL where fewer than ``min_obs`` values lie in the window.
+    """
+    def rolled(w):
         by_day = w.orderBy(F.datediff(F.col(axis.time), F.lit("1970-01-01").cast("date"))) \
             .rangeBetween(-(days - 1), 0)
-        return {name or f"{column}_{days}d": F.when(
-            F.count(column).over(by_day) >= min_obs, F.avg(column).over(by_day))}
+        return {name: F.when(F.count(c).over(by_day) >= min_obs, F.avg(c).over(by_day))
+                for c, name in columns.items()}
 
-    return over_halo(df, axis, columns, before=days)
+    return over_halo(df, axis, rolled, before=days)
 
 
 def add_lags(df: DataFrame, lags: Sequence[int], column: str = "value", default: float | None = None,

@@ -304,19 +304,19 @@ def a17(spark, sf):
 
 @register("a18_grid_daily_area", sql("grid", """
 WITH s AS (SELECT ts, avg(t2m) AS t2m, avg(sp) AS sp, avg(tp) AS tp FROM grid GROUP BY ts)
-SELECT CAST(ts AS DATE) AS date, round(avg(t2m), 6) AS t2m, round(avg(sp), 4) AS sp, round(sum(tp), 12) AS tp
+SELECT CAST(ts AS DATE) AS date, round(avg(t2m), 9) AS t2m, round(avg(sp), 8) AS sp, round(sum(tp), 15) AS tp
 FROM s GROUP BY 1"""))
 def a18(spark, sf):
     area = rollup.grid_daily(views.grid(spark, sf), mean=["t2m", "sp"], accumulate=["tp"])
-    return area.withColumns({"t2m": F.round("t2m", 6), "sp": F.round("sp", 4), "tp": F.round("tp", 12)})
+    return area.withColumns({"t2m": F.round("t2m", 9), "sp": F.round("sp", 8), "tp": F.round("tp", 15)})
 
 
 @register("s08_grid_cell_daily", sql("grid", """
 WITH s AS (SELECT lat, lon, ts, avg(t2m) AS t2m, avg(tp) AS tp FROM grid GROUP BY ALL)
-SELECT lat, lon, CAST(ts AS DATE) AS date, round(avg(t2m), 6) AS t2m, round(sum(tp), 12) AS tp FROM s GROUP BY ALL"""))
+SELECT lat, lon, CAST(ts AS DATE) AS date, round(avg(t2m), 9) AS t2m, round(sum(tp), 15) AS tp FROM s GROUP BY ALL"""))
 def s08(spark, sf):
     cells = rollup.grid_daily(views.grid(spark, sf), ["t2m"], ["tp"], keys=("lat", "lon"))
-    return cells.withColumns({"t2m": F.round("t2m", 6), "tp": F.round("tp", 12)})
+    return cells.withColumns({"t2m": F.round("t2m", 9), "tp": F.round("tp", 15)})
 
 
 @register("a26_station_profile", sql("region_rain", """

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainloom.operators import calendar, rollup
+from rainloom.operators import calendar, counters, features, rollup, windows
 from rainloom.session import cut_lineage
 
 SHIP_STATIONS = ["A", "N", "R"]
@@ -73,7 +73,7 @@ def region_filled(spark: SparkSession, sf: str) -> DataFrame:
     rain = region_rain(spark, sf)
     day = rollup.cross_station_mean(rain).select("date", "station_mean")
     return rain.join(day, "date").select(
-        "station", "date", F.coalesce("value", F.bround(F.coalesce("station_mean", F.lit(0.0)), 4)).alias("value"),
+        "station", "date", F.coalesce("value", F.bround(F.coalesce("station_mean", F.lit(0.0)), 6)).alias("value"),
         F.col("value").isNull().cast("int").alias("imputed"))
 
 
@@ -120,6 +120,49 @@ def station_xy(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.lit(101.0) + (key * 104729 % 2503) / 1000.0, 6).alias("lon"))
 
 
+def counter(spark: SparkSession, sf: str) -> DataFrame:
+    """Cumulative counters over the 15-minute telemetry; absent slots are absent rows."""
+    return counters.encode_counter(telemetry(spark, sf))
+
+
+def ship_counter(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters over seven years of daily rows: the daily one restarts at every row, the yearly one each year."""
+    return counters.encode_counter(ship(spark, sf), time="date")
+
+
+MODELS = {"persistence": 1, "trailing7": 7, "trailing30": 30}
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Three simple models on real days of the completed series: (model, station, date, actual, pred).
+
+    Each predicts the mean of the last n days before the date.
+    """
+    series = features.add_rolling(region_filled(spark, sf), list(MODELS.values()), include_current=False, default=0.0)
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.round(f"roll{n}", 8).alias("pred"))
+                       for m, n in MODELS.items()])
+    return series.where("imputed = 0").select("station", "date", F.col("value").alias("actual"), F.inline(models))
+
+
+def scaled_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Day, week and month sums against multiples of the trailing means: (model, scale, station, date, actual, pred)."""
+    series = features.add_rolling(region_filled(spark, sf), list(MODELS.values()), include_current=False, default=0.0)
+    series = features.add_targets(series, [1, 7, 30], start=0)
+    rows = F.array(*[
+        F.struct(F.lit(m).alias("model"), F.lit(scale).alias("scale"), F.round(f"target{h}", 6).alias("actual"),
+                 F.round(F.col(f"roll{n}") * h, 6).alias("pred"))
+        for m, n in MODELS.items() for scale, h in (("daily", 1), ("weekly", 7), ("monthly", 30))])
+    return series.select("station", "date", F.inline(rows)).where("actual IS NOT NULL")
+
+
+def lead_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Fourteen days ahead from each origin, predicted by the trailing week: adds ``horizon_day``."""
+    series = features.add_rolling(region_filled(spark, sf), [7], include_current=False, default=0.0)
+    long = windows.explode_horizon(windows.horizon_targets(series, 14))
+    return long.select("station", "date", "horizon_day", F.col("value").alias("actual"),
+                       F.round("roll7", 8).alias("pred"))
+
+
 # SQL counterparts: name -> (views it reads, statement).
 DENSE = """
 SELECT s.station, c.date, v.value
@@ -147,7 +190,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
         "SELECT station, date, coalesce(value, 0.0) AS value FROM region_dense")),
     "region_filled": (["region_rain"], """
 SELECT station, date,
-       coalesce(value, round_even(coalesce(avg(value) OVER (PARTITION BY date), 0.0), 4)) AS value,
+       coalesce(value, round_even(coalesce(avg(value) OVER (PARTITION BY date), 0.0), 6)) AS value,
        CAST(value IS NULL AS INT) AS imputed
 FROM region_rain"""),
     "telemetry": ([], """
@@ -170,6 +213,33 @@ SELECT l_shipdate AS ts, CAST(3.0 + (l_partkey % 11) * 0.25 AS DOUBLE) AS lat,
        100000.0::DOUBLE + l_quantity * 10 AS sp, l_discount * 100 - 5 AS u10, l_tax * 100 - 4 AS v10,
        l_extendedprice / 1e7 AS tp
 FROM lineitem"""),
+    "counter": (["telemetry"], """
+SELECT station, ts,
+       sum(value) OVER (PARTITION BY station, CAST(ts AS DATE) ORDER BY ts) AS raw_daily,
+       sum(value) OVER (PARTITION BY station, year(ts) ORDER BY ts) AS raw_yearly
+FROM telemetry"""),
+    "ship_counter": (["ship"], """
+SELECT station, date, value AS raw_daily, sum(value) OVER (PARTITION BY station, year(date) ORDER BY date) AS raw_yearly
+FROM ship"""),
+    "rolled": (["region_filled"], "SELECT *, " + ", ".join(
+        f"coalesce(avg(value) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 0.0) AS roll{n}"
+        for n in (1, 7, 30)) + ", " + ", ".join(
+        f"CASE WHEN count(*) OVER (w ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING) = {h} THEN "
+        f"sum(value) OVER (w ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING) END AS target{h}" for h in (1, 7, 30))
+        + ", row_number() OVER w AS rn, count(*) OVER (PARTITION BY station) AS n_rows"
+        + " FROM region_filled WINDOW w AS (PARTITION BY station ORDER BY date)"),
+    "predictions": (["rolled"], " UNION ALL ".join(
+        f"SELECT '{m}' AS model, station, date, value AS actual, round(roll{n}, 8) AS pred FROM rolled WHERE imputed = 0"
+        for m, n in (("persistence", 1), ("trailing7", 7), ("trailing30", 30)))),
+    "scaled_predictions": (["rolled"], " UNION ALL ".join(
+        f"SELECT '{m}' AS model, '{scale}' AS scale, station, date, round(target{h}, 6) AS actual, "
+        f"round(roll{n} * {h}, 6) AS pred FROM rolled WHERE target{h} IS NOT NULL"
+        for m, n in (("persistence", 1), ("trailing7", 7), ("trailing30", 30))
+        for scale, h in (("daily", 1), ("weekly", 7), ("monthly", 30)))),
+    "lead_predictions": (["rolled"], """
+SELECT a.station, a.date, CAST(k AS INT) AS horizon_day, b.value AS actual, round(a.roll7, 8) AS pred
+FROM rolled a CROSS JOIN (SELECT unnest(generate_series(1, 14)) AS k)
+JOIN rolled b ON b.station = a.station AND b.rn = a.rn + k - 1 WHERE a.rn <= a.n_rows - 13"""),
     "station_xy": ([], """
 SELECT c_custkey AS station, round(3.0::DOUBLE + (c_custkey * 7919 % 2501) / 1000.0::DOUBLE, 6) AS lat,
        round(101.0::DOUBLE + (c_custkey * 104729 % 2503) / 1000.0::DOUBLE, 6) AS lon
