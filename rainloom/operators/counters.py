@@ -64,13 +64,12 @@ def fill_gaps(classified: DataFrame, slot_minutes: int = 15) -> DataFrame:
     monotonically the total sits on the first slot after the gap, the absent
     slots are 0.  Slots of long gaps, and the total that ends one, are NULL.
     """
-    grid = densify(classified.select("station", "ts", "increment", "gap_class", "resumed"),
-                   time="ts", minutes=slot_minutes)
-    seen = F.when(F.col("gap_class").isNotNull() | F.col("increment").isNotNull(),
-                  F.struct("gap_class", "resumed"))
-    known = carry(grid.withColumn("_seen", F.col("resumed").isNotNull()), slots(slot_minutes), next={"_next": seen})
-    absent = F.col("resumed").isNull()
+    seen = classified.select("station", "ts", "increment", "gap_class", "resumed", F.lit(True).alias("_seen"))
+    grid = densify(seen, time="ts", minutes=slot_minutes)
+    after = F.when(F.col("_seen"), F.struct("gap_class", "resumed"))
+    known = carry(grid, slots(slot_minutes), next={"_next": after})
     kind = F.col("_next.gap_class")
-    value = (F.when(~absent, F.when(F.col("gap_class") == "long", F.lit(None)).otherwise(F.col("increment")))
-             .when(kind == "short", F.lit(0.0)).when((kind == "medium") & F.col("_next.resumed"), F.lit(0.0)))
+    own = F.when(F.col("gap_class").isNull() | (F.col("gap_class") != "long"), F.col("increment"))
+    dry = (kind == "short") | ((kind == "medium") & F.col("_next.resumed"))
+    value = F.when(F.col("_seen"), own).when(dry, F.lit(0.0))
     return known.select("station", "ts", value.alias("increment"))

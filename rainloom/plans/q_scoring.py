@@ -195,7 +195,7 @@ def m15(spark, sf):
 
 
 @register("f15_hurdle_gate", sql("region_filled", """
-SELECT station, date, round(CASE WHEN p > 0.4 THEN amount ELSE 0.0 END, 6) AS gated
+SELECT station, date, round(CASE WHEN p > 0.4 THEN amount ELSE 0.0 END, 10) AS gated
 FROM (SELECT station, date, avg(CAST(value > 0 AS INT)) OVER w AS p, avg(value) OVER w AS amount FROM region_filled
       WINDOW w AS (PARTITION BY station ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
 WHERE p IS NOT NULL"""))
@@ -204,7 +204,7 @@ def f15(spark, sf):
     out = features.add_rolling(wet, [30], include_current=False)
     out = features.add_rolling(out, [30], column="wet", include_current=False, prefix="p_")
     return out.where("p_roll30 IS NOT NULL").select(
-        "station", "date", F.round(fx.gate(F.col("roll30"), F.col("p_roll30"), 0.4), 6).alias("gated"))
+        "station", "date", F.round(fx.gate(F.col("roll30"), F.col("p_roll30"), 0.4), 10).alias("gated"))
 
 
 LOSS_SQL = """

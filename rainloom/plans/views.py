@@ -150,7 +150,7 @@ def scaled_predictions(spark: SparkSession, sf: str) -> DataFrame:
     series = features.add_targets(series, [1, 7, 30], start=0)
     rows = F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(scale).alias("scale"), F.round(f"target{h}", 6).alias("actual"),
-                 F.round(F.col(f"roll{n}") * h, 6).alias("pred"))
+                 F.round(F.col(f"roll{n}") * h, 10).alias("pred"))
         for m, n in MODELS.items() for scale, h in (("daily", 1), ("weekly", 7), ("monthly", 30))])
     return series.select("station", "date", F.inline(rows)).where("actual IS NOT NULL")
 
@@ -233,7 +233,7 @@ FROM ship"""),
         for m, n in (("persistence", 1), ("trailing7", 7), ("trailing30", 30)))),
     "scaled_predictions": (["rolled"], " UNION ALL ".join(
         f"SELECT '{m}' AS model, '{scale}' AS scale, station, date, round(target{h}, 6) AS actual, "
-        f"round(roll{n} * {h}, 6) AS pred FROM rolled WHERE target{h} IS NOT NULL"
+        f"round(roll{n} * {h}, 10) AS pred FROM rolled WHERE target{h} IS NOT NULL"
         for m, n in (("persistence", 1), ("trailing7", 7), ("trailing30", 30))
         for scale, h in (("daily", 1), ("weekly", 7), ("monthly", 30)))),
     "lead_predictions": (["rolled"], """
