@@ -89,7 +89,7 @@ def station_encoding(frame: DataFrame, train: Column, value: str = "value") -> t
     return frame.join(encoded.na.fill(0.0), "station"), ["st_mean", "st_wet"]
 
 
-def _regressor(names: Sequence[str], label: str, s: TreeSettings, seed: int, prediction: str = "prediction",
+def regressor(names: Sequence[str], label: str, s: TreeSettings, seed: int, prediction: str = "prediction",
                weight: str | None = None, validation: str | None = None) -> Pipeline:
     model = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol=prediction, maxIter=s.rounds,
                          maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.subsample, maxBins=s.bins, seed=seed,
@@ -147,17 +147,17 @@ def fit_hurdle(frame: DataFrame, names: Sequence[str], value: str = "value", val
         rows = rows.withColumn("_w", F.col("_w") * extreme_weight(F.col("_log") / top, alpha))
     rows = cut_lineage(rows.select(*names, "_wet", "_log", "_w", *([validation] if validation else [])))
     classifier = GBTClassifier(
-        featuresCol="_features", labelCol="_wet", predictionCol="_class", probabilityCol="_probability",
-        rawPredictionCol="_raw", weightCol="_w", maxIter=settings.rounds, maxDepth=settings.depth,
-        stepSize=settings.step, subsamplingRate=settings.subsample, maxBins=settings.bins, seed=seed,
-        validationTol=settings.tolerance)
+        featuresCol="_features", labelCol="_wet", predictionCol="_class", weightCol="_w", maxIter=settings.rounds,
+        maxDepth=settings.depth, stepSize=settings.step, subsamplingRate=settings.subsample, maxBins=settings.bins,
+        seed=seed, validationTol=settings.tolerance)
+    classifier.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     if validation:
         classifier.setValidationIndicatorCol(validation)
     occurrence = Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="_features"), classifier])
     wet = rows.where("_wet = 1.0")
     return HurdleModel(
         occurrence.fit(rows),
-        _regressor(names, "_log", settings, seed, "_amount", "_w", validation).fit(wet), gate)
+        regressor(names, "_log", settings, seed, "_amount", "_w", validation).fit(wet), gate)
 
 
 def fit_hurdle_per_station(frame: DataFrame, names: Sequence[str], stations: Sequence[str], parallel: int = 2,
@@ -176,7 +176,7 @@ def fit_horizons(frame: DataFrame, names: Sequence[str], horizons: Sequence[int]
                  weight: Column | None = None) -> dict[int, PipelineModel]:
     """One regressor per horizon on ``log1p(target{h})``; rows with an incomplete target are left out."""
     rows = cut_lineage(frame.withColumn("_w", F.lit(1.0) if weight is None else weight))
-    return {h: _regressor(names, "_y", settings, seed, weight="_w").fit(
+    return {h: regressor(names, "_y", settings, seed, weight="_w").fit(
         rows.where(F.col(f"target{h}").isNotNull()).withColumn("_y", F.log1p(f"target{h}"))) for h in horizons}
 
 
@@ -200,7 +200,7 @@ def lead_frame(frame: DataFrame, horizon: int = 14) -> DataFrame:
 def fit_lead_model(rows: DataFrame, names: Sequence[str], settings: TreeSettings = TreeSettings(),
                    seed: int = 42) -> PipelineModel:
     labelled = cut_lineage(rows.select(*names, "lead", F.log1p("value").alias("_y")))
-    return _regressor([*names, "lead"], "_y", settings, seed).fit(labelled)
+    return regressor([*names, "lead"], "_y", settings, seed).fit(labelled)
 
 
 # ---------------------------------------------------------------- learned imputer
@@ -280,7 +280,7 @@ def search(train: DataFrame, validation: DataFrame, names: Sequence[str], label:
     settings = [dict(zip(grid, values)) for values in product(*grid.values())]
 
     def score(choice: dict) -> tuple:
-        model = _regressor(names, label, TreeSettings(**{**base.__dict__, **choice}), seed).fit(fit_rows)
+        model = regressor(names, label, TreeSettings(**{**base.__dict__, **choice}), seed).fit(fit_rows)
         error = F.col("prediction") - F.col(label)
         loss = model.transform(check_rows).agg(F.sqrt(F.avg(error * error)).alias("rmse")).first()["rmse"]
         return (*[float(choice[k]) for k in grid], loss)

@@ -109,9 +109,8 @@ def quantile_map(train: DataFrame, other: DataFrame, keys: Sequence[str] = ("sta
         other.where(F.col(pred).isNotNull()).select(*keys, F.col(pred).alias("_v"), F.lit(0).cast("long").alias("_c")))
     values = points.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
     below = ordered_prefix(values, keys, ["_v"], value_bucket(F.col("_v")), F.col("_c"), "_below", "_n")
-    position = F.when(F.col("_n") > 1, F.least(F.col("_below"), F.col("_n") - 1).cast("double"))
-    spots = below.select(*keys, F.col("_v").alias(pred), F.coalesce(position, F.lit(0.0)).alias("_pos"))
+    spots = below.select(*keys, F.col("_v").alias(pred), F.least(F.col("_below"), F.col("_n") - 1).alias("_i"))
     ladder = ordered_prefix(fitted.select(*keys, time, F.col(actual).alias("_a")), keys, ["_a", time],
                             value_bucket(F.col("_a")), before="_i", total="_m").select(*keys, "_i", "_a")
-    placed = other.join(spots, [*keys, pred], "left").withColumn("_i", F.floor("_pos"))
-    return placed.join(ladder, [*keys, "_i"], "left").withColumn(name, F.col("_a")).drop("_i", "_pos", "_a")
+    placed = other.join(spots, [*keys, pred], "left")
+    return placed.join(ladder, [*keys, "_i"], "left").withColumn(name, F.col("_a")).drop("_i", "_m", "_a")

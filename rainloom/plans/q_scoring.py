@@ -272,10 +272,12 @@ def s11(spark, sf):
     return wide_predictions(rows, ["s0", "s1", "s2"], ["daily", "weekly", "monthly"])
 
 
-@register("s12_horizon_predictions", sql("lead_predictions", """
-SELECT station, date + CAST(horizon_day - 1 AS INT) AS forecast_date, horizon_day, actual,
-       pred AS predicted, date AS origin FROM lead_predictions"""))
+@register("s12_horizon_predictions", sql("lead_predictions", "SELECT date, horizon_day, "
+          "date + CAST(horizon_day - 1 AS INT) AS forecast_date, " + ", ".join(
+    f"max(CASE WHEN station = '{s}' THEN {v} END) AS s{s}_{n}" for s in views.REGION_STATIONS
+    for v, n in (("actual", "actual"), ("pred", "predicted"))) + " FROM lead_predictions GROUP BY date, horizon_day"))
 def s12(spark, sf):
-    rows = views.lead_predictions(spark, sf)
-    return rows.select("station", F.date_add("date", F.col("horizon_day") - 1).alias("forecast_date"), "horizon_day",
-                       "actual", F.col("pred").alias("predicted"), F.col("date").alias("origin"))
+    from rainloom.sources.sinks import horizon_predictions
+
+    rows = views.lead_predictions(spark, sf).withColumn("station", F.concat(F.lit("s"), "station"))
+    return horizon_predictions(rows, [f"s{s}" for s in views.REGION_STATIONS])

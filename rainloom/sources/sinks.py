@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,16 +42,32 @@ def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def results_map(df: DataFrame, key: str = "station") -> DataFrame:
-    """Small result table as one JSON object ``{station: {metric: value}}``, one row per station group."""
+    """One JSON text row ``{"<station>": {metric: value}}`` per station."""
     fields = F.struct(*[c for c in df.columns if c != key])
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col(key), fields)))
-    return df.agg(F.to_json(entries, {"ignoreNullFields": "false"}).alias("results"))
+    return df.select(F.to_json(F.create_map(F.col(key), fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def save_model(model, path: str, params: DataFrame | None = None, features: Sequence[str] = ()) -> None:
+def horizon_predictions(df: DataFrame, stations: Sequence[str], time: str = "date") -> DataFrame:
+    """``(station, date, horizon_day, actual, pred)`` to rows per forecast date and lead day."""
+    def cell(s: str, c: str) -> Column:
+        return F.max(F.when(F.col("station") == s, F.col(c)))
+
+    rows = df.where(F.col("station").isin(list(stations))).groupBy(time, "horizon_day").agg(*[
+        cell(s, c).alias(f"{s}_{n}") for s in stations for c, n in (("actual", "actual"), ("pred", "predicted"))])
+    return rows.withColumn("forecast_date", F.date_add(F.col(time), F.col("horizon_day") - 1))
+
+
+def save_model(model: PipelineModel, path: str, params: DataFrame | None = None,
+               features: Sequence[str] = ()) -> None:
     """Fitted pipeline, its scaler parameters and its ordered feature list under one folder."""
     model.write().overwrite().save(f"{path}/model")
     if params is not None:
         params.write.mode("overwrite").parquet(f"{path}/scaler")
-        params.sparkSession.createDataFrame([(i, c) for i, c in enumerate(features)], "position int, name string") \
-            .coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+        listed = params.sparkSession.createDataFrame(list(enumerate(features)), "position int, name string")
+        listed.write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, list[str]]:
+    """What :func:`save_model` stored: model, scaler parameters, ordered feature names."""
+    names = [r["name"] for r in spark.read.parquet(f"{path}/features").orderBy("position").collect()]
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/scaler"), names
