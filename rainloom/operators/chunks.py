@@ -123,11 +123,6 @@ def previous_row(df: DataFrame, axis: Axis, fields: Sequence[str], name: str = "
     return carry(df, axis, last={name: F.struct(*fields)}, strict=True)
 
 
-def value_bucket(value: Column, resolution: int = 256) -> Column:
-    """Monotone coarse code of a number, fine enough to spread skewed amounts."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(resolution)).cast("long")
-
-
 def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
                    weight: Column | None = None, before: str = "before", total: str = "total") -> DataFrame:
     """Add how much weight precedes the row inside its key, and the key's total weight.

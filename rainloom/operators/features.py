@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
 from rainloom.operators.chunks import DAILY, Axis, carry, over_halo
+from rainloom.operators.joins import join_stats
 
 
 def _rolling_stat(stat: str, x: Column, threshold: float) -> Column:
@@ -140,7 +141,7 @@ def add_calendar_parts(df: DataFrame, time: str = "ts") -> DataFrame:
 def add_station_mean(df: DataFrame) -> DataFrame:
     """Mean of all stations of the date as a feature: aggregated first, then joined."""
     means = df.groupBy("date").agg(F.avg("value").alias("station_mean"))
-    return df.join(means, "date")
+    return join_stats(df, means, ["date"])
 
 
 def engineered_daily(df: DataFrame, windows: Sequence[int] = (3, 7, 14), lags: Sequence[int] = (3, 7, 14),

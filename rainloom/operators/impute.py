@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
 from rainloom.operators.chunks import DAILY, Axis, carry
+from rainloom.operators.joins import join_stats
 from rainloom.operators.quality import with_overall
 
 
@@ -40,13 +41,13 @@ def candidates(df: DataFrame, method: str, value: str = "value", axis: Axis = DA
     x = F.col(value)
     if method == "station_mean":
         means = df.groupBy(*axis.keys).agg(F.avg(x).alias("candidate"))
-        return df.join(means, list(axis.keys))
+        return join_stats(df, means, axis.keys)
     if method == "date_mean":
         means = df.groupBy(axis.time).agg(F.avg(x).alias("candidate"))
-        return df.join(means, axis.time)
+        return join_stats(df, means, [axis.time])
     if method == "month_climatology":
         means = df.groupBy(*axis.keys, F.month(axis.time).alias("_m")).agg(F.avg(x).alias("candidate"))
-        return df.withColumn("_m", F.month(axis.time)).join(means, [*axis.keys, "_m"]).drop("_m")
+        return join_stats(df.withColumn("_m", F.month(axis.time)), means, [*axis.keys, "_m"]).drop("_m")
     if method == "forward_fill":
         return carry(df, axis, last={"candidate": x})
     if method == "linear":

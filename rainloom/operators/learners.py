@@ -23,6 +23,7 @@ from rainloom.functions import scalars as fx
 from rainloom.operators import features as feat
 from rainloom.operators import impute, scaling
 from rainloom.operators.chunks import DAILY, Axis, ordered_prefix, over_halo
+from rainloom.operators.joins import join_stats
 from rainloom.operators.windows import explode_horizon, horizon_targets, offset_columns
 from rainloom.session import cut_lineage
 
@@ -59,7 +60,7 @@ def tabular_features(series: DataFrame, covariates: DataFrame | None = None, lag
                      axis: Axis = DAILY) -> tuple[DataFrame, list[str]]:
     """Causal feature frame: own lags and trailing means, basin lags, seasons, covariates; gaps are 0."""
     basin = series.groupBy("date").agg(F.avg("value").alias("_basin"))
-    joined = series.join(basin, "date")
+    joined = join_stats(series, basin, ["date"])
 
     def columns(w):
         out = {f"lag{k}": F.coalesce(F.lag("value", k).over(w), F.lit(0.0)) for k in lags}
@@ -86,7 +87,7 @@ def station_encoding(frame: DataFrame, train: Column, value: str = "value") -> t
     x = F.when(train, F.col(value))
     encoded = frame.groupBy("station").agg(F.avg(x).alias("st_mean"),
                                            F.avg((x > 0).cast("double")).alias("st_wet"))
-    return frame.join(encoded.na.fill(0.0), "station"), ["st_mean", "st_wet"]
+    return join_stats(frame, encoded.na.fill(0.0), ["station"]), ["st_mean", "st_wet"]
 
 
 def regressor(names: Sequence[str], label: str, s: TreeSettings, seed: int, prediction: str = "prediction",
@@ -222,13 +223,12 @@ class LearnedImputer:
         """Feature rows in log-min-max space, built only from the values in ``known``."""
         scaled = scaling.scale(df.withColumn("x", F.log1p(known)), self.params, ["x"], suffix="_own")
         near = offset_columns(scaled, self.half, "x_own", "x")
-        day = scaled.groupBy("date").agg(F.sum("x_own").alias("_sum"), F.count("x_own").alias("_n"),
-                                         F.max("x_own").alias("_max"))
+        day = scaled.groupBy("date").agg(F.sum("x_own").alias("_sum"), F.count("x_own").alias("_n"))
         own, n = F.coalesce("x_own", F.lit(0.0)), F.col("_n") - F.col("x_own").isNotNull().cast("long")
-        others = near.join(day, "date", "left").withColumns({
+        others = join_stats(near, day, ["date"], "left").withColumns({
             "others_n": n.cast("double"),
             "others_mean": F.when(n > 0, (F.col("_sum") - own) / n).otherwise(0.0)})
-        return feat.add_seasonal(others.drop("_sum", "_n", "_max"))
+        return feat.add_seasonal(others.drop("_sum", "_n"))
 
     def fit(self, df: DataFrame, known: str = "value") -> "LearnedImputer":
         """Train on cells where ``known`` is present; a cell's own value is never among its features."""

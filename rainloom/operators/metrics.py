@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rainloom.functions import scalars as fx
 from rainloom.operators.chunks import DAILY, Axis
 from rainloom.operators.features import add_time_rolling
+from rainloom.operators.joins import join_stats
 from rainloom.operators.quality import with_overall
 
 
@@ -104,7 +105,7 @@ def climatology(df: DataFrame, train: Column, value: str = "value", threshold: f
     fitted = df.where(train).groupBy("station").agg(
         F.avg(x).alias("clim_mean"),
         (F.count_if(x > threshold) * 2 > F.count(x)).cast("int").alias("clim_wet"))
-    return df.where(~train).join(fitted, "station")
+    return join_stats(df.where(~train), fitted, ["station"])
 
 
 def blend(predictions: DataFrame, weights: dict[str, float], name: str = "blend",

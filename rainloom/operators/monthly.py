@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
-from rainloom.operators.chunks import ordered_prefix, value_bucket
+from rainloom.operators.chunks import ordered_prefix
+from rainloom.operators.joins import join_stats
+from rainloom.operators.ranks import with_value_bucket
 
 # Ridge penalties tried, and the cap of log amounts.
 ALPHAS = (0.5, 1.0, 5.0, 10.0, 50.0)
@@ -74,7 +76,7 @@ def correct_bias(df: DataFrame, train: Column, target: str, fitted: str = "fitte
     """Subtract the mean training residual of the group."""
     residual = F.when(train, F.col(fitted) - F.col(target))
     bias = df.groupBy(*by).agg(F.avg(residual).alias("bias"))
-    return df.join(bias, list(by)).withColumn(fitted, F.col(fitted) - F.coalesce("bias", F.lit(0.0)))
+    return join_stats(df, bias, by).withColumn(fitted, F.col(fitted) - F.coalesce("bias", F.lit(0.0)))
 
 
 def amount_from_log(fitted: Column, cap: float = LOG_CAP) -> Column:
@@ -108,9 +110,9 @@ def quantile_map(train: DataFrame, other: DataFrame, keys: Sequence[str] = ("sta
     points = fitted.select(*keys, F.col(pred).alias("_v"), F.lit(1).cast("long").alias("_c")).unionByName(
         other.where(F.col(pred).isNotNull()).select(*keys, F.col(pred).alias("_v"), F.lit(0).cast("long").alias("_c")))
     values = points.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
-    below = ordered_prefix(values, keys, ["_v"], value_bucket(F.col("_v")), F.col("_c"), "_below", "_n")
+    below = ordered_prefix(with_value_bucket(values, keys, "_v"), keys, ["_v"], F.col("_vb"), F.col("_c"), "_below", "_n")
     spots = below.select(*keys, F.col("_v").alias(pred), F.least(F.col("_below"), F.col("_n") - 1).alias("_i"))
-    ladder = ordered_prefix(fitted.select(*keys, time, F.col(actual).alias("_a")), keys, ["_a", time],
-                            value_bucket(F.col("_a")), before="_i", total="_m").select(*keys, "_i", "_a")
+    known = with_value_bucket(fitted.select(*keys, time, F.col(actual).alias("_a")), keys, "_a")
+    ladder = ordered_prefix(known, keys, ["_a", time], F.col("_vb"), before="_i", total="_m").select(*keys, "_i", "_a")
     placed = other.join(spots, [*keys, pred], "left")
     return placed.join(ladder, [*keys, "_i"], "left").withColumn(name, F.col("_a")).drop("_i", "_m", "_a")

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rainloom.operators.joins import join_stats
+
 OVERALL = "OVERALL"
 
 
@@ -69,7 +71,7 @@ def real_observations(df: DataFrame) -> DataFrame:
 def with_eligibility(df: DataFrame, max_missing: int = 4) -> DataFrame:
     """Mark cells that may be imputed: missing, on a date with fewer than ``max_missing`` gaps."""
     gaps = df.groupBy("date").agg(F.count_if(F.col("value").isNull()).alias("n_missing"))
-    return df.join(gaps, "date").withColumn(
+    return join_stats(df, gaps, ["date"]).withColumn(
         "eligible", (F.col("value").isNull() & (F.col("n_missing") < max_missing)).cast("int"))
 
 
@@ -107,9 +109,10 @@ def cooccurrence(df: DataFrame, stations: Sequence[str]) -> DataFrame:
     return sums.select(F.inline(rows))
 
 
-def missing_patterns(df: DataFrame) -> DataFrame:
-    """How many dates share the same set of missing stations."""
-    pattern = F.array_join(F.array_sort(F.collect_set(F.when(F.col("value").isNull(), F.col("station")))), "+")
+def missing_patterns(df: DataFrame, stations: Sequence[str]) -> DataFrame:
+    """How many dates share the same set of missing stations, among the named ones."""
+    gone = {s: F.max(F.when(F.col("station") == s, F.col("value").isNull())) for s in sorted(stations)}
+    pattern = F.concat_ws("+", *[F.when(F.coalesce(g, F.lit(True)), F.lit(s)) for s, g in gone.items()])
     per_date = df.groupBy("date").agg(pattern.alias("pattern"))
     return per_date.groupBy("pattern").agg(F.count("*").alias("n_dates"))
 

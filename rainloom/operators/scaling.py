@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
+from rainloom.operators.joins import join_stats
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "minmax", where: Column | None = None,
@@ -37,7 +38,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "minmax", wher
 
 def _apply(df: DataFrame, params: DataFrame, columns: Sequence[str], keys: Sequence[str], forward, suffix: str):
     if keys:
-        joined = df.join(params, list(keys))
+        joined = join_stats(df, params, keys)
         pick = F.col
     else:
         joined = df

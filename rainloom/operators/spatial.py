@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
+from rainloom.session import cut_lineage
 
 
 def bounding_box(grid: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
@@ -26,9 +27,9 @@ def nearest_cell(stations: DataFrame, grid: DataFrame, resolution: float = 0.25,
     Ties go to the lower latitude, then longitude.  Longitudes do not wrap.
     """
     res = F.lit(float(resolution))
-    cells = grid.select("lat", "lon").distinct().select(
+    cells = cut_lineage(grid.select("lat", "lon").distinct().select(
         F.round(F.col("lat") / res).cast("long").alias("_i"), F.round(F.col("lon") / res).cast("long").alias("_j"),
-        F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
+        F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon")))
     open_stations = stations.select(
         *keys, "lat", "lon", F.round(F.col("lat") / res).cast("long").alias("_si"),
         F.round(F.col("lon") / res).cast("long").alias("_sj"))
@@ -39,9 +40,10 @@ def nearest_cell(stations: DataFrame, grid: DataFrame, resolution: float = 0.25,
         wanted = open_stations.withColumn("_di", F.explode(offsets)).withColumn("_dj", F.explode(offsets)) \
             .withColumns({"_i": F.col("_si") + F.col("_di"), "_j": F.col("_sj") + F.col("_dj")})
         distance = fx.haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
-        best = wanted.join(cells, ["_i", "_j"], "left").withColumn("_d", distance) \
+        best = cut_lineage(
+            wanted.join(cells, ["_i", "_j"], "left").withColumn("_d", distance)
             .groupBy(*keys, "lat", "lon", "_si", "_sj").agg(F.min(F.when(F.col("_d").isNotNull(), F.struct(
-                "_d", "cell_lat", "cell_lon"))).alias("_best"))
+                "_d", "cell_lat", "cell_lon"))).alias("_best")))
         reach = (ring + 0.5) * resolution
         if reach < 90:
             outside = F.least(F.lit(fx.EARTH_RADIUS_KM * math.radians(reach)),

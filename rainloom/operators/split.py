@@ -18,12 +18,11 @@ def holdout_cells(df: DataFrame, fraction: float = 0.2, seed: int = 42, value: s
     rank bucket, so no task sorts a whole station.
     """
     code = F.md5(F.concat_ws("|", *keys, F.col(time).cast("string"), F.lit(str(seed))))
-    observed = df.withColumn("_code", F.when(F.col(value).isNotNull(), code))
-    known = observed.where("_code IS NOT NULL").select(*keys, time, "_code")
-    ranked = ordered_prefix(known, keys, ["_code"], F.substring("_code", 1, 3), before="_rank", total="_n")
-    picked = ranked.where(F.col("_rank") < F.floor(F.col("_n") * F.lit(float(fraction)))) \
-        .select(*keys, time, F.lit(1).alias("holdout"))
-    return df.join(picked, [*keys, time], "left").withColumn("holdout", F.coalesce("holdout", F.lit(0)))
+    observed = F.col(value).isNotNull().cast("long")
+    ranked = ordered_prefix(df.withColumn("_code", code), keys, ["_code"], F.substring("_code", 1, 3), observed,
+                            before="_rank", total="_n")
+    picked = F.col(value).isNotNull() & (F.col("_rank") < F.floor(F.col("_n") * F.lit(float(fraction))))
+    return ranked.withColumn("holdout", picked.cast("int")).drop("_code", "_rank", "_n")
 
 
 def ranked_dates(df: DataFrame, time: str = "date") -> DataFrame:
@@ -41,26 +40,29 @@ def _edges(fractions: tuple[float, float], second: str) -> tuple[Column, Column]
     return train, train + F.floor(n * F.lit(float(fractions[1])))
 
 
-def chronological_split(df: DataFrame, fractions: tuple[float, float] = (0.70, 0.15), time: str = "date",
-                        second: str = "separate") -> DataFrame:
-    """Label rows train / val / test by the ordinal of their date.
+def cut_dates(df: DataFrame, fractions: tuple[float, float] = (0.70, 0.15), time: str = "date",
+              second: str = "separate") -> DataFrame:
+    """One row: first validation date and first test date.
 
-    ``second='separate'`` takes ``int(n*f2)`` rows for validation,
+    ``second='separate'`` takes ``int(n*f2)`` dates for validation,
     ``'cumulative'`` cuts at ``int(n*(f1+f2))``.
     """
     train, val = _edges(fractions, second)
-    o = F.col("ordinal")
-    labels = ranked_dates(df, time).select(
-        time, F.when(o < train, "train").when(o < val, "val").otherwise("test").alias("split"))
-    return df.join(labels, time)
+    never = F.lit("9999-12-31").cast("date")
+    return ranked_dates(df, time).agg(
+        F.coalesce(F.max(F.when(F.col("ordinal") == train, F.col(time))), never).alias("val_from"),
+        F.coalesce(F.max(F.when(F.col("ordinal") == val, F.col(time))), never).alias("test_from"))
 
 
-def cut_dates(df: DataFrame, fractions: tuple[float, float] = (0.70, 0.15), time: str = "date") -> DataFrame:
-    """One row: first validation date and first test date."""
-    train, val = _edges(fractions, "separate")
-    return ranked_dates(df, time).agg(
-        F.max(F.when(F.col("ordinal") == train, F.col(time))).alias("val_from"),
-        F.max(F.when(F.col("ordinal") == val, F.col(time))).alias("test_from"))
+def chronological_split(df: DataFrame, fractions: tuple[float, float] = (0.70, 0.15), time: str = "date",
+                        second: str = "separate") -> DataFrame:
+    """Label rows train / val / test by the ordinal of their date.
+
+    The two cut dates come from a small sub-query, so the rows themselves are
+    neither joined nor shuffled.
+    """
+    cuts = cut_dates(df, fractions, time, second)
+    return date_split(df, cuts.select("val_from").scalar(), cuts.select("test_from").scalar(), time)
 
 
 def date_split(df: DataFrame, val_from: Column, test_from: Column, time: str = "date") -> DataFrame:
@@ -69,11 +71,6 @@ def date_split(df: DataFrame, val_from: Column, test_from: Column, time: str = "
     return df.withColumn("split", F.when(t < val_from, "train").when(t < test_from, "val").otherwise("test"))
 
 
-def global_date_split(df: DataFrame, fractions: tuple[float, float] = (0.70, 0.15), time: str = "date") -> DataFrame:
-    cuts = cut_dates(df, fractions, time)
-    return date_split(df, cuts.select("val_from").scalar(), cuts.select("test_from").scalar(), time)
-
-
 def evenly_spaced(df: DataFrame, k: int, time: str = "date") -> DataFrame:
     """The ``k`` dates at evenly spaced ordinals, first and last included."""
     if k < 2:

@@ -8,7 +8,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.operators.chunks import DAILY, Axis, ordered_prefix, over_halo, value_bucket
+from rainloom.operators.chunks import DAILY, Axis, ordered_prefix, over_halo
+from rainloom.operators.joins import join_stats
+from rainloom.operators.ranks import with_value_bucket
+from rainloom.session import cut_lineage
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -18,8 +21,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     Distinct values are counted first and positions are found in cumulative
     counts, so neither a hot key nor its distinct values sit in one buffer.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    placed = ordered_prefix(counts, keys, [value], value_bucket(F.col(value)), F.col("_n"), "_before", "_total")
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
+    coded = with_value_bucket(counts, keys, value)
+    placed = ordered_prefix(coded, keys, [value], F.col("_vb"), F.col("_n"), "_before", "_total")
 
     def at(position: Column) -> Column:
         here = (F.col("_before") <= position) & (position < F.col("_before") + F.col("_n"))
@@ -69,12 +73,13 @@ def lag_rank_correlation(df: DataFrame, lags: Sequence[int], value: str = "value
 
     pairs = over_halo(df, axis, columns, before=max(lags)).select(
         *axis.keys, F.col(value).alias("x"), F.inline("_pairs")).where("x IS NOT NULL AND y IS NOT NULL")
-    merged = pairs.groupBy(*axis.keys, "lag", "x", "y").agg(F.count("*").alias("_w"))
+    merged = cut_lineage(pairs.groupBy(*axis.keys, "lag", "x", "y").agg(F.count("*").alias("_w")))
     by = [*axis.keys, "lag"]
 
     def ranks(side: str) -> DataFrame:
         counts = merged.groupBy(*by, side).agg(F.sum("_w").alias("_n"))
-        placed = ordered_prefix(counts, by, [side], value_bucket(F.col(side)), F.col("_n"), "_before", "_total")
+        coded = with_value_bucket(counts, by, side)
+        placed = ordered_prefix(coded, by, [side], F.col("_vb"), F.col("_n"), "_before", "_total")
         middle = F.col("_before") + (F.col("_n") + 1) / 2 - (F.col("_total") + 1) / 2
         return placed.select(*by, side, middle.alias(f"_r{side}"))
 
@@ -95,7 +100,7 @@ def histogram(df: DataFrame, by: Sequence[str], value: str = "value", bins: int
     # Distinct values are merged first: repeated amounts travel as one row.
     merged = known.groupBy(*by, x.alias("_x")).agg(F.count("*").alias("_c"))
     spot = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
-    placed = merged.join(ranges, list(by)).withColumn("bin", spot.cast("int"))
+    placed = join_stats(merged, ranges, by).withColumn("bin", spot.cast("int"))
     return placed.groupBy(*by, "bin").agg(
         F.sum("_c").alias("n"), F.min(F.col("_lo") + F.col("bin") * width).alias("bin_start"),
         F.min(F.when(width > 0, F.lit(1.0) / (F.col("_n") * width))).alias("_unit")

@@ -174,7 +174,7 @@ def forecast_frame(spark, sf):
     series = cut_lineage(views.region_filled(spark, sf))
     series = features.add_targets(series, [1, 7, 30], start=0)
     frame, names = learners.tabular_features(series, views.covar(spark, sf), lags=(1, 2, 3, 7, 14))
-    frame = split.global_date_split(frame)
+    frame = split.chronological_split(frame)
     names = [n for n in names if not n.startswith("target")]
     frame, extra = learners.station_encoding(frame, F.col("split") == "train")
     return cut_lineage(frame.withColumn("is_val", F.col("split") == "val")), [*names, *extra]

@@ -234,7 +234,7 @@ def w14b(spark, sf):
 @register("w15_global_date_split", sql("region_dense", ordinal_sql("region_dense", SEPARATE)
           + " SELECT station, date, value, split FROM region_dense JOIN c USING (date)"))
 def w15(spark, sf):
-    return split.global_date_split(views.region_dense(spark, sf))
+    return split.chronological_split(views.region_dense(spark, sf))
 
 
 @register("p12_fixed_date_split", sql("region_dense", """

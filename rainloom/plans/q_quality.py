@@ -346,7 +346,7 @@ SELECT pattern, count(*) AS n_dates
 FROM (SELECT date, coalesce(string_agg(station, '+' ORDER BY station) FILTER (value IS NULL), '') AS pattern
       FROM region_dense GROUP BY date) GROUP BY pattern"""))
 def a09b(spark, sf):
-    return quality.missing_patterns(views.region_dense(spark, sf))
+    return quality.missing_patterns(views.region_dense(spark, sf), views.REGION_STATIONS)
 
 
 # ---------------------------------------------------------------- joins, reshaping, preview
