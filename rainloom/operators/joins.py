@@ -51,12 +51,12 @@ def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Lazy form: same join, each right key asserted unique inside the plan."""
-    measures = [c for c in right.columns if c not in on]
-    once = right.groupBy(*on).agg(
-        F.assert_true(F.count("*") == 1, "join key repeats on the right side").alias("_ok"),
-        *[F.first(c).alias(c) for c in measures])
-    return left.join(once.drop("_ok"), list(on), how)
+    """Lazy form of the 1:1 check: reading a measure of a repeated right key fails the query."""
+    measures = {c: t for c, t in right.dtypes if c not in on}
+    broken = F.raise_error(F.lit("join key repeats on the right side"))
+    once = right.groupBy(*on).agg(*[
+        F.when(F.count("*") == 1, F.first(c)).otherwise(broken.cast(t)).alias(c) for c, t in measures.items()])
+    return left.join(once, list(on), how)
 
 
 def align_by_date(df: DataFrame, stations: Sequence[str], columns: Sequence[str], time: str = "date") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
+from rainloom.functions.aggregates import pearson
 from rainloom.operators.chunks import DAILY, Axis
 from rainloom.operators.features import add_time_rolling
 from rainloom.operators.joins import join_stats
@@ -29,7 +30,7 @@ def skill_columns(actual: str = "actual", pred: str = "pred") -> list[Column]:
     return [n.alias("n"), rmse.alias("rmse"), mae.alias("mae"),
             F.when(sst > 0, F.lit(1.0) - F.avg(e * e) / sst).alias("r2"),
             fx.percent_of(rmse, mean).alias("nrmse_pct"), fx.percent_of(mae, mean).alias("nmae_pct"),
-            F.avg(e).alias("bias"), F.when((sst > 0) & (F.var_pop(p) > 0), F.corr(a, p)).alias("r")]
+            F.avg(e).alias("bias"), pearson(a, p).alias("r")]
 
 
 def skill(df: DataFrame, by: Sequence[str] = (), actual: str = "actual", pred: str = "pred",
@@ -71,7 +72,7 @@ def masked_mse(df: DataFrame, mask: str = "holdout", actual: str = "actual", pre
     """Squared error over the masked cells only."""
     error = F.col(pred) - F.col(actual)
     m = F.col(mask).cast("double")
-    return df.agg((F.sum(m * error * error) / F.sum(m)).alias("masked_mse"), F.sum(mask).cast("long").alias("n_cells"))
+    return df.agg(F.try_divide(F.sum(m * error * error), F.sum(m)).alias("masked_mse"), F.sum(mask).cast("long").alias("n_cells"))
 
 
 def losses(df: DataFrame, by: Sequence[str], alpha: float = 3.0, quantiles: Sequence[float] = (0.5, 0.9),

@@ -138,7 +138,7 @@ def station_profile(df: DataFrame, extreme: float = 100.0) -> DataFrame:
     x = F.col("value")
     return df.groupBy("station").agg(
         F.avg(x).alias("mean_value"), F.max(x).alias("max_value"),
-        (F.lit(100.0) * F.count_if(x == 0) / F.count(x)).alias("zero_pct"),
+        F.try_divide(F.lit(100.0) * F.count_if(x == 0), F.count(x)).alias("zero_pct"),
         F.avg(F.when(x > 0, x)).alias("wet_mean"),
         F.count_if(x.isNull()).alias("n_missing"),
-        (F.lit(100.0) * F.count_if(x > extreme) / F.count(x)).alias("extreme_pct"))
+        F.try_divide(F.lit(100.0) * F.count_if(x > extreme), F.count(x)).alias("extreme_pct"))

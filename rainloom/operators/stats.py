@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rainloom.functions.aggregates import pearson
 from rainloom.operators.chunks import DAILY, Axis, ordered_prefix, over_halo
 from rainloom.operators.joins import join_stats
 from rainloom.operators.ranks import with_value_bucket
@@ -50,13 +51,13 @@ def describe(df: DataFrame, keys: Sequence[str] = ("station",), value: str = "va
         F.min(value).alias("min"), F.max(value).alias("max"))
     quartiles = exact_quantiles(df, keys, value, (0.25, 0.5, 0.75), ("q25", "q50", "q75"))
     joined = base.join(quartiles, list(keys), "left")
-    return joined.withColumns({c: F.round(c, digits) for c in joined.columns if c not in (*keys, "n")})
+    return joined.withColumns({c: F.bround(c, digits) for c in joined.columns if c not in (*keys, "n")})
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation of named columns, long form with ``x < y``."""
     pairs = list(combinations(sorted(columns), 2))
-    row = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"_{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)])))

@@ -269,12 +269,12 @@ def l04(spark, sf):
 # ---------------------------------------------------------------- statistics
 
 @register("a08_describe", sql("region_rain", """
-SELECT station, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std,
-       round(min(value), 4) AS min, round(max(value), 4) AS max, round(quantile_cont(value, 0.25), 4) AS q25,
-       round(quantile_cont(value, 0.5), 4) AS q50, round(quantile_cont(value, 0.75), 4) AS q75
+SELECT station, count(value) AS n, round_even(avg(value), 8) AS mean, round_even(stddev_samp(value), 8) AS std,
+       round_even(min(value), 8) AS min, round_even(max(value), 8) AS max, round_even(quantile_cont(value, 0.25), 8) AS q25,
+       round_even(quantile_cont(value, 0.5), 8) AS q50, round_even(quantile_cont(value, 0.75), 8) AS q75
 FROM region_rain GROUP BY station"""))
 def a08(spark, sf):
-    return stats.describe(views.region_rain(spark, sf), digits=4)
+    return stats.describe(views.region_rain(spark, sf), digits=8)
 
 
 @register("a08_exact_quantiles", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
+from rainloom.functions.aggregates import pearson
 from rainloom.operators import features, joins, metrics, quality
 from rainloom.plans import views
 from rainloom.plans.registry import r6, register
@@ -113,7 +114,8 @@ def a24(spark, sf):
 @register("a12_pearson_r", sql("predictions", """
 SELECT model, station, round(corr(actual, pred), 6) AS r FROM predictions GROUP BY 1, 2"""))
 def a12(spark, sf):
-    return views.predictions(spark, sf).groupBy("model", "station").agg(F.round(F.corr("actual", "pred"), 6).alias("r"))
+    return views.predictions(spark, sf).groupBy("model", "station").agg(
+        F.round(pearson(F.col("actual"), F.col("pred")), 6).alias("r"))
 
 
 @register("a30_masked_mse", sql("predictions", f"""

@@ -10,9 +10,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from rainloom.operators.quality import nan_to_null
 
-# How a data line begins, and the timestamp layouts of the exports.
+# Fixed value: how a data line begins.
 DATA_LINE = r"^\d{4}-\d{2}-\d{2}"
-TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
 
 
 def read_interval_export(spark: SparkSession, path: str, stations: Sequence[str]) -> DataFrame:
@@ -27,10 +26,8 @@ def read_interval_export(spark: SparkSession, path: str, stations: Sequence[str]
     raw = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
     data = raw.where(F.col("_start").rlike(DATA_LINE))
 
-    def stamp(name: str):
-        return F.coalesce(*[F.expr(f"try_to_timestamp({name}, '{f}')") for f in TIMESTAMP_FORMATS]).cast("timestamp_ntz")
-
-    named = data.select(stamp("_start").alias("ts_start"), stamp("_end").alias("ts_end"), *stations)
+    named = data.select(F.col("_start").try_cast("timestamp_ntz").alias("ts_start"),
+                        F.col("_end").try_cast("timestamp_ntz").alias("ts_end"), *stations)
     return nan_to_null(named, stations)
 
 

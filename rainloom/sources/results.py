@@ -23,7 +23,7 @@ def read_results(spark: SparkSession, path: str, fields: Mapping[str, str] = RES
     are read in parallel.
     """
     schema = "map<string,struct<" + ",".join(f"{n}:{t}" for n, t in fields.items()) + ">>"
-    text = spark.read.option("wholetext", True).text(path).select(
+    text = spark.read.text(path, wholetext=True).select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
         F.from_json("value", schema).alias("entries"))
     rows = text.select("file", F.explode("entries").alias("station", "r")).select("file", "station", "r.*")
