@@ -46,7 +46,7 @@ def ship_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def region(spark: SparkSession, sf: str) -> DataFrame:
-    """5 stations: order value per region and day, in units of 100,000."""
+    """5 stations: order value per region and day, in units of 100,000 with 4 decimals."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
@@ -54,7 +54,7 @@ def region(spark: SparkSession, sf: str) -> DataFrame:
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(F.col("n_regionkey").cast("string").alias("station"), F.to_date("o_orderdate").alias("date"))
-        .agg(F.round(F.sum("o_totalprice") / 1e5, 4).alias("value"))
+        .agg((F.floor(F.round(F.sum("o_totalprice"), 2) / 10) / 1e4).alias("value"))
     )
 
 
@@ -92,7 +92,7 @@ def telemetry_dense(spark: SparkSession, sf: str) -> DataFrame:
 def covar(spark: SparkSession, sf: str) -> DataFrame:
     """Daily covariates of the whole basin."""
     return table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        F.round(F.avg("l_discount"), 9).alias("cv_disc"), F.round(F.avg("l_tax"), 9).alias("cv_tax"),
+        F.round(F.avg("l_discount"), 12).alias("cv_disc"), F.round(F.avg("l_tax"), 12).alias("cv_tax"),
         F.round(F.sum("l_extendedprice") / 1e6, 9).alias("cv_tp"))
 
 
@@ -183,7 +183,7 @@ FROM lineitem GROUP BY 1, 2"""),
     "ship_masked": (["ship_dense"], MASK.format("SELECT * FROM ship_dense")),
     "region_raw": ([], """
 SELECT CAST(n_regionkey AS VARCHAR) AS station, CAST(o_orderdate AS DATE) AS date,
-       round(sum(o_totalprice) / 1e5, 4) AS value
+       floor(round(sum(o_totalprice), 2) / 10) / 1e4 AS value
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"""),
     "region_dense": (["region_raw"], DENSE.format("region_raw")),
     "region_rain": (["region_dense"], MASK.format(
@@ -203,7 +203,7 @@ CROSS JOIN (SELECT unnest(generate_series((SELECT min(ts) FROM telemetry), (SELE
                    INTERVAL 15 MINUTE)) AS ts) c
 LEFT JOIN telemetry v ON v.station = s.station AND v.ts = c.ts"""),
     "covar": ([], """
-SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_discount), 9) AS cv_disc, round(avg(l_tax), 9) AS cv_tax,
+SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_discount), 12) AS cv_disc, round(avg(l_tax), 12) AS cv_tax,
        round(sum(l_extendedprice) / 1e6, 9) AS cv_tp
 FROM lineitem GROUP BY 1"""),
     "grid": ([], """
