@@ -9,21 +9,16 @@ from pyspark.sql import functions as F
 
 from rainloom.session import cut_lineage
 
-# A statistics table of this many rows (about 64 bytes each) is small enough to send to every executor.
-BROADCAST_ROWS = 500_000
 
-
-def join_stats(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner",
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_stats(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-group statistics (one row per station, date, ...) to the rows they were computed from.
 
-    The statistics are written once and counted.  Up to ``max_rows`` they are
-    broadcast, so the rows are not shuffled and a hot group stays spread; above
-    that the join is left to Catalyst and its runtime skew handling.
+    The statistics are written once, so Catalyst knows their real size: below
+    ``spark.sql.autoBroadcastJoinThreshold`` they are broadcast and the rows are
+    not shuffled, which keeps a hot group spread; above it the join is a
+    shuffled one under runtime skew handling.
     """
-    small = cut_lineage(stats)
-    few = small.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(small) if few else small, list(on), how)
+    return df.join(cut_lineage(stats), list(on), how)
 
 
 class KeyViolation(ValueError):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,21 +25,28 @@ def local_session(app: str = "rainloom", cores: int | str = "*", shuffle_partiti
     )
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by ``spark.checkpoint.dir``; only a local master without it gets one of its own."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder is None and sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="rainloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so lost executors do not replay its plan.
+    """Write ``df`` once to the shared folder and go on from the written table.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local master with
-    no such setting gets a folder of its own.  A cluster without the setting
-    keeps the plan uncut: results are the same, recovery recomputes more.
+    Lost executors then do not replay the plan above it.  Being a Parquet table
+    it is pruned by column, filtered at the scan, and its real size decides
+    whether Catalyst broadcasts it.  A cluster that names no shared folder keeps
+    the plan uncut (persisted): same results, slower recovery.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        if folder:
-            sc.setCheckpointDir(folder)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="rainloom-checkpoint-"))
-        else:
-            return df.persist()
-    return df.checkpoint()
+    folder = shared_folder(spark)
+    if folder is None:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/rainloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -143,14 +143,20 @@ def test_validated_join_raises_on_repeated_key(spark, series):
     assert joins.checked_join(df, once, ["date"]).count() == 2
 
 
-def test_join_stats_has_a_way_beyond_the_size_limit(series):
+def test_join_stats_has_a_way_beyond_the_size_limit(spark, series):
     df = series({"a": [1, 2, 3], "b": [4, 5, 6]})
     means = df.groupBy("date").agg(F.avg("value").alias("m"))
     small = joins.join_stats(df, means, ["date"])
-    large = joins.join_stats(df, means, ["date"], max_rows=1)
-    assert "Broadcast" in small._jdf.queryExecution().sparkPlan().toString()
-    assert "ResolvedHint (strategy=broadcast)" not in large._jdf.queryExecution().analyzed().toString()
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    small_plan, small_rows = small._jdf.queryExecution().sparkPlan().toString(), sorted(map(tuple, small.collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        large = joins.join_stats(df, means, ["date"])
+        large_plan, large_rows = large._jdf.queryExecution().sparkPlan().toString(), sorted(map(tuple, large.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in small_plan and "BroadcastHashJoin" not in large_plan
+    assert small_rows == large_rows
 
 
 def test_wide_long_round_trip_and_alignment(series):
