@@ -10,26 +10,37 @@ from pyspark.sql import functions as F
 from rainloom.operators.chunks import DAILY, Axis, carry, previous_row
 
 
+# Days generated by one task row of a calendar.
+SPINE_DAYS = 1024
+SPINE_SLOT_DAYS = 32
+
+
 def spine(df: DataFrame, keys: Sequence[str] = ("station",), time: str = "date",
           minutes: int | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Every expected timestamp of every key between the earliest and latest one of the table.
 
-    ``minutes`` selects a sub-daily grid.  The days are expanded first and the
-    slots of a day second, so no array grows with the length of the record.
+    ``minutes`` selects a sub-daily grid.  The list of keys is tiny next to the
+    calendar it expands to, so (key, block of days) pairs are first spread over
+    all shuffle partitions (a fixed number, which runtime coalescing leaves
+    alone) and the rows are generated after that, a bounded block at a time.
     """
     spans = df.groupBy(*keys).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
     bounds = spans.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     lo = bounds.select("lo").scalar() if start is None else start
     hi = bounds.select("hi").scalar() if end is None else end
-    day = F.expr("INTERVAL 1 DAY")
+    size = SPINE_DAYS if minutes is None else SPINE_SLOT_DAYS
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = spans.select(*keys, lo.alias("_lo"), hi.alias("_hi")).withColumn("_block", F.explode(F.sequence(
+        F.to_date("_lo"), F.to_date("_hi"), F.expr(f"INTERVAL {size} DAYS")))).repartition(spread, *keys, "_block")
+    last = F.least(F.date_add("_block", size - 1), F.to_date("_hi"))
+    days = blocks.withColumn("_day", F.explode(F.sequence(F.col("_block"), last, F.expr("INTERVAL 1 DAY"))))
     if minutes is None:
-        return spans.select(*keys, F.explode(F.sequence(lo, hi, day)).alias(time))
-    days = spans.select(*keys, lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(
-        F.to_date(lo).cast("timestamp_ntz"), F.to_date(hi).cast("timestamp_ntz"), day)).alias("_day"))
-    slot = F.explode(F.sequence(F.col("_day"), F.col("_day") + F.expr(f"INTERVAL {24 * 60 - minutes} MINUTES"),
+        return days.select(*keys, F.col("_day").alias(time))
+    midnight = F.col("_day").cast("timestamp_ntz")
+    slot = F.explode(F.sequence(midnight, midnight + F.expr(f"INTERVAL {24 * 60 - minutes} MINUTES"),
                                 F.expr(f"INTERVAL {minutes} MINUTES")))
-    return days.select(*keys, "lo", "hi", slot.alias(time)).where(F.col(time).between(F.col("lo"), F.col("hi"))) \
-        .select(*keys, time)
+    return days.select(*keys, "_lo", "_hi", slot.alias(time)) \
+        .where(F.col(time).between(F.col("_lo"), F.col("_hi"))).select(*keys, time)
 
 
 def densify(df: DataFrame, keys: Sequence[str] = ("station",), time: str = "date",

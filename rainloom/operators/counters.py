@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rainloom.operators.calendar import densify
 from rainloom.operators.chunks import Axis, carry, previous_row, slots
+from rainloom.session import cut_lineage
 
 # Gap classes in minutes, both ends of the middle class inclusive.
 SHORT_BELOW = 120
@@ -64,7 +65,8 @@ def fill_gaps(classified: DataFrame, slot_minutes: int = 15) -> DataFrame:
     monotonically the total sits on the first slot after the gap, the absent
     slots are 0.  Slots of long gaps, and the total that ends one, are NULL.
     """
-    seen = classified.select("station", "ts", "increment", "gap_class", "resumed", F.lit(True).alias("_seen"))
+    seen = cut_lineage(classified.select("station", "ts", "increment", "gap_class", "resumed",
+                                         F.lit(True).alias("_seen")))
     grid = densify(seen, time="ts", minutes=slot_minutes)
     after = F.when(F.col("_seen"), F.struct("gap_class", "resumed"))
     known = carry(grid, slots(slot_minutes), next={"_next": after})

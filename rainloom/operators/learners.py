@@ -233,7 +233,7 @@ class LearnedImputer:
     def fit(self, df: DataFrame, known: str = "value") -> "LearnedImputer":
         """Train on cells where ``known`` is present; a cell's own value is never among its features."""
         logged = df.withColumn("x", F.log1p(known))
-        self.params = cut_lineage(scaling.fit_scaler(logged, ["x"]))
+        self.params = scaling.fit_scaler(logged, ["x"])
         frame = self.cells(df, known)
         own = {*df.columns, "x", "x_own"}
         self.names = [c for c in frame.columns if c not in own]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
 from rainloom.operators.joins import join_stats
+from rainloom.session import cut_lineage
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "minmax", where: Column | None = None,
@@ -16,7 +17,8 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "minmax", wher
     """Parameters ``{c}_a, {c}_b``: minimum and maximum, or mean and population deviation.
 
     ``where`` restricts the fit (training rows by default of the callers),
-    ``pooled`` shares one minimum/maximum between the columns.
+    ``pooled`` shares one minimum/maximum between the columns.  The parameters
+    are written once, whatever number of columns and frames use them.
     """
     def stat(f, c: str) -> Column:
         return f(F.when(where, F.col(c))) if where is not None else f(F.col(c))
@@ -25,15 +27,15 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "minmax", wher
     params = df.groupBy(*keys).agg(*[e for c in columns for e in (
         stat(first, c).alias(f"{c}_a"), stat(second, c).alias(f"{c}_b"))])
     if not pooled:
-        return params
+        return cut_lineage(params)
     if kind != "minmax":
         raise ValueError("only min-max parameters can be pooled")
     def over(side: str, combine) -> Column:
         names = [F.col(f"{c}_{side}") for c in columns]
         return combine(*names) if len(names) > 1 else names[0]
 
-    return params.select(*keys, *[e for c in columns for e in (
-        over("a", F.least).alias(f"{c}_a"), over("b", F.greatest).alias(f"{c}_b"))])
+    return cut_lineage(params.select(*keys, *[e for c in columns for e in (
+        over("a", F.least).alias(f"{c}_a"), over("b", F.greatest).alias(f"{c}_b"))]))
 
 
 def _apply(df: DataFrame, params: DataFrame, columns: Sequence[str], keys: Sequence[str], forward, suffix: str):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainloom.operators.chunks import ordered_prefix
+from rainloom.session import cut_lineage
 
 
 def holdout_cells(df: DataFrame, fraction: float = 0.2, seed: int = 42, value: str = "value",
@@ -49,16 +50,16 @@ def cut_dates(df: DataFrame, fractions: tuple[float, float] = (0.70, 0.15), time
     """
     train, val = _edges(fractions, second)
     never = F.lit("9999-12-31").cast("date")
-    return ranked_dates(df, time).agg(
+    return cut_lineage(ranked_dates(df, time).agg(
         F.coalesce(F.max(F.when(F.col("ordinal") == train, F.col(time))), never).alias("val_from"),
-        F.coalesce(F.max(F.when(F.col("ordinal") == val, F.col(time))), never).alias("test_from"))
+        F.coalesce(F.max(F.when(F.col("ordinal") == val, F.col(time))), never).alias("test_from")))
 
 
 def chronological_split(df: DataFrame, fractions: tuple[float, float] = (0.70, 0.15), time: str = "date",
                         second: str = "separate") -> DataFrame:
     """Label rows train / val / test by the ordinal of their date.
 
-    The two cut dates come from a small sub-query, so the rows themselves are
+    The two cut dates come from a one-row table, so the rows themselves are
     neither joined nor shuffled.
     """
     cuts = cut_dates(df, fractions, time, second)

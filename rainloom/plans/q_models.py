@@ -115,7 +115,7 @@ SELECT model, station, count(*) AS n, round(any_value(bias), 6) AS bias,
        round(sqrt(avg((greatest(pred - bias, 0) - actual) ** 2)), 6) AS rmse
 FROM predictions JOIN b USING (model, station) WHERE date >= DATE '{TRAIN_UNTIL}' GROUP BY 1, 2"""))
 def m14(spark, sf):
-    rows = views.predictions(spark, sf)
+    rows = cut_lineage(views.predictions(spark, sf))
     trained = F.col("date") < day(TRAIN_UNTIL)
     fixed = monthly.correct_bias(rows, trained, "actual", "pred", ["model", "station"]).where(~trained)
     scored = metrics.skill(fixed.withColumn("pred", fx.floor_at(F.col("pred"), 0.0)), ["model"], pooled=False)

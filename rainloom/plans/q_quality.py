@@ -236,12 +236,13 @@ def a05(spark, sf):
 
 
 @register("a06_monthly_covariates", sql("covar", """
-SELECT CAST(date_trunc('month', date) AS DATE) AS month, round(sum(cv_tp), 6) AS cv_tp,
+SELECT CAST(date_trunc('month', date) AS DATE) AS month, round(sum(cv_tp), 8) AS cv_tp,
        round(avg(cv_disc), 6) AS cv_disc, round(avg(cv_tax), 6) AS cv_tax
 FROM covar GROUP BY 1"""))
 def a06(spark, sf):
     how = {"cv_tp": "sum", "cv_disc": "avg", "cv_tax": "avg"}
-    return r6(rollup.monthly_covariates(views.covar(spark, sf), how), *how)
+    out = rollup.monthly_covariates(views.covar(spark, sf), how)
+    return r6(r6(out, "cv_disc", "cv_tax"), "cv_tp", digits=8)
 
 
 @register("a07_monthly_real_totals", sql("region_filled", """
@@ -398,11 +399,11 @@ def j03(spark, sf):
 @register("j04_monthly_join", sql(["region_dense", "covar"], """
 WITH m AS (SELECT station, CAST(date_trunc('month', date) AS DATE) AS month, round(coalesce(sum(value), 0), 6) AS total
            FROM region_dense GROUP BY 1, 2),
-c AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, round(sum(cv_tp), 6) AS cv_tp FROM covar GROUP BY 1)
+c AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, round(sum(cv_tp), 8) AS cv_tp FROM covar GROUP BY 1)
 SELECT station, month, total, cv_tp FROM m JOIN c USING (month)"""))
 def j04(spark, sf):
     months = r6(rollup.monthly_totals(views.region_dense(spark, sf)), "total")
-    covariates = r6(rollup.monthly_covariates(views.covar(spark, sf), {"cv_tp": "sum"}), "cv_tp")
+    covariates = r6(rollup.monthly_covariates(views.covar(spark, sf), {"cv_tp": "sum"}), "cv_tp", digits=8)
     return months.join(covariates, "month")
 
 

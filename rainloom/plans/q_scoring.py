@@ -170,7 +170,7 @@ SELECT station, count(*) AS n, round(sqrt(avg((pred - actual) ** 2)), 6) AS rmse
        round(avg(CASE WHEN (actual > 0) = (w = 1) THEN 1.0 ELSE 0.0 END), 6) AS majority_accuracy
 FROM t GROUP BY station"""))
 def a33(spark, sf):
-    real = quality.real_observations(views.region_filled(spark, sf))
+    real = views.cut_lineage(quality.real_observations(views.region_filled(spark, sf)))
     scored = metrics.climatology(real, F.col("date") < F.lit(TRAIN_END).cast("date"))
     skill = metrics.skill(scored.withColumnsRenamed({"value": "actual", "clim_mean": "pred"}), pooled=False)
     wet = metrics.wet_skill(scored.withColumnsRenamed({"value": "actual", "clim_wet": "pred"}), 0.0)
@@ -191,7 +191,7 @@ WITH b AS (SELECT station, date, max(actual) AS actual,
 {rounded_sql("SELECT 'blend' AS model, * FROM (" + skill_sql("b") + ") UNION ALL " + skill_sql(
     "(SELECT * FROM predictions WHERE model IN ('trailing7', 'trailing30'))", "model"), "model, station")}"""))
 def m15(spark, sf):
-    parts = views.predictions(spark, sf).where("model IN ('trailing7', 'trailing30')")
+    parts = views.cut_lineage(views.predictions(spark, sf).where("model IN ('trailing7', 'trailing30')"))
     mixed = metrics.blend(parts, {"trailing7": 0.5, "trailing30": 0.5})
     return r6(metrics.skill(parts.unionByName(mixed), ["model"]), *SKILL)
 

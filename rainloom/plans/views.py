@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainloom.operators import calendar, counters, features, rollup, windows
+from rainloom.operators import calendar, counters, features, joins, rollup, windows
 from rainloom.session import cut_lineage
 
 SHIP_STATIONS = ["A", "N", "R"]
@@ -72,7 +72,7 @@ def region_filled(spark: SparkSession, sf: str) -> DataFrame:
     """``region_rain`` completed with the mean of the other stations of the day, with flags."""
     rain = region_rain(spark, sf)
     day = rollup.cross_station_mean(rain).select("date", "station_mean")
-    return rain.join(day, "date").select(
+    return joins.join_stats(rain, day, ["date"]).select(
         "station", "date", F.coalesce("value", F.bround(F.coalesce("station_mean", F.lit(0.0)), 6)).alias("value"),
         F.col("value").isNull().cast("int").alias("imputed"))
 
