@@ -90,25 +90,26 @@ def carry(df: DataFrame, axis: Axis, last: Mapping[str, Column] | None = None,
     by = [*axis.keys, "_chunk"]
     rows = Window.partitionBy(*by).orderBy(axis.time)
     upto = rows.rowsBetween(Window.unboundedPreceding, -edge)
-    onward = rows.rowsBetween(edge, Window.unboundedFollowing)
+    # Looking ahead is looking back in reverse order: frames that end at the last row cost a rescan per row.
+    onward = Window.partitionBy(*by).orderBy(F.desc(axis.time)).rowsBetween(Window.unboundedPreceding, -edge)
 
     tails = chunked.groupBy(*by).agg(
         F.min("_step").alias("_first"),
         *[F.max_by(e, F.when(e.isNotNull(), F.col("_step"))).alias(f"_tail_{n}") for n, e in last.items()],
         *[F.min_by(e, F.when(e.isNotNull(), F.col("_step"))).alias(f"_head_{n}") for n, e in next.items()],
     )
-    chunks = Window.partitionBy(*axis.keys).orderBy("_chunk")
-    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    later = chunks.rowsBetween(1, Window.unboundedFollowing)
+    chunks = Window.partitionBy(*axis.keys)
+    earlier = chunks.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = chunks.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select(
         *by,
         *([F.min("_first").over(Window.partitionBy(*axis.keys)).alias(first_step)] if first_step else []),
         *[F.last(f"_tail_{n}", True).over(earlier).alias(f"_in_{n}") for n in last],
-        *[F.first(f"_head_{n}", True).over(later).alias(f"_out_{n}") for n in next],
+        *[F.last(f"_head_{n}", True).over(later).alias(f"_out_{n}") for n in next],
     )
     local = chunked.withColumns({
         **{f"_up_{n}": F.last(e, True).over(upto) for n, e in last.items()},
-        **{f"_on_{n}": F.first(e, True).over(onward) for n, e in next.items()},
+        **{f"_on_{n}": F.last(e, True).over(onward) for n, e in next.items()},
     })
     kept = list(df.columns) + ([first_step] if first_step else [])
     return local.join(carried, by, "left").select(
