@@ -122,7 +122,8 @@ def w08(spark, sf):
 
 
 @register("j02_left_join_fill", sql(["region_dense", "covar"], """
-WITH c AS (SELECT * FROM covar WHERE dayofweek(date) NOT IN (0, 6)),
+WITH c AS (SELECT date, CASE WHEN dayofweek(date) NOT IN (0, 6) THEN cv_disc END AS cv_disc,
+                  CASE WHEN dayofweek(date) NOT IN (0, 6) THEN cv_tp END AS cv_tp FROM covar),
 j AS (SELECT d.date, c.cv_disc, c.cv_tp FROM (SELECT DISTINCT date FROM region_dense) d LEFT JOIN c USING (date)),
 f AS (SELECT date, coalesce(last_value(cv_disc IGNORE NULLS) OVER p, first_value(cv_disc IGNORE NULLS) OVER n) AS cv_disc,
              coalesce(last_value(cv_tp IGNORE NULLS) OVER p, first_value(cv_tp IGNORE NULLS) OVER n) AS cv_tp
@@ -130,10 +131,12 @@ f AS (SELECT date, coalesce(last_value(cv_disc IGNORE NULLS) OVER p, first_value
                     n AS (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT station, date, value, cv_disc, cv_tp FROM region_dense JOIN f USING (date)"""))
 def j02(spark, sf):
-    # Covariates exist on working days only here; weekends take the last known value.
+    # Covariates are blank at weekends here, so these days take the last known value.
     series = views.region_dense(spark, sf)
-    workdays = views.covar(spark, sf).where(~F.dayofweek("date").isin(1, 7)).select("date", "cv_disc", "cv_tp")
-    days = series.select("date").distinct().join(workdays, ["date"], "left")
+    workday = ~F.dayofweek("date").isin(1, 7)
+    blanked = views.covar_table(spark, sf).select(
+        "date", *[F.when(workday, F.col(c)).alias(c) for c in ("cv_disc", "cv_tp")])
+    days = series.select("date").distinct().join(blanked, ["date"], "left")
     return series.join(features.fill_forward_backward(days, ["cv_disc", "cv_tp"], BY_DATE), "date")
 
 
@@ -362,6 +365,6 @@ def u05(spark, sf):
     series = features.add_lags(views.region_filled(spark, sf), [1, 7])
     series = features.add_rolling(series, [7], include_current=False)
     series = features.add_seasonal(series, of=("doy",))
-    out = series.join(views.covar(spark, sf), "date")
+    out = series.join(views.covar_table(spark, sf), "date")
     return r6(out, "roll7", "doy_sin", "doy_cos", digits=9).select(
         "station", "date", "lag1", "lag7", "roll7", "doy_sin", "doy_cos", "cv_disc", "cv_tp")

@@ -173,7 +173,7 @@ def forecast_frame(spark, sf):
     """Feature frame with targets and split labels, written once."""
     series = cut_lineage(views.region_filled(spark, sf))
     series = features.add_targets(series, [1, 7, 30], start=0)
-    frame, names = learners.tabular_features(series, views.covar(spark, sf), lags=(1, 2, 3, 7, 14))
+    frame, names = learners.tabular_features(series, views.covar_table(spark, sf), lags=(1, 2, 3, 7, 14))
     frame = split.chronological_split(frame)
     names = [n for n in names if not n.startswith("target")]
     frame, extra = learners.station_encoding(frame, F.col("split") == "train")
@@ -214,8 +214,8 @@ def m09(spark, sf):
 @register("m09_hurdle_per_station")
 def m09b(spark, sf):
     real, names = hurdle_rows(spark, sf)
-    models = learners.fit_hurdle_per_station(real.where("split <> 'test'"), names, ["0", "3"],
-                                             validation="is_val", settings=QUICK)
+    models = learners.fit_hurdle_per_station(real.where("split <> 'test'"), names, views.REGION_STATIONS,
+                                             parallel=4, validation="is_val", settings=QUICK)
     scored = None
     for station, model in models.items():
         part = model.transform(real.where(F.col("split") == "test").where(F.col("station") == station)).select(

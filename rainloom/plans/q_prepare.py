@@ -122,7 +122,7 @@ def j09(spark, sf):
 
 @register("p10_drop_repeated_columns", sql("covar", "SELECT date, cv_disc AS st0_d2m, cv_tp AS st0_tp, cv_tax AS st2_d2m FROM covar"))
 def p10(spark, sf):
-    mapped = views.cut_lineage(views.covar(spark, sf)).select(
+    mapped = views.covar_table(spark, sf).select(
         "date", F.col("cv_disc").alias("st0_d2m"), F.col("cv_tp").alias("st0_tp"),
         F.col("cv_disc").alias("st1_d2m"), F.col("cv_tp").alias("st1_tp"), F.col("cv_tax").alias("st2_d2m"))
     return spatial.drop_repeated(mapped, [c for c in mapped.columns if c != "date"])
@@ -175,7 +175,7 @@ WITH p AS (SELECT avg(cv_disc) AS da, stddev_pop(cv_disc) AS db, avg(cv_tp) AS t
 SELECT date, round((cv_disc - da) / db, 6) AS cv_disc_scaled, round((cv_tp - ta) / tb, 6) AS cv_tp_scaled
 FROM covar CROSS JOIN p"""))
 def f03(spark, sf):
-    table = views.cut_lineage(views.covar(spark, sf))
+    table = views.covar_table(spark, sf)
     params = scaling.fit_scaler(table, ["cv_disc", "cv_tp"], "standard", where=train())
     out = scaling.scale(table, params, ["cv_disc", "cv_tp"], "standard")
     return r6(out.select("date", "cv_disc_scaled", "cv_tp_scaled"), "cv_disc_scaled", "cv_tp_scaled")
@@ -298,7 +298,7 @@ j AS (SELECT * FROM f JOIN covar USING (date))
                          for i, a in enumerate(COLUMNS) for b in COLUMNS[i + 1:])))
 def a11(spark, sf):
     series = features.add_rolling(features.add_lags(views.region_rain(spark, sf), [1]), [7], include_current=False)
-    return r6(stats.correlations(series.join(views.covar(spark, sf), "date"), COLUMNS), "r")
+    return r6(stats.correlations(series.join(views.covar_table(spark, sf), "date"), COLUMNS), "r")
 
 
 PAIRS = [(a, b) for i, a in enumerate(views.REGION_STATIONS) for b in views.REGION_STATIONS[i + 1:]]

@@ -67,14 +67,13 @@ def p05c(spark, sf):
     return limited(spark, sf, "keep")
 
 
-@register("p06_complete_rows", sql("region_dense", """
-SELECT date, max(CASE WHEN station = '0' THEN value END) AS s0, max(CASE WHEN station = '1' THEN value END) AS s1,
-       max(CASE WHEN station = '2' THEN value END) AS s2
-FROM region_dense GROUP BY date HAVING s0 IS NOT NULL AND s1 IS NOT NULL AND s2 IS NOT NULL"""))
+@register("p06_complete_rows", sql("region_dense", "SELECT date, " + ", ".join(
+    f"max(CASE WHEN station = '{s}' THEN value END) AS s{s}" for s in views.REGION_STATIONS)
+    + " FROM region_dense GROUP BY date HAVING " + " AND ".join(f"s{s} IS NOT NULL" for s in views.REGION_STATIONS)))
 def p06(spark, sf):
-    wide = joins.long_to_wide(views.region_dense(spark, sf), ["0", "1", "2"])
-    named = wide.select("date", *[F.col(s).alias(f"s{s}") for s in ("0", "1", "2")])
-    return quality.complete_rows(named, ["s0", "s1", "s2"])
+    wide = joins.long_to_wide(views.region_dense(spark, sf), views.REGION_STATIONS)
+    named = wide.withColumnsRenamed({s: f"s{s}" for s in views.REGION_STATIONS})
+    return quality.complete_rows(named, [f"s{s}" for s in views.REGION_STATIONS])
 
 
 @register("p07_eligible_cells", sql("region_dense", """
@@ -137,13 +136,13 @@ def j07b(spark, sf):
 
 
 @register("u03_absent_dates", sql("region_raw", """
-SELECT date FROM (SELECT CAST(unnest(generate_series((SELECT min(date) FROM region_raw),
-    (SELECT max(date) FROM region_raw), INTERVAL 1 DAY)) AS DATE) AS date)
-EXCEPT SELECT date FROM region_raw WHERE station = '2'"""))
+SELECT s.station, c.date FROM (SELECT DISTINCT station FROM region_raw) s CROSS JOIN (
+    SELECT CAST(unnest(generate_series((SELECT min(date) FROM region_raw), (SELECT max(date) FROM region_raw),
+           INTERVAL 1 DAY)) AS DATE) AS date) c
+EXCEPT SELECT station, date FROM region_raw"""))
 def u03(spark, sf):
     series = views.cut_lineage(views.region(spark, sf))
-    expected = calendar.spine(series).select("date").distinct()
-    return expected.exceptAll(series.where("station = '2'").select("date"))
+    return calendar.spine(series).select("station", "date").exceptAll(series.select("station", "date"))
 
 
 @register("w17_date_gaps", sql("region_raw", """
@@ -362,6 +361,49 @@ def s03(spark, sf):
     return joins.wide_to_long(named, ["date"], views.EVENT_STATIONS)
 
 
+@register("s01_interval_export", sql("telemetry", """
+SELECT t.station, c.ts, c.ts + INTERVAL 15 MINUTE AS ts_end, v.value
+FROM (SELECT DISTINCT station FROM telemetry) t CROSS JOIN (SELECT DISTINCT ts FROM telemetry) c
+LEFT JOIN telemetry v ON v.station = t.station AND v.ts = c.ts"""))
+def s01(spark, sf):
+    """Write the telemetry as an interval export (metadata and name lines first), then read it."""
+    from rainloom.session import scratch_path
+    from rainloom.sources.interval_export import read_interval_series
+
+    named = views.EVENT_STATIONS
+    wide = joins.align_by_date(views.telemetry(spark, sf), named, ["value"], time="ts")
+    blank = F.lit("")
+    lines = wide.select(F.concat_ws(
+        ",", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        F.date_format(F.col("ts") + F.expr("INTERVAL 15 MINUTES"), "yyyy-MM-dd HH:mm:ss"),
+        *[F.coalesce(F.col(f"{s}_value").cast("string"), blank) for s in named]).alias("value"))
+    head = spark.createDataFrame([(t,) for t in ("export", "ids", "names", "units", "Start,End" + ",Total" * len(named))],
+                                 "value string")
+    path = scratch_path(spark)
+    head.unionByName(lines).write.text(path)
+    return read_interval_series(spark, path, named)
+
+
+@register("s04_csv_round_trip", sql("region_dense", "SELECT station, date, value FROM region_dense"))
+def s04(spark, sf):
+    from rainloom.session import scratch_path
+    from rainloom.sources import sinks, tables
+
+    path = scratch_path(spark)
+    sinks.write_csv(views.region_dense(spark, sf).withColumnRenamed("date", "Date"), path)
+    return tables.canonical_date(tables.read_csv(spark, path, "station string, Date date, value double"))
+
+
+@register("s10_series_sink", sql("ship", "SELECT station, date, value FROM ship"))
+def s10(spark, sf):
+    from rainloom.session import scratch_path
+    from rainloom.sources import sinks
+
+    path = scratch_path(spark)
+    sinks.write_series(views.ship(spark, sf), path)
+    return spark.read.schema("date date, value double, station string").parquet(path).select("station", "date", "value")
+
+
 @register("s15_map_covariates", sql("covar", """
 SELECT date, cv_disc AS era5_d2m, cv_tax AS era5_t2m, cv_tp AS era5_tp FROM covar"""))
 def s15(spark, sf):
@@ -374,7 +416,7 @@ def s15(spark, sf):
 @register("j01_validated_left_join", sql(["ship_dense", "covar"], """
 SELECT s.station, s.date, s.value, c.cv_disc, c.cv_tp FROM ship_dense s LEFT JOIN covar c USING (date)"""))
 def j01(spark, sf):
-    right = views.covar(spark, sf).select("date", "cv_disc", "cv_tp")
+    right = views.covar_table(spark, sf).select("date", "cv_disc", "cv_tp")
     return joins.validated_join(views.ship_dense(spark, sf), right, ["date"], "left", "m:1")
 
 
@@ -393,7 +435,7 @@ def j01b(spark, sf):
 @register("j03_inner_covariates", sql(["region_dense", "covar"], """
 SELECT r.station, r.date, r.value, c.cv_disc, c.cv_tax, c.cv_tp FROM region_dense r JOIN covar c USING (date)"""))
 def j03(spark, sf):
-    return views.region_dense(spark, sf).join(views.covar(spark, sf), ["date"])
+    return views.region_dense(spark, sf).join(views.covar_table(spark, sf), ["date"])
 
 
 @register("j04_monthly_join", sql(["region_dense", "covar"], """
@@ -409,15 +451,14 @@ def j04(spark, sf):
 
 @register("j08_align_frames", sql("region_filled", "SELECT date, " + ", ".join(
     f"max(CASE WHEN station = '{s}' THEN value END) AS s{s}_actual, "
-    f"max(CASE WHEN station = '{s}' THEN fc END) AS s{s}_pred" for s in ("0", "1", "2"))
+    f"max(CASE WHEN station = '{s}' THEN fc END) AS s{s}_pred" for s in views.REGION_STATIONS)
     + """ FROM (SELECT station, date, value, round(value * 0.5, 6) AS fc FROM region_filled WHERE imputed = 0)
 GROUP BY date"""))
 def j08(spark, sf):
     real = quality.real_observations(views.region_filled(spark, sf)).select(
         F.concat(F.lit("s"), "station").alias("station"), "date", F.col("value").alias("actual"),
         F.round(F.col("value") * 0.5, 6).alias("pred"))
-    named = ["s0", "s1", "s2"]
-    return joins.align_by_date(real, named, ["actual", "pred"])
+    return joins.align_by_date(real, [f"s{s}" for s in views.REGION_STATIONS], ["actual", "pred"])
 
 
 @register("l01_sorted_series", sql("ship", "SELECT station, date, value FROM ship ORDER BY station, date"))

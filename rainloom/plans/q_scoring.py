@@ -263,15 +263,15 @@ def m19(spark, sf):
 
 @register("s11_wide_predictions", sql("scaled_predictions", "SELECT date, " + ", ".join(
     f"max(CASE WHEN station = '{s}' AND scale = '{c}' THEN {v} END) AS s{s}_{c}_{n}"
-    for s in ("0", "1", "2") for c in ("daily", "weekly", "monthly")
+    for s in views.REGION_STATIONS for c in ("daily", "weekly", "monthly")
     for v, n in (("actual", "actual"), ("pred", "predicted")))
-    + " FROM scaled_predictions WHERE model = 'trailing7' AND station IN ('0', '1', '2') GROUP BY date"))
+    + " FROM scaled_predictions WHERE model = 'trailing7' GROUP BY date"))
 def s11(spark, sf):
     from rainloom.sources.sinks import wide_predictions
 
     rows = views.scaled_predictions(spark, sf).where("model = 'trailing7'").withColumn(
         "station", F.concat(F.lit("s"), "station"))
-    return wide_predictions(rows, ["s0", "s1", "s2"], ["daily", "weekly", "monthly"])
+    return wide_predictions(rows, [f"s{s}" for s in views.REGION_STATIONS], ["daily", "weekly", "monthly"])
 
 
 @register("s12_horizon_predictions", sql("lead_predictions", "SELECT date, horizon_day, "
@@ -283,3 +283,16 @@ def s12(spark, sf):
 
     rows = views.lead_predictions(spark, sf).withColumn("station", F.concat(F.lit("s"), "station"))
     return horizon_predictions(rows, [f"s{s}" for s in views.REGION_STATIONS])
+
+
+@register("s13_result_sink", sql("predictions", f"""
+SELECT station, n, round(r2, 6) AS r2, round(rmse, 6) AS rmse FROM ({skill_sql(TRAILING, pooled=False)})"""))
+def s13(spark, sf):
+    """Write the scores of every station as JSON objects, then read them."""
+    from rainloom.session import scratch_path
+    from rainloom.sources import sinks
+
+    path = scratch_path(spark)
+    scores = metrics.skill(trailing(spark, sf), pooled=False).select("station", "n", "r2", "rmse")
+    sinks.write_results(r6(scores, "r2", "rmse"), path)
+    return spark.read.schema("station string, n long, r2 double, rmse double").json(path)

@@ -35,6 +35,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def scratch_path(spark: SparkSession, folder: str | None = None) -> str:
+    """A new path for this application in the shared folder; the application's folder can be removed when it ends."""
+    base = folder or shared_folder(spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return f"{base.rstrip('/')}/rainloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -47,6 +55,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = shared_folder(spark)
     if folder is None:
         return df.persist()
-    path = f"{folder.rstrip('/')}/rainloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
