@@ -171,12 +171,10 @@ def m04(spark, sf):
 
 def forecast_frame(spark, sf):
     """Feature frame with targets and split labels, written once."""
-    series = cut_lineage(views.region_filled(spark, sf))
+    series = split.chronological_split(cut_lineage(views.region_filled(spark, sf)))
+    series, extra = learners.station_encoding(series, F.col("split") == "train")
     series = features.add_targets(series, [1, 7, 30], start=0)
     frame, names = learners.tabular_features(series, views.covar_table(spark, sf), lags=(1, 2, 3, 7, 14))
-    frame = split.chronological_split(frame)
-    names = [n for n in names if not n.startswith("target")]
-    frame, extra = learners.station_encoding(frame, F.col("split") == "train")
     return cut_lineage(frame.withColumn("is_val", F.col("split") == "val")), [*names, *extra]
 
 
