@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
-from rainloom.operators import calendar, features, joins, rollup, windows
+from rainloom.operators import features, rollup, windows
 from rainloom.operators.chunks import BY_DATE
 from rainloom.plans import views
 from rainloom.plans.registry import r6, register

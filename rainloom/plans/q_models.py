@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
-from rainloom.operators import features, impute, learners, metrics, monthly, quality, rollup, split
+from rainloom.operators import features, learners, metrics, monthly, quality, rollup, split
 from rainloom.operators.chunks import MONTHLY, over_halo
 from rainloom.plans import views
 from rainloom.plans.registry import r6, register

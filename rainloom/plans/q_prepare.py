@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
-from rainloom.operators import counters, features, impute, metrics, quality, scaling, spatial, split, stats
+from rainloom.operators import (counters, features, impute, joins, metrics, quality, rollup, scaling, spatial, split,
+                                stats)
 from rainloom.operators.chunks import DAILY, slots
 from rainloom.plans import views
 from rainloom.plans.registry import r6, register
@@ -251,8 +252,6 @@ WITH m AS (SELECT station, CAST(date_trunc('month', date) AS DATE) AS month, rou
            FROM region_dense GROUP BY 1, 2),
 """ + ordinal_sql("m", SEPARATE, "month").strip()[5:] + " SELECT station, month, total, split FROM m JOIN c USING (month)"))
 def w16(spark, sf):
-    from rainloom.operators import rollup
-
     months = r6(rollup.monthly_totals(views.region_dense(spark, sf)), "total")
     return split.chronological_split(months, time="month").select("station", "month", "total", "split")
 
@@ -301,15 +300,10 @@ def a11(spark, sf):
     return r6(stats.correlations(series.join(views.covar_table(spark, sf), "date"), COLUMNS), "r")
 
 
-PAIRS = [(a, b) for i, a in enumerate(views.REGION_STATIONS) for b in views.REGION_STATIONS[i + 1:]]
-
-
 @register("j10_station_correlations", sql("region_dense", """
 SELECT 's' || a.station AS x, 's' || b.station AS y, round(corr(a.value, b.value), 6) AS r
 FROM region_dense a JOIN region_dense b ON a.date = b.date AND a.station < b.station GROUP BY 1, 2"""))
 def j10(spark, sf):
-    from rainloom.operators import joins
-
     wide = joins.long_to_wide(views.region_dense(spark, sf), views.REGION_STATIONS)
     wide = wide.withColumnsRenamed({s: f"s{s}" for s in views.REGION_STATIONS})
     return r6(stats.correlations(wide, [f"s{s}" for s in views.REGION_STATIONS]), "r")

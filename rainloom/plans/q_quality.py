@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rainloom.functions import scalars as fx
-from rainloom.operators import calendar, joins, quality, rollup
-from rainloom.operators.chunks import BY_DATE, DAILY
+from rainloom.operators import calendar, features, joins, quality, rollup
 from rainloom.plans import views
 from rainloom.plans.registry import r6, register
 from rainloom.plans.views import sql
@@ -289,8 +287,6 @@ SELECT unnest(['value', 'lag3', 'lag7', 'rm7']) AS column_name,
        count(*) AS n_rows
 FROM f"""))
 def a16(spark, sf):
-    from rainloom.operators import features
-
     series = views.region_rain(spark, sf)
     wide = features.add_rolling(features.add_lags(series, [3, 7]), [7])
     return quality.integrity(wide, ["value", "lag3", "lag7", "rm7"])
@@ -519,8 +515,6 @@ SELECT station, date, round(total, 6) AS total, peak, round(std, 6) AS std,
        round(sin(2 * pi() * month(date) / 12), 6) AS month_sin, round(cos(2 * pi() * month(date) / 12), 6) AS month_cos
 FROM f""")
 def flagship(spark, sf):
-    from rainloom.operators import features
-
     events = views.table(spark, sf, "events").select(F.col("event_type").alias("station"), "ts", "value")
     days = calendar.densify(views.cut_lineage(rollup.daily(events)))
     table = features.engineered_daily(days, threshold=20000.0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
 from rainloom.functions.aggregates import pearson
-from rainloom.operators import features, joins, metrics, quality
+from rainloom.operators import features, metrics, quality
 from rainloom.plans import views
 from rainloom.plans.registry import r6, register
 from rainloom.plans.views import sql
