@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,14 @@ def join_stats(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "i
     return df.join(cut_lineage(stats), list(on), how)
 
 
+def in_passes(table: DataFrame, items: Sequence, size: int,
+              one_pass: Callable[[DataFrame, Sequence], DataFrame]) -> DataFrame:
+    """Union of ``one_pass`` over blocks of ``items``; the table is written once when there are several."""
+    blocks = [items[i:i + size] for i in range(0, len(items), size)]
+    source = table if len(blocks) == 1 else cut_lineage(table)
+    return reduce(DataFrame.unionByName, [one_pass(source, block) for block in blocks])
+
+
 class KeyViolation(ValueError):
     """A join side holds a key more often than the requested cardinality allows."""
 

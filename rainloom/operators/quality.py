@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.operators.joins import join_stats
+from rainloom.operators.joins import in_passes, join_stats
 
 OVERALL = "OVERALL"
 
@@ -87,26 +87,31 @@ def support_status(df: DataFrame, min_rows: int = 20) -> DataFrame:
         "status", F.when(F.col("n_real") < min_rows, F.lit("sensor_offline")).otherwise(F.lit("scored")))
 
 
-def cooccurrence(df: DataFrame, stations: Sequence[str]) -> DataFrame:
+def cooccurrence(df: DataFrame, stations: Sequence[str], pairs_per_pass: int = 200) -> DataFrame:
     """For each pair of named stations: dates both, only the first, only the second miss; and all miss.
 
-    One wide pass over dates; no station pairs are materialised per date.
+    One row per date with a flag per station, then aggregates over pairs; no
+    station pairs are materialised per date.  Many pairs take several passes
+    over that table, which is then written once.
     """
     gone = [F.coalesce(F.max(F.when(F.col("station") == s, F.col("value").isNull().cast("int"))), F.lit(1)).alias(s)
             for s in stations]
     wide = df.where(F.col("station").isin(list(stations))).groupBy("date").agg(*gone)
     everyone = sum((F.col(s) for s in stations), F.lit(0)) == len(stations)
     pairs = list(combinations(stations, 2))
-    sums = wide.agg(F.count_if(everyone).alias("all_missing"), *[
-        c for i, (a, b) in enumerate(pairs) for c in (
-            F.count_if((F.col(a) == 1) & (F.col(b) == 1)).alias(f"both{i}"),
-            F.count_if((F.col(a) == 1) & (F.col(b) == 0)).alias(f"first{i}"),
-            F.count_if((F.col(a) == 0) & (F.col(b) == 1)).alias(f"second{i}"))])
-    rows = F.array(*[F.struct(F.lit(a).alias("station_a"), F.lit(b).alias("station_b"),
-                              F.col(f"both{i}").alias("both_missing"), F.col(f"first{i}").alias("only_a_missing"),
-                              F.col(f"second{i}").alias("only_b_missing"), F.col("all_missing"))
-                     for i, (a, b) in enumerate(pairs)])
-    return sums.select(F.inline(rows))
+
+    def one_pass(table: DataFrame, some: Sequence[tuple[str, str]]) -> DataFrame:
+        sums = table.agg(F.count_if(everyone).alias("all_missing"), *[
+            c for i, (a, b) in enumerate(some) for c in (
+                F.count_if((F.col(a) == 1) & (F.col(b) == 1)).alias(f"both{i}"),
+                F.count_if((F.col(a) == 1) & (F.col(b) == 0)).alias(f"first{i}"),
+                F.count_if((F.col(a) == 0) & (F.col(b) == 1)).alias(f"second{i}"))])
+        return sums.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("station_a"), F.lit(b).alias("station_b"), F.col(f"both{i}").alias("both_missing"),
+                     F.col(f"first{i}").alias("only_a_missing"), F.col(f"second{i}").alias("only_b_missing"),
+                     F.col("all_missing")) for i, (a, b) in enumerate(some)])))
+
+    return in_passes(wide, pairs, pairs_per_pass, one_pass)
 
 
 def missing_patterns(df: DataFrame, stations: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rainloom.functions.aggregates import pearson
 from rainloom.operators.chunks import DAILY, Axis, ordered_prefix, over_halo
-from rainloom.operators.joins import join_stats
+from rainloom.operators.joins import in_passes, join_stats
 from rainloom.operators.ranks import with_value_bucket
 from rainloom.session import cut_lineage
 
@@ -54,13 +54,18 @@ def describe(df: DataFrame, keys: Sequence[str] = ("station",), value: str = "va
     return joined.withColumns({c: F.bround(c, digits) for c in joined.columns if c not in (*keys, "n")})
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation of named columns, long form with ``x < y``."""
-    pairs = list(combinations(sorted(columns), 2))
-    row = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"_{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)])))
+def correlations(df: DataFrame, columns: Sequence[str], pairs_per_pass: int = 200) -> DataFrame:
+    """Pairwise-complete Pearson correlation of named columns, long form with ``x < y``.
+
+    All pairs of a pass share one aggregation; many columns take several passes.
+    """
+    def one_pass(table: DataFrame, some: Sequence[tuple[str, str]]) -> DataFrame:
+        row = table.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(some)])
+        return row.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"_{i}").alias("r"))
+            for i, (a, b) in enumerate(some)])))
+
+    return in_passes(df.select(*columns), list(combinations(sorted(columns), 2)), pairs_per_pass, one_pass)
 
 
 def lag_rank_correlation(df: DataFrame, lags: Sequence[int], value: str = "value", axis: Axis = DAILY) -> DataFrame:

@@ -399,3 +399,22 @@ def test_grid_bounding_box_reaches_the_scan(spark, tmp_path):
     box = spatial.bounding_box(spark.read.parquet(str(tmp_path / "g")), (2.5, 4.0), (100.0, 102.0))
     assert "GreaterThanOrEqual(lat,2.5)" in box._jdf.queryExecution().executedPlan().toString()
     assert box.count() == 1
+
+
+def test_pair_statistics_in_several_passes(series):
+    rng = np.random.default_rng(8)
+    values = {s: [None if rng.random() < 0.3 else float(rng.integers(0, 9)) for _ in range(40)] for s in "abcde"}
+    df = series(values)
+    once, split_up = (sorted(map(tuple, quality.cooccurrence(df, list("abcde"), n).collect())) for n in (200, 3))
+    assert once == split_up and len(once) == 10
+    wide = joins.long_to_wide(df, list("abcde"))
+    want = pd.DataFrame(values, dtype=float).corr()
+    for n in (200, 4):
+        got = {(r.x, r.y): r.r for r in stats.correlations(wide, list("abcde"), n).collect()}
+        assert len(got) == 10 and all(v == pytest.approx(want.loc[k]) for k, v in got.items())
+
+
+def test_approximate_quantiles_option(series):
+    df = series({"a": [float(i) for i in range(101)]})
+    row = stats.approximate_quantiles(df, ["station"], "value", (0.25, 0.5), ("q25", "q50")).first()
+    assert (row.q25, row.q50) == (25.0, 50.0)
