@@ -378,6 +378,7 @@ def test_nearest_cell_with_holes_matches_brute_force(spark):
 
 
 def test_published_station_cells(spark):
+    # Five station positions and their known distances to the nearest 0.25 degree cell.
     stations = spark.createDataFrame([("p", 3.873, 103.191), ("f", 3.836, 103.161), ("k", 3.830, 103.290),
                                       ("b", 3.762, 103.236), ("c", 4.130, 103.394)], "station string, lat double, lon double")
     grid = spark.createDataFrame([(3.0 + i * 0.25, 101.0 + j * 0.25) for i in range(11) for j in range(11)],
