@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rainloom.llm import bpe
+from rainloom.llm import bpe, toxicity
 
 QUERIES = {
+    "op5_compression_toxicity": toxicity.op5,
     "op10_byte_bpe": bpe.op10,
 }
 ORACLES: dict[str, str] = {}
