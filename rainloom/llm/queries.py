@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rainloom.llm import bpe, toxicity
+from rainloom.llm import bpe, secrets, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1,
     "op5_compression_toxicity": toxicity.op5,
     "op10_byte_bpe": bpe.op10,
 }
