@@ -28,6 +28,8 @@ FIT_ROWS = 3000
 WINDOW, PIECE, COMMON_WORDS, PIECES = 64, (5, 14), 400, 400
 #: A piece counts if this share of toxic documents has it, this many times the share of ordinary documents.
 SHARE, TIMES = 0.02, 25
+#: Its two counts must be less likely than e^-SURE, over the number of pieces looked at, if it had nothing to do with toxicity.
+SURE = 3.0
 
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]{2,}")
 
@@ -101,13 +103,13 @@ def word_counts(texts: list[str]) -> Counter:
 def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ordinary: int) -> Model:
     """Dictionaries from (word, toxic documents, ordinary documents with it).
 
-    Pieces are chosen greedily: each round takes the piece that saves most in
-    the toxic words not covered yet, among those that ordinary text hardly has.
+    Pieces are chosen greedily: each round takes the one whose counts in toxic
+    words not covered yet and in ordinary words are most surprising.
     """
     small, large = PIECE
 
     def pieces(word: bytes) -> set[bytes]:
-        word = b" " + word
+        word = b" " + word + b" "
         return {word[i:i + k] for k in range(small, min(len(word), large) + 1) for i in range(len(word) - k + 1)}
 
     toxic: Counter = Counter()
@@ -122,7 +124,18 @@ def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ord
         if b:
             for p in pieces(word) & toxic.keys():
                 ordinary[p] += b
-    apart = {p for p, c in toxic.items() if (c + 0.5) / n_toxic > TIMES * (ordinary[p] + 0.5) / max(n_ordinary, 1)}
+    expected = n_toxic / max(n_toxic + n_ordinary, 1)
+    needed = SURE + np.log(max(len(toxic), 1))
+
+    def surprise(a: int, b: int) -> float:
+        """Log-likelihood ratio of the two counts against the classes' sizes."""
+        share = a / (a + b)
+        return a * np.log(share / expected) + (b * np.log((1 - share) / (1 - expected)) if b else 0.0)
+
+    def stands_out(a: int, b: int) -> bool:
+        return (a + 0.5) / n_toxic > TIMES * (b + 0.5) / max(n_ordinary, 1) and surprise(a, b) > needed
+
+    apart = {p for p, c in toxic.items() if stands_out(c, ordinary[p])}
     owners = defaultdict(list)
     for word, a, _ in counts:
         if a:
@@ -130,13 +143,14 @@ def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ord
                 owners[p].append((word, a))
     covered: set[bytes] = set()
     chosen: list[bytes] = []
-    waiting = sorted(apart, key=lambda p: (-toxic[p] * (len(p) - 2), p))
+    waiting = list(apart)
     while waiting and len(chosen) < PIECES:
         left = {p: sum(a for w, a in owners[p] if w not in covered) for p in waiting}
-        waiting = sorted((p for p in waiting if left[p] >= least), key=lambda p: (-left[p] * (len(p) - 2), p))
+        waiting = [p for p in waiting if left[p] >= least and stands_out(left[p], ordinary[p])]
         if waiting:
-            chosen.append(waiting[0])
-            covered |= {w for w, _ in owners[waiting[0]]}
+            best = min(waiting, key=lambda p: (-surprise(left[p], ordinary[p]), -len(p), p))
+            chosen.append(best)
+            covered |= {w for w, _ in owners[best]}
     common_words = sorted(counts, key=lambda x: (-x[2], x[0]))[:COMMON_WORDS]
     base = b"".join(b" " + w for w, _, _ in reversed(common_words))
     return Model(base, b"".join(reversed(chosen)) + base)
@@ -151,7 +165,7 @@ def calibrate(model: Model, gained: np.ndarray, toxic: np.ndarray, weight: np.nd
     table = np.zeros((MOST + 1, MOST + 1, 2))
     clipped = np.clip(gained, 0, MOST)
     np.add.at(table, (clipped[:, 0], clipped[:, 1], toxic), weight)
-    prior = table.sum(axis=(0, 1)) / max(table.sum(), 1e-9)
+    prior = (table.sum(axis=(0, 1)) + (1, 0.1)) / (table.sum() + 1.1)
     spread = np.exp(-0.5 * ((np.arange(MOST + 1)[:, None] - np.arange(MOST + 1)) / 0.6) ** 2)
     smooth = np.einsum("ij,jkc,lk->ilc", spread, table, spread) + 0.2 * prior
     score = smooth[..., 1] / smooth.sum(axis=2)
