@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rainloom.llm import bpe, pii, secrets, toxicity
+from rainloom.llm import bpe, html_text, pii, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op5_compression_toxicity": toxicity.op5,
+    "op6_text_density": html_text.op6,
     "op7_semi_markov_pii": pii.op7,
     "op10_byte_bpe": bpe.op10,
 }
