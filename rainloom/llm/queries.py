@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from rainloom.llm import bpe, html_text, pii, secrets, toxicity
+from rainloom.llm import bpe, host_rules, html_text, pii, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op5_compression_toxicity": toxicity.op5,
     "op6_text_density": html_text.op6,
     "op7_semi_markov_pii": pii.op7,
+    "op8_host_rules": host_rules.op8,
+    "op9_url_filter": url_filter.op9,
     "op10_byte_bpe": bpe.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_host_rules": host_rules.SQL,
+}
