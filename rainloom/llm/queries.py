@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rainloom.llm import bpe, decontaminate, host_rules, html_text, near_dedup, pii, secrets, toxicity, url_filter
+from rainloom.llm import bpe, decontaminate, host_rules, html_text, language_model, near_dedup, pii, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op2_minhash_dedup": near_dedup.op2,
     "op3_suffix_decontamination": decontaminate.op3,
+    "op4_stupid_backoff": language_model.op4,
     "op5_compression_toxicity": toxicity.op5,
     "op6_text_density": html_text.op6,
     "op7_semi_markov_pii": pii.op7,
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_minhash_dedup": near_dedup.SQL,
     "op3_suffix_decontamination": decontaminate.SQL,
+    "op4_stupid_backoff": language_model.SQL,
     "op8_host_rules": host_rules.SQL,
 }
