@@ -102,8 +102,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int, key: str, text: str) -> DataFrame:
     """``id`` and ``shingles`` (ascending hashes, 8 bytes each) of the named rows, from the texts again."""
-    ids = cut_lineage(ids.distinct())
-    named = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    named = _by_size(ids.distinct())
     rows = docs.select(docs[key].alias("id"), common.text_or_empty(text).alias("text")).join(named, "id", "left_semi")
 
     def work(batch: pa.RecordBatch):
@@ -117,6 +116,24 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int, key: str, text: str) -> Da
     return cut_lineage(found.dropDuplicates(["id"]))
 
 
+def first_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` that are the least key of their component; of rows with one key one stays, without key all."""
+    rest = _by_size(found.where(F.col(key) != F.col("component_id")).select(key).distinct())
+    kept = docs.join(rest, key, "left_anti")
+    twice = cut_lineage(docs.groupBy(key).count().where(f"count > 1 and {key} is not null").select(key))
+    if twice.take(1):  # only their rows are shuffled
+        twice = _by_size(twice)
+        once = kept.join(twice, key, "left_semi").dropDuplicates([key])
+        kept = kept.join(twice, key, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def _by_size(ids: DataFrame) -> DataFrame:
+    """Ids as a written table, marked for broadcast if they are few enough; else the engine shuffles both sides."""
+    ids = cut_lineage(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "sa"), ("b", "sb")))
