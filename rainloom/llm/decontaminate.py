@@ -214,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     if len(blocks) == 1:
         found = _look_up(rows, blocks[0], hidden)
     else:  # one pass a block; the rows are numbered once so that their parts meet again
-        numbered = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()))
+        numbered = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()).select(*hidden, "__row", "__text"))
         parts = reduce(DataFrame.unionByName, [_look_up(numbered, b, [*hidden, "__row"]) for b in blocks])
         found = parts.groupBy("__row").agg(
             *(F.first(h).alias(h) for h in hidden), F.max("n_words").alias("n_words"),
