@@ -44,10 +44,41 @@ def spine(df: DataFrame, keys: Sequence[str] = ("station",), time: str = "date",
 
 
 def densify(df: DataFrame, keys: Sequence[str] = ("station",), time: str = "date",
-            minutes: int | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """Series on the full calendar; values are NULL where no row existed."""
-    grid = spine(df, keys, time, minutes, start, end)
-    return grid.join(df, [*keys, time], "left").select(*df.columns)
+            minutes: int | None = None, start: Column | None = None, end: Column | None = None,
+            off_grid: str = "fail") -> DataFrame:
+    """Series on the full calendar; values are NULL where no row existed.
+
+    Readings between two slots, or without a time, have no place on the
+    calendar: ``off_grid`` "fail" raises when such a row is read, "slot" moves a
+    reading to the start of its slot (several may then share one), "drop" leaves
+    them out.  Rows that repeat a key and time stay repeated.  Rows outside an
+    explicit ``start`` and ``end`` are not part of the result.
+    """
+    if off_grid not in ("fail", "slot", "drop"):
+        raise ValueError(f"off_grid can't be {off_grid}")
+    t = F.col(time)
+    if minutes is None:
+        own = F.to_date(t)
+        exact = t.isNotNull() if dict(df.dtypes)[time] == "date" else t == own
+    else:
+        own = slot_start(t, minutes)
+        exact = t == own
+    if off_grid == "slot":
+        rows = df.where(t.isNotNull()).withColumn(time, own)
+    elif off_grid == "drop":
+        rows = df.where(F.coalesce(exact, F.lit(False)))
+    else:
+        broken = F.raise_error(F.concat(F.lit("a reading is off the calendar: "), F.coalesce(t.cast("string"), F.lit("no time"))))
+        rows = df.withColumn(time, F.when(F.coalesce(exact, F.lit(False)), t).otherwise(broken.cast(dict(df.dtypes)[time])))
+    grid = spine(rows if off_grid != "fail" else df, keys, time, minutes, start, end)
+    return grid.join(rows, [*keys, time], "left").select(*df.columns)
+
+
+def slot_start(time: Column, minutes: int) -> Column:
+    """Start of the slot of the day that a timestamp lies in."""
+    midnight = F.to_date(time).cast("timestamp_ntz")
+    second = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+    return midnight + F.make_dt_interval(secs=(second - second % (minutes * 60)).cast("decimal(18,6)"))
 
 
 def missing_timestamps(df: DataFrame, keys: Sequence[str] = ("station",), time: str = "date",

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ class Axis:
     unit: str = "day"  # day | month | seconds
     step_seconds: int = DAY_SECONDS
     chunk_steps: int = 1024
+    gapless: bool = False  # every step has one row, as after ``calendar.densify``
 
     def ordinal(self) -> Column:
         """Step number since 1970; independent of the session time zone."""
@@ -48,6 +50,7 @@ class Axis:
 
 
 DAILY = Axis()
+DENSE = Axis(gapless=True)
 MONTHLY = Axis(time="month", unit="month")
 BY_DATE = Axis(keys=())
 
@@ -57,22 +60,30 @@ def slots(minutes: int = 15, time: str = "ts") -> Axis:
 
 
 def over_halo(df: DataFrame, axis: Axis, columns: Callable[[WindowSpec], Mapping[str, Column]],
-              before: int = 0, after: int = 0) -> DataFrame:
+              before: int = 0, after: int = 0, by_time: bool = False) -> DataFrame:
     """Add window columns whose frames reach at most ``before``/``after`` rows.
 
-    The series must be gapless per key (see ``calendar.densify``), so that rows
-    and time steps agree.  ``columns`` gets the window and returns name -> column.
+    ``columns`` gets the window and returns name -> column.  Chunks hold equally
+    many rows of a key; on a ``gapless`` axis, or with ``by_time`` (frames that
+    reach so many steps, not rows), they are cut by time, which saves counting
+    the rows.  Rows without a time come first, like in any window.
     """
     size = max(axis.chunk_steps, 8 * (before + after))
-    step = axis.ordinal()
+    if axis.gapless or by_time:
+        placed, step = df, axis.ordinal()
+    else:
+        step = axis.ordinal()
+        placed = ordered_prefix(df, axis.keys, [axis.time], F.coalesce(F.floor(step / F.lit(size)), F.lit(-(1 << 40))),
+                                before="_row", total="_rows").drop("_rows")
+        step = F.col("_row")
     width = F.lit(size)
     spread = (
-        df.withColumn("_home", F.floor(step / width))
-        .withColumn("_chunk", F.explode(F.sequence(F.floor((step - after) / width),
-                                                   F.floor((step + before) / width))))
+        placed.withColumn("_home", F.floor(step / width))
+        .withColumn("_chunk", F.explode_outer(F.sequence(F.floor((step - after) / width),
+                                                         F.floor((step + before) / width))))
     )
-    window = Window.partitionBy(*axis.keys, "_chunk").orderBy(axis.time)
-    return spread.withColumns(dict(columns(window))).where("_chunk = _home").drop("_chunk", "_home")
+    window = Window.partitionBy(*axis.keys, "_chunk").orderBy("_row" if "_row" in placed.columns else axis.time)
+    return spread.withColumns(dict(columns(window))).where("_chunk <=> _home").drop("_chunk", "_home", "_row")
 
 
 def carry(df: DataFrame, axis: Axis, last: Mapping[str, Column] | None = None,
@@ -137,15 +148,20 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     sums = coded.groupBy(*by).agg(F.sum("_weight").alias("_sum"))
     along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
-        *by,
+        *[F.col(k).alias(f"_by_{k}") for k in by],
         F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_start"),
         F.sum("_sum").over(Window.partitionBy(*keys)).alias(total),
     )
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         coded.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-        .join(starts, by)
+        .join(starts, _all_equal(by))
         .withColumn(before, (F.col("_start") + F.col("_inside")).cast("long"))
         .withColumn(total, F.col(total).cast("long"))
-        .drop("_bucket", "_weight", "_inside", "_start")
+        .drop("_bucket", "_weight", "_inside", "_start", *[f"_by_{k}" for k in by])
     )
+
+
+def _all_equal(keys: Sequence[str]) -> Column:
+    """Keys equal their copies of the other side; NULL equals NULL."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys])

@@ -59,7 +59,7 @@ def add_time_rolling(df: DataFrame, days: int, min_obs: int, columns: Mapping[st
         return {name: F.when(F.count(c).over(by_day) >= min_obs, F.avg(c).over(by_day))
                 for c, name in columns.items()}
 
-    return over_halo(df, axis, rolled, before=days)
+    return over_halo(df, axis, rolled, before=days, by_time=True)
 
 
 def add_lags(df: DataFrame, lags: Sequence[int], column: str = "value", default: float | None = None,

@@ -17,9 +17,11 @@ def join_stats(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "i
     The statistics are written once, so Catalyst knows their real size: below
     ``spark.sql.autoBroadcastJoinThreshold`` they are broadcast and the rows are
     not shuffled, which keeps a hot group spread; above it the join is a
-    shuffled one under runtime skew handling.
+    shuffled one under runtime skew handling.  NULL keys are a group like others.
     """
-    return df.join(cut_lineage(stats), list(on), how)
+    known = cut_lineage(stats).withColumnsRenamed({k: f"_on_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on])
+    return df.join(known, same, how).drop(*[f"_on_{k}" for k in on])
 
 
 def in_passes(table: DataFrame, items: Sequence, size: int,

@@ -16,7 +16,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
@@ -126,10 +126,15 @@ class HurdleModel:
     def save(self, path: str) -> None:
         self.occurrence.write().overwrite().save(f"{path}/occurrence")
         self.amount.write().overwrite().save(f"{path}/amount")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(self.gate, self.log_cap, self.cap)], "gate double, log_cap double, cap double") \
+            .write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
     def load(cls, path: str, **settings) -> "HurdleModel":
-        return cls(PipelineModel.load(f"{path}/occurrence"), PipelineModel.load(f"{path}/amount"), **settings)
+        """What :meth:`save` stored, gate and caps included; ``settings`` replace stored ones."""
+        stored = SparkSession.getActiveSession().read.parquet(f"{path}/settings").first().asDict()
+        return cls(PipelineModel.load(f"{path}/occurrence"), PipelineModel.load(f"{path}/amount"), **{**stored, **settings})
 
 
 def fit_hurdle(frame: DataFrame, names: Sequence[str], value: str = "value", validation: str | None = None,
@@ -146,7 +151,7 @@ def fit_hurdle(frame: DataFrame, names: Sequence[str], value: str = "value", val
     if alpha is not None:
         top = rows.agg(F.max("_log").alias("m")).select("m").scalar()
         rows = rows.withColumn("_w", F.col("_w") * extreme_weight(F.col("_log") / top, alpha))
-    rows = cut_lineage(rows.select(*names, "_wet", "_log", "_w", *([validation] if validation else [])))
+    rows = small_parts(cut_lineage(rows.select(*names, "_wet", "_log", "_w", *([validation] if validation else []))))
     classifier = GBTClassifier(
         featuresCol="_features", labelCol="_wet", predictionCol="_class", weightCol="_w", maxIter=settings.rounds,
         maxDepth=settings.depth, stepSize=settings.step, subsamplingRate=settings.subsample, maxBins=settings.bins,
@@ -173,12 +178,36 @@ def fit_hurdle_per_station(frame: DataFrame, names: Sequence[str], stations: Seq
 
 
 def fit_horizons(frame: DataFrame, names: Sequence[str], horizons: Sequence[int] = (1, 7, 30),
-                 settings: TreeSettings = TreeSettings(), seed: int = 42,
-                 weight: Column | None = None) -> dict[int, PipelineModel]:
-    """One regressor per horizon on ``log1p(target{h})``; rows with an incomplete target are left out."""
-    rows = cut_lineage(frame.withColumn("_w", F.lit(1.0) if weight is None else weight))
-    return {h: regressor(names, "_y", settings, seed, weight="_w").fit(
-        rows.where(F.col(f"target{h}").isNotNull()).withColumn("_y", F.log1p(f"target{h}"))) for h in horizons}
+                 settings: TreeSettings = TreeSettings(), seed: int = 42, weight: Column | None = None,
+                 validation: str | None = None, purge: bool = False) -> dict[int, PipelineModel]:
+    """One regressor per horizon on ``log1p(target{h})``; rows with an incomplete target are left out.
+
+    ``validation`` names a boolean column of rows kept for early stopping.  With
+    ``purge`` the origins before them whose target reaches into their dates are
+    left out as well.
+    """
+    rows = frame.withColumn("_w", F.lit(1.0) if weight is None else weight)
+    kept = [*names, "date", "_w", *[f"target{h}" for h in horizons], *([validation] if validation else [])]
+    rows = small_parts(cut_lineage(rows.select(*kept)))
+    first = rows.where(F.col(validation)).agg(F.min("date").alias("d")).select("d").scalar() if validation and purge else None
+
+    def fit(h: int) -> PipelineModel:
+        usable = F.col(f"target{h}").isNotNull()
+        if first is not None:
+            usable &= F.col(validation) | (F.date_add("date", h - 1) < first)
+        return regressor(names, "_y", settings, seed, weight="_w", validation=validation).fit(
+            rows.where(usable).withColumn("_y", F.log1p(f"target{h}")))
+
+    return {h: fit(h) for h in horizons}
+
+
+#: Rows that one task of a boosting round handles at least: rounds run one after the other, so tiny tasks cost most.
+ROWS_PER_TASK = 20_000
+
+
+def small_parts(rows: DataFrame) -> DataFrame:
+    """A written training table in as few parts as its size allows."""
+    return rows.coalesce(max(1, min(rows.count() // ROWS_PER_TASK + 1, max(1, len(rows.inputFiles())))))
 
 
 def predict_horizons(frame: DataFrame, models: Mapping[int, PipelineModel]) -> DataFrame:
@@ -199,9 +228,10 @@ def lead_frame(frame: DataFrame, horizon: int = 14) -> DataFrame:
 
 
 def fit_lead_model(rows: DataFrame, names: Sequence[str], settings: TreeSettings = TreeSettings(),
-                   seed: int = 42) -> PipelineModel:
-    labelled = cut_lineage(rows.select(*names, "lead", F.log1p("value").alias("_y")))
-    return regressor([*names, "lead"], "_y", settings, seed).fit(labelled)
+                   seed: int = 42, validation: str | None = None) -> PipelineModel:
+    labelled = small_parts(cut_lineage(rows.select(
+        *names, "lead", F.log1p("value").alias("_y"), *([validation] if validation else []))))
+    return regressor([*names, "lead"], "_y", settings, seed, validation=validation).fit(labelled)
 
 
 # ---------------------------------------------------------------- learned imputer
@@ -237,13 +267,29 @@ class LearnedImputer:
         frame = self.cells(df, known)
         own = {*df.columns, "x", "x_own"}
         self.names = [c for c in frame.columns if c not in own]
-        train = cut_lineage(frame.where("x_own IS NOT NULL").select(*self.names, "x_own"))
+        train = small_parts(cut_lineage(frame.where("x_own IS NOT NULL").select(*self.names, "x_own")))
         assembler = VectorAssembler(inputCols=self.names, outputCol="_features")
         self.models = [Pipeline(stages=[assembler, RandomForestRegressor(
             featuresCol="_features", labelCol="x_own", predictionCol=f"_p{seed}", numTrees=self.trees,
             maxDepth=self.depth, subsamplingRate=0.8, seed=seed)]).fit(train) for seed in self.seeds]
         return self
 
+    def save(self, path: str) -> None:
+        """Members, scaler and feature names under one folder."""
+        for seed, model in zip(self.seeds, self.models):
+            model.write().overwrite().save(f"{path}/member-{seed}")
+        self.params.write.mode("overwrite").parquet(f"{path}/scaler")
+        self.params.sparkSession.createDataFrame(
+            [(self.half, list(self.seeds), self.trees, self.depth, self.names)],
+            "half int, seeds array<int>, trees int, depth int, names array<string>").write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str) -> "LearnedImputer":
+        spark = SparkSession.getActiveSession()
+        stored = spark.read.parquet(f"{path}/settings").first().asDict()
+        return cls(**stored, models=[PipelineModel.load(f"{path}/member-{seed}") for seed in stored["seeds"]],
+                   params=spark.read.parquet(f"{path}/scaler"))
+
     def predict(self, df: DataFrame, known: str = "value", where: Column | None = None) -> DataFrame:
         """Mean prediction of the ensemble as ``candidate`` in original units, and the first member as ``single``."""
         rows = self.cells(df, known)
@@ -275,12 +321,13 @@ def search(train: DataFrame, validation: DataFrame, names: Sequence[str], label:
            grid: Mapping[str, Sequence[float]], base: TreeSettings = TreeSettings(), seed: int = 42,
            parallel: int = 2) -> DataFrame:
     """Validation RMSE of every setting in the grid, trained on the earlier rows."""
-    fit_rows = cut_lineage(train.select(*names, label))
+    fit_rows = small_parts(cut_lineage(train.select(*names, label).withColumn("_val", F.lit(False)).unionByName(
+        validation.select(*names, label).withColumn("_val", F.lit(True)))))
     check_rows = cut_lineage(validation.select(*names, label))
     settings = [dict(zip(grid, values)) for values in product(*grid.values())]
 
     def score(choice: dict) -> tuple:
-        model = regressor(names, label, TreeSettings(**{**base.__dict__, **choice}), seed).fit(fit_rows)
+        model = regressor(names, label, TreeSettings(**{**base.__dict__, **choice}), seed, validation="_val").fit(fit_rows)
         error = F.col("prediction") - F.col(label)
         loss = model.transform(check_rows).agg(F.sqrt(F.avg(error * error)).alias("rmse")).first()["rmse"]
         return (*[float(choice[k]) for k in grid], loss)
@@ -309,24 +356,19 @@ def permutation_importance(model: PipelineModel, frame: DataFrame, names: Sequen
 
     def ranked(salt: str) -> DataFrame:
         code = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(f"{seed}{salt}")))
-        return ordered_prefix(rows.withColumn("_code", code), [], ["_code"], F.substring("_code", 1, 3),
+        return ordered_prefix(rows.withColumn("_code", code), [], ["_code"], F.substring("_code", 1, 4),
                               before="_rank", total="_all").drop("_code", "_all")
 
     donor = ranked("b").select("_rank", *[F.col(c).alias(f"_x_{c}") for c in names])
     mixed = cut_lineage(ranked("a").join(donor, "_rank"))
-
-    def rmse(replaced: str | None) -> Column:
-        scored = mixed if replaced is None else mixed.withColumn(replaced, F.col(f"_x_{replaced}"))
-        error = F.col("prediction") - F.col(label)
-        return model.transform(scored).agg(F.sqrt(F.avg(error * error)).alias("rmse"))
-
-    base = rmse(None).withColumn("feature", F.lit(""))
-    out = None
-    for name in names:
-        part = rmse(name).withColumn("feature", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    reference = base.select("rmse").scalar()
-    return out.select("feature", (F.col("rmse") - reference).alias("importance"))
+    # every row as it is, and once per feature with that feature of its donor: one scan, one aggregation
+    variants = F.array(*[F.struct(F.lit(changed).alias("feature"), *[
+        F.col(f"_x_{c}" if c == changed else c).alias(c) for c in names]) for changed in ("", *names)])
+    error = F.col("prediction") - F.col(label)
+    scored = model.transform(mixed.select(label, F.inline(variants))).groupBy("feature").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    scored = cut_lineage(scored)
+    reference = scored.where("feature = ''").select("rmse").scalar()
+    return scored.where("feature <> ''").select("feature", (F.col("rmse") - reference).alias("importance"))
 
 
 def top_features(importance: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom.operators.chunks import ordered_prefix
@@ -27,10 +27,12 @@ def holdout_cells(df: DataFrame, fraction: float = 0.2, seed: int = 42, value: s
 
 
 def ranked_dates(df: DataFrame, time: str = "date") -> DataFrame:
-    """Distinct dates with ordinal and count.  One row per calendar step, whatever the data size."""
-    dates = df.select(time).distinct()
-    return dates.select(time, (F.row_number().over(Window.orderBy(time)) - 1).alias("ordinal"),
-                        F.count("*").over(Window.partitionBy()).alias("n_dates"))
+    """Distinct times with ordinal and count; counted per thousand days or hours, so no task sorts them all."""
+    times = df.select(time).distinct()
+    days = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date"))
+    bucket = F.floor(days / 1000) if dict(df.dtypes)[time] == "date" else days * 24 + F.hour(time)
+    return ordered_prefix(times, [], [time], bucket.cast("long"), before="ordinal", total="n_dates").select(
+        time, F.col("ordinal").cast("int").alias("ordinal"), "n_dates")
 
 
 def _edges(fractions: tuple[float, float], second: str) -> tuple[Column, Column]:

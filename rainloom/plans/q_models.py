@@ -11,17 +11,14 @@ from rainloom.plans import views
 from rainloom.plans.registry import r6, register
 from rainloom.plans.views import cut_lineage, sql
 
-# Small settings keep the registered runs short; raise them for production fits.
-QUICK = learners.TreeSettings(rounds=8, depth=3, step=0.3)
+# The ceiling of boosting rounds, depth and step; validation rows stop earlier.
+FULL = learners.TreeSettings(rounds=400, depth=5, step=0.05)
 
 # ---------------------------------------------------------------- monthly models
 
 
-def day(text: str):
-    return F.lit(text).cast("date")
-
-
-TRAIN_UNTIL, VAL_UNTIL = "1999-08-01", "2000-08-01"
+TRAIN_UNTIL, VAL_UNTIL = views.cut_sql("mf", time="month"), views.cut_sql("mf", True, "month")
+DAYS_UNTIL = views.cut_sql("predictions")
 
 
 def month_frame(spark, sf):
@@ -48,20 +45,21 @@ mf AS (SELECT station, month, round(total, 6) AS total, round(ln(1 + cv_tp), 9)
 @register("m13_log_linear_month", sql(["region_filled", "covar"], f"""
 WITH {MONTHS.strip()},
 f AS (SELECT station, regr_slope(y, log_tp) AS slope, regr_intercept(y, log_tp) AS intercept FROM mf
-      WHERE month < DATE '{TRAIN_UNTIL}' AND y IS NOT NULL GROUP BY station)
+      WHERE month < {TRAIN_UNTIL} AND y IS NOT NULL GROUP BY station)
 SELECT station, month, total, round(exp(greatest(least(intercept + slope * log_tp, 8), 0)) - 1, 6) AS pred
-FROM mf JOIN f USING (station) WHERE month >= DATE '{VAL_UNTIL}'"""))
+FROM mf JOIN f USING (station) WHERE month >= {VAL_UNTIL}"""))
 def m13(spark, sf):
     frame = cut_lineage(month_frame(spark, sf))
-    line = monthly.fit_line(frame, "log_tp", "y", (F.col("month") < day(TRAIN_UNTIL)) & F.col("y").isNotNull())
-    scored = frame.where(F.col("month") >= day(VAL_UNTIL)).join(line, "station")
+    val_from, test_from = views.cuts(frame, "month")
+    line = monthly.fit_line(frame, "log_tp", "y", (F.col("month") < val_from) & F.col("y").isNotNull())
+    scored = frame.where(F.col("month") >= test_from).join(line, "station")
     fitted = F.col("intercept") + F.col("slope") * F.col("log_tp")
     return scored.select("station", "month", "total", F.round(monthly.amount_from_log(fitted), 6).alias("pred"))
 
 
 RIDGE = f"""
 WITH {MONTHS.strip()},
-tr AS (SELECT * FROM mf WHERE month < DATE '{TRAIN_UNTIL}' AND y IS NOT NULL),
+tr AS (SELECT * FROM mf WHERE month < {TRAIN_UNTIL} AND y IS NOT NULL),
 mo AS (SELECT station, count(*) AS n, avg(log_tp) AS m1, avg(log_lag1m) AS m2, avg(y) AS my,
               var_pop(log_tp) * count(*) AS s11, var_pop(log_lag1m) * count(*) AS s22,
               covar_pop(log_tp, log_lag1m) * count(*) AS s12, covar_pop(log_tp, y) * count(*) AS c1,
@@ -71,52 +69,54 @@ co AS (SELECT *, ((s22 + alpha) * c1 - s12 * c2) / ((s11 + alpha) * (s22 + alpha
               ((s11 + alpha) * c2 - s12 * c1) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS b2 FROM mo CROSS JOIN al),
 fi AS (SELECT station, month, total, y, alpha, my + b1 * (log_tp - m1) + b2 * (log_lag1m - m2) AS fitted
        FROM mf JOIN co USING (station)),
-bi AS (SELECT station, alpha, avg(fitted - y) AS bias FROM fi WHERE month < DATE '{TRAIN_UNTIL}' GROUP BY 1, 2),
+bi AS (SELECT station, alpha, avg(fitted - y) AS bias FROM fi WHERE month < {TRAIN_UNTIL} GROUP BY 1, 2),
 pr AS (SELECT station, month, total, alpha, exp(greatest(least(fitted - bias, 8), 0)) - 1 AS pred
        FROM fi JOIN bi USING (station, alpha)),
 lo AS (SELECT station, alpha, avg((pred - total) ** 2) AS loss FROM pr
-       WHERE month >= DATE '{TRAIN_UNTIL}' AND month < DATE '{VAL_UNTIL}' AND total IS NOT NULL GROUP BY 1, 2),
+       WHERE month >= {TRAIN_UNTIL} AND month < {VAL_UNTIL} AND total IS NOT NULL GROUP BY 1, 2),
 be AS (SELECT station, alpha FROM lo QUALIFY row_number() OVER (PARTITION BY station ORDER BY loss, alpha DESC) = 1)"""
 
 
 def ridge_predictions(spark, sf):
     frame = cut_lineage(month_frame(spark, sf))
     names = ["log_tp", "log_lag1m"]
-    trained = F.col("month") < day(TRAIN_UNTIL)
+    val_from, test_from = views.cuts(frame, "month")
+    trained = F.col("month") < val_from
     model = monthly.fit_ridge(frame, names, "y", where=trained)
     fitted = monthly.apply_linear(frame, cut_lineage(model), names)
     fitted = monthly.correct_bias(fitted, trained & F.col("y").isNotNull(), "y", by=["station", "alpha"])
     scored = cut_lineage(fitted.withColumn("pred", monthly.amount_from_log(F.col("fitted"))))
-    checked = (F.col("month") >= day(TRAIN_UNTIL)) & (F.col("month") < day(VAL_UNTIL))
-    return scored.join(monthly.choose_alpha(scored, checked, "total", "pred"), ["station", "alpha"])
+    checked = (F.col("month") >= val_from) & (F.col("month") < test_from)
+    chosen = scored.join(monthly.choose_alpha(scored, checked, "total", "pred"), ["station", "alpha"])
+    return chosen.where(F.col("month") >= test_from)
 
 
 @register("m12_monthly_ridge", sql(["region_filled", "covar"], RIDGE + f"""
 SELECT station, month, alpha, total, round(pred, 6) AS pred FROM pr JOIN be USING (station, alpha)
-WHERE month >= DATE '{VAL_UNTIL}'"""))
+WHERE month >= {VAL_UNTIL}"""))
 def m12(spark, sf):
-    test = ridge_predictions(spark, sf).where(F.col("month") >= day(VAL_UNTIL))
+    test = ridge_predictions(spark, sf)
     return r6(test.select("station", "month", "alpha", "total", "pred"), "pred")
 
 
 @register("m12_ridge_scores", sql(["region_filled", "covar"], RIDGE + f"""
 SELECT station, count(total) AS n, round(1 - avg((pred - total) ** 2) / var_pop(total), 6) AS r2,
        round(sqrt(avg((pred - total) ** 2)), 6) AS rmse, round(avg(pred - total), 6) AS bias
-FROM pr JOIN be USING (station, alpha) WHERE month >= DATE '{VAL_UNTIL}' AND total IS NOT NULL GROUP BY station"""))
+FROM pr JOIN be USING (station, alpha) WHERE month >= {VAL_UNTIL} AND total IS NOT NULL GROUP BY station"""))
 def m12b(spark, sf):
-    test = ridge_predictions(spark, sf).where((F.col("month") >= day(VAL_UNTIL)) & F.col("total").isNotNull())
+    test = ridge_predictions(spark, sf).where("total IS NOT NULL")
     scored = metrics.skill(test.withColumnRenamed("total", "actual"), pooled=False)
     return r6(scored.select("station", "n", "r2", "rmse", "bias"), "r2", "rmse", "bias")
 
 
 @register("m14_bias_correction", sql("predictions", f"""
-WITH b AS (SELECT model, station, avg(pred - actual) AS bias FROM predictions WHERE date < DATE '{TRAIN_UNTIL}' GROUP BY 1, 2)
+WITH b AS (SELECT model, station, avg(pred - actual) AS bias FROM predictions WHERE date < {DAYS_UNTIL} GROUP BY 1, 2)
 SELECT model, station, count(*) AS n, round(any_value(bias), 6) AS bias,
        round(sqrt(avg((greatest(pred - bias, 0) - actual) ** 2)), 6) AS rmse
-FROM predictions JOIN b USING (model, station) WHERE date >= DATE '{TRAIN_UNTIL}' GROUP BY 1, 2"""))
+FROM predictions JOIN b USING (model, station) WHERE date >= {DAYS_UNTIL} GROUP BY 1, 2"""))
 def m14(spark, sf):
     rows = cut_lineage(views.predictions(spark, sf))
-    trained = F.col("date") < day(TRAIN_UNTIL)
+    trained = F.col("date") < views.cuts(rows)[0]
     fixed = monthly.correct_bias(rows, trained, "actual", "pred", ["model", "station"]).where(~trained)
     scored = metrics.skill(fixed.withColumn("pred", fx.floor_at(F.col("pred"), 0.0)), ["model"], pooled=False)
     bias = fixed.groupBy("model", "station").agg(F.max("bias").alias("train_bias"))
@@ -127,14 +127,14 @@ def m14(spark, sf):
 @register("m20_quantile_mapping", sql("predictions", f"""
 WITH p AS (SELECT * FROM predictions WHERE model = 'trailing30'),
 tr AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY actual) - 1 AS i,
-              count(*) OVER (PARTITION BY station) AS n FROM p WHERE date < DATE '{TRAIN_UNTIL}'),
+              count(*) OVER (PARTITION BY station) AS n FROM p WHERE date < {DAYS_UNTIL}),
 te AS (SELECT station, date, actual, pred, (SELECT least(count(*), (SELECT max(n) - 1 FROM tr z WHERE z.station = a.station))
                                             FROM tr b WHERE b.station = a.station AND b.pred < a.pred) AS i
-       FROM p a WHERE date >= DATE '{TRAIN_UNTIL}')
+       FROM p a WHERE date >= {DAYS_UNTIL})
 SELECT te.station, te.date, te.actual, te.pred, tr.actual AS mapped FROM te JOIN tr ON tr.station = te.station AND tr.i = te.i"""))
 def m20(spark, sf):
     rows = cut_lineage(views.predictions(spark, sf).where("model = 'trailing30'").drop("model"))
-    trained = F.col("date") < day(TRAIN_UNTIL)
+    trained = F.col("date") < views.cuts(rows)[0]
     return monthly.quantile_map(rows.where(trained), rows.where(~trained)).select(
         "station", "date", "actual", "pred", "mapped")
 
@@ -146,20 +146,20 @@ def learned_cells(spark, sf, seeds):
     """Hidden holdout cells with the ensemble's and its first member's predictions."""
     held = cut_lineage(split.holdout_cells(views.region_rain(spark, sf), 0.2, 42)).withColumn(
         "known", F.when(F.col("holdout") == 0, F.col("value")))
-    fitted = learners.LearnedImputer(seeds=seeds, trees=8, depth=5).fit(held, "known")
+    fitted = learners.LearnedImputer(seeds=seeds).fit(held, "known")
     return fitted.predict(held, "known", F.col("holdout") == 1)
 
 
 @register("m03_learned_imputer")
 def m03(spark, sf):
-    fitted = learners.LearnedImputer(seeds=(42,), trees=8, depth=5)
+    fitted = learners.LearnedImputer()
     series = cut_lineage(views.region_rain(spark, sf))
     return learners.learned_impute(series, fitted, digits=4)
 
 
 @register("m04_seed_ensemble")
 def m04(spark, sf):
-    cells = learned_cells(spark, sf, (42, 123, 456)).select("station", F.col("value").alias("actual"), "single", "candidate")
+    cells = learned_cells(spark, sf, learners.SEEDS).select("station", F.col("value").alias("actual"), "single", "candidate")
     long = cells.select("station", "actual", F.inline(F.array(
         F.struct(F.lit("single").alias("model"), F.col("single").alias("pred")),
         F.struct(F.lit("ensemble").alias("model"), F.col("candidate").alias("pred")))))
@@ -174,14 +174,14 @@ def forecast_frame(spark, sf):
     series = split.chronological_split(cut_lineage(views.region_filled(spark, sf)))
     series, extra = learners.station_encoding(series, F.col("split") == "train")
     series = features.add_targets(series, [1, 7, 30], start=0)
-    frame, names = learners.tabular_features(series, views.covar_table(spark, sf), lags=(1, 2, 3, 7, 14))
+    frame, names = learners.tabular_features(series, views.covar_table(spark, sf))
     return cut_lineage(frame.withColumn("is_val", F.col("split") == "val")), [*names, *extra]
 
 
 @register("m07_multi_horizon")
 def m07(spark, sf):
     frame, names = forecast_frame(spark, sf)
-    models = learners.fit_horizons(frame.where("split = 'train'"), names, settings=QUICK)
+    models = learners.fit_horizons(frame.where("split <> 'test'"), names, settings=FULL, validation="is_val", purge=True)
     scored = learners.predict_horizons(frame.where("split = 'test' AND imputed = 0"), models)
     return metrics.skill(scored, ["horizon"])
 
@@ -190,7 +190,7 @@ def m07(spark, sf):
 def m08(spark, sf):
     frame, names = forecast_frame(spark, sf)
     rows = learners.lead_frame(frame)
-    model = learners.fit_lead_model(rows.where("split = 'train'"), names, QUICK)
+    model = learners.fit_lead_model(rows.where("split <> 'test'"), names, FULL, validation="is_val")
     scored = model.transform(rows.where("split = 'test'")).select(
         "station", "date", "horizon_day", F.col("value").alias("actual"), fx.from_log(F.col("prediction")).alias("pred"))
     return metrics.lead_skill(scored)
@@ -204,7 +204,7 @@ def hurdle_rows(spark, sf):
 @register("m09_hurdle")
 def m09(spark, sf):
     real, names = hurdle_rows(spark, sf)
-    model = learners.fit_hurdle(real.where("split <> 'test'"), names, validation="is_val", settings=QUICK)
+    model = learners.fit_hurdle(real.where("split <> 'test'"), names, validation="is_val", settings=FULL)
     return model.transform(real.where("split = 'test'")).select(
         "station", "date", F.col("value").alias("actual"), "p_wet", "pred")
 
@@ -213,7 +213,7 @@ def m09(spark, sf):
 def m09b(spark, sf):
     real, names = hurdle_rows(spark, sf)
     models = learners.fit_hurdle_per_station(real.where("split <> 'test'"), names, views.REGION_STATIONS,
-                                             parallel=4, validation="is_val", settings=QUICK)
+                                             parallel=4, validation="is_val", settings=FULL)
     scored = None
     for station, model in models.items():
         part = model.transform(real.where(F.col("split") == "test").where(F.col("station") == station)).select(
@@ -226,7 +226,7 @@ def m09b(spark, sf):
 def m10(spark, sf):
     real, names = hurdle_rows(spark, sf)
     model = learners.fit_hurdle(real.where("split <> 'test'"), names, validation="is_val", gate=0.4, alpha=3.0,
-                                threshold=0.5, settings=QUICK)
+                                threshold=0.5, settings=FULL)
     scored = model.transform(real.where("split = 'test'")).withColumnRenamed("value", "actual")
     return metrics.skill(scored).join(metrics.wet_skill(scored, 0.5).select("station", "accuracy"), "station", "left")
 
@@ -234,7 +234,7 @@ def m10(spark, sf):
 @register("m11_early_stopping")
 def m11(spark, sf):
     real, names = hurdle_rows(spark, sf)
-    patient = learners.TreeSettings(rounds=15, depth=3, step=0.5, tolerance=0.001)
+    patient = learners.TreeSettings(rounds=400, depth=5, step=0.05, tolerance=0.005)
     model = learners.fit_hurdle(real.where("split <> 'test'"), names, validation="is_val", settings=patient)
     kept = [(stage, p.stages[-1].getNumTrees, patient.rounds)
             for stage, p in (("occurrence", model.occurrence), ("amount", model.amount))]
@@ -245,16 +245,16 @@ def m11(spark, sf):
 def m16(spark, sf):
     frame, names = forecast_frame(spark, sf)
     rows = frame.withColumn("y", F.log1p("value"))
-    quick = learners.TreeSettings(rounds=5, depth=2, step=0.3)
     found = learners.search(rows.where("split = 'train'"), rows.where("split = 'val'"), names, "y",
-                            {"depth": (2, 4), "step": (0.1, 0.4)}, quick)
+                            {"depth": (3, 5), "step": (0.05, 0.2)}, FULL)
     return found.orderBy("validation_rmse")
 
 
 def fitted_daily(spark, sf):
     frame, names = forecast_frame(spark, sf)
     rows = frame.withColumn("y", F.log1p("value"))
-    model = learners.regressor(names, "y", QUICK, 42).fit(rows.where("split = 'train'"))
+    model = learners.regressor(names, "y", FULL, 42, validation="is_val").fit(
+        cut_lineage(rows.where("split <> 'test'").select(*names, "y", "is_val").coalesce(2)))
     return rows, names, model
 
 
@@ -279,6 +279,6 @@ def m18(spark, sf):
 @register("m21_confidence_weights")
 def m21(spark, sf):
     frame, names = forecast_frame(spark, sf)
-    models = learners.fit_horizons(frame.where("split = 'train'"), names, (1,), QUICK,
-                                   weight=learners.observation_weight(0.3))
+    models = learners.fit_horizons(frame.where("split <> 'test'"), names, (1,), FULL,
+                                   weight=learners.observation_weight(0.3), validation="is_val")
     return metrics.skill(learners.predict_horizons(frame.where("split = 'test' AND imputed = 0"), models), ["horizon"])

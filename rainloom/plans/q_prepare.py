@@ -131,30 +131,31 @@ def p10(spark, sf):
 
 # ---------------------------------------------------------------- scaling
 
-TRAIN = "date < DATE '1999-08-01'"
+def train_sql(view):
+    return f"date < {views.cut_sql(view)}"
 
 
-def train():
-    return F.col("date") < F.lit("1999-08-01").cast("date")
+def train(df):
+    return F.col("date") < views.cuts(df)[0]
 
 
 @register("a29_scaler_parameters", sql("region_rain", f"""
-SELECT station, round(min(ln(1 + value)) FILTER ({TRAIN}), 9) AS logged_a,
-       round(max(ln(1 + value)) FILTER ({TRAIN}), 9) AS logged_b FROM region_rain GROUP BY station"""))
+SELECT station, round(min(ln(1 + value)) FILTER ({train_sql('region_rain')}), 9) AS logged_a,
+       round(max(ln(1 + value)) FILTER ({train_sql('region_rain')}), 9) AS logged_b FROM region_rain GROUP BY station"""))
 def a29(spark, sf):
     logged = views.region_rain(spark, sf).withColumn("logged", fx.to_log(F.col("value")))
-    return r6(scaling.fit_scaler(logged, ["logged"], where=train(), keys=["station"]), "logged_a", "logged_b", digits=9)
+    return r6(scaling.fit_scaler(logged, ["logged"], where=train(logged), keys=["station"]), "logged_a", "logged_b", digits=9)
 
 
 @register("f02_minmax_global", sql("region_rain", f"""
 WITH l AS (SELECT station, date, value, ln(1 + value) AS logged FROM region_rain),
-p AS (SELECT min(logged) AS a, max(logged) AS b FROM l WHERE {TRAIN})
+p AS (SELECT min(logged) AS a, max(logged) AS b FROM l WHERE {train_sql('region_rain')})
 SELECT station, date, round((logged - a) / (b - a), 9) AS logged_scaled,
        round(greatest(exp(((logged - a) / (b - a)) * (b - a) + a) - 1, 0), 6) AS restored
 FROM l CROSS JOIN p WHERE value IS NOT NULL"""))
 def f02(spark, sf):
     logged = views.region_rain(spark, sf).withColumn("logged", fx.to_log(F.col("value")))
-    params = scaling.fit_scaler(logged, ["logged"], where=train())
+    params = scaling.fit_scaler(logged, ["logged"], where=train(logged))
     scaled = scaling.scale(logged.where("value IS NOT NULL"), params, ["logged"])
     back = scaling.unscale(scaled.withColumn("logged", F.col("logged_scaled")), params, ["logged"])
     return back.select("station", "date", F.round("logged_scaled", 9).alias("logged_scaled"),
@@ -172,12 +173,12 @@ def f02b(spark, sf):
 
 @register("f03_standardise", sql("covar", f"""
 WITH p AS (SELECT avg(cv_disc) AS da, stddev_pop(cv_disc) AS db, avg(cv_tp) AS ta, stddev_pop(cv_tp) AS tb
-           FROM covar WHERE {TRAIN})
+           FROM covar WHERE {train_sql('covar')})
 SELECT date, round((cv_disc - da) / db, 6) AS cv_disc_scaled, round((cv_tp - ta) / tb, 6) AS cv_tp_scaled
 FROM covar CROSS JOIN p"""))
 def f03(spark, sf):
     table = views.covar_table(spark, sf)
-    params = scaling.fit_scaler(table, ["cv_disc", "cv_tp"], "standard", where=train())
+    params = scaling.fit_scaler(table, ["cv_disc", "cv_tp"], "standard", where=train(table))
     out = scaling.scale(table, params, ["cv_disc", "cv_tp"], "standard")
     return r6(out.select("date", "cv_disc_scaled", "cv_tp_scaled"), "cv_disc_scaled", "cv_tp_scaled")
 
@@ -424,14 +425,21 @@ SELECT '{m}' AS model, coalesce(station, 'OVERALL') AS station, count(*) AS n,
        round(1 - avg((candidate - truth) ** 2) / var_pop(truth), 6) AS r2
 FROM (SELECT station, truth, holdout, {c} AS candidate FROM (
     SELECT station, date, value AS truth, holdout, CASE WHEN holdout = 0 THEN value END AS value FROM held))
-WHERE holdout = 1 AND candidate IS NOT NULL GROUP BY GROUPING SETS ((station), ())""" for m, c in CANDIDATES.items() if m != "forward_fill")))
+WHERE holdout = 1 AND candidate IS NOT NULL GROUP BY GROUPING SETS ((station), ())""" for m, c in CANDIDATES.items())
+          + f"""
+UNION ALL SELECT 'linear' AS model, coalesce(station, 'OVERALL') AS station, count(*) AS n,
+       round(sqrt(avg((candidate - truth) ** 2)), 6) AS rmse,
+       round(1 - avg((candidate - truth) ** 2) / var_pop(truth), 6) AS r2
+FROM ({LINEAR.replace("station, date, value, CASE", "station, truth, holdout, CASE").replace("FROM region_rain", """
+      FROM (SELECT station, date, value AS truth, holdout, CASE WHEN holdout = 0 THEN value END AS value FROM held)""")})
+WHERE holdout = 1 AND candidate IS NOT NULL GROUP BY GROUPING SETS ((station), ())"""))
 def m06(spark, sf):
     held = views.cut_lineage(split.holdout_cells(views.region_rain(spark, sf), 0.2, 42))
     hidden = held.select("station", "date", "holdout", F.col("value").alias("truth"),
                          F.when(F.col("holdout") == 0, F.col("value")).alias("value"))
     scored = None
-    for method in ("station_mean", "date_mean", "month_climatology"):
-        cells = impute.candidates(hidden, method).where("holdout = 1").select(
+    for method in (*CANDIDATES, "linear"):
+        cells = impute.candidates(hidden, method).where("holdout = 1 AND candidate IS NOT NULL").select(
             F.lit(method).alias("model"), "station", F.col("truth").alias("actual"), F.col("candidate").alias("pred"))
         scored = cells if scored is None else scored.unionByName(cells)
     return r6(metrics.skill(scored, ["model"]), "rmse", "r2").select("model", "station", "n", "rmse", "r2")

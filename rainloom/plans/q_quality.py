@@ -82,11 +82,12 @@ def p07(spark, sf):
         "station", "date", "n_missing", "eligible")
 
 
-@register("p08_support_gate", sql("region_filled", """
+@register("p08_support_gate", sql("region_filled", f"""
 SELECT station, count(*) AS n_real FROM region_filled
-WHERE imputed = 0 AND value IS NOT NULL AND date >= DATE '2001-07-08' GROUP BY station HAVING count(*) >= 20"""))
+WHERE imputed = 0 AND value IS NOT NULL AND date >= {views.cut_sql("region_filled", True)} GROUP BY station HAVING count(*) >= 20"""))
 def p08(spark, sf):
-    late = views.region_filled(spark, sf).where(F.col("date") >= F.lit("2001-07-08").cast("date"))
+    series = views.cut_lineage(views.region_filled(spark, sf))
+    late = series.where(F.col("date") >= views.cuts(series)[1])
     return quality.support_status(late, 20).where("status = 'scored'").select("station", "n_real")
 
 

@@ -157,21 +157,21 @@ def l03(spark, sf):
     return r6(metrics.best_model(model_table(spark, sf)), "r2")
 
 
-TRAIN_END = "1999-08-01"
+TRAIN_END = views.cut_sql("region_filled")
 
 
 @register("a33_climatology_baseline", sql("region_filled", f"""
 WITH f AS (SELECT station, avg(value) AS m, CAST(count(*) FILTER (value > 0) * 2 > count(*) AS INT) AS w
-           FROM region_filled WHERE imputed = 0 AND date < DATE '{TRAIN_END}' GROUP BY station),
+           FROM region_filled WHERE imputed = 0 AND date < {TRAIN_END} GROUP BY station),
 t AS (SELECT station, value AS actual, f.m AS pred, f.w FROM region_filled JOIN f USING (station)
-      WHERE imputed = 0 AND date >= DATE '{TRAIN_END}')
+      WHERE imputed = 0 AND date >= {TRAIN_END})
 SELECT station, count(*) AS n, round(sqrt(avg((pred - actual) ** 2)), 6) AS rmse,
        round(1 - avg((pred - actual) ** 2) / var_pop(actual), 6) AS r2,
        round(avg(CASE WHEN (actual > 0) = (w = 1) THEN 1.0 ELSE 0.0 END), 6) AS majority_accuracy
 FROM t GROUP BY station"""))
 def a33(spark, sf):
-    real = views.cut_lineage(quality.real_observations(views.region_filled(spark, sf)))
-    scored = metrics.climatology(real, F.col("date") < F.lit(TRAIN_END).cast("date"))
+    series = views.cut_lineage(views.region_filled(spark, sf))
+    scored = metrics.climatology(quality.real_observations(series), F.col("date") < views.cuts(series)[0])
     skill = metrics.skill(scored.withColumnsRenamed({"value": "actual", "clim_mean": "pred"}), pooled=False)
     wet = metrics.wet_skill(scored.withColumnsRenamed({"value": "actual", "clim_wet": "pred"}), 0.0)
     return r6(skill.join(wet.select("station", F.col("accuracy").alias("majority_accuracy")), "station"),
@@ -247,13 +247,14 @@ def f19(spark, sf):
 
 
 @register("m19_real_rows_scored", sql("predictions", f"""
-WITH late AS (SELECT * FROM predictions WHERE model = 'trailing7' AND date >= DATE '2001-06-27'),
+WITH late AS (SELECT * FROM predictions WHERE model = 'trailing7' AND date >= {views.cut_sql('predictions', True)}),
 g AS (SELECT station, count(*) AS n_real FROM late GROUP BY station)
 SELECT station, n_real, CASE WHEN n_real < 30 THEN 'sensor_offline' ELSE 'scored' END AS status,
        CASE WHEN n_real >= 30 THEN round(r2, 6) END AS r2
 FROM g JOIN ({skill_sql("late", pooled=False)}) USING (station)"""))
 def m19(spark, sf):
-    late = trailing(spark, sf).where(F.col("date") >= F.lit("2001-06-27").cast("date"))
+    rows = views.cut_lineage(trailing(spark, sf))
+    late = rows.where(F.col("date") >= views.cuts(rows)[1])
     scored = metrics.skill(late, pooled=False)
     offline = F.col("n") < 30
     return scored.select("station", F.col("n").alias("n_real"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainloom.operators import calendar, counters, features, joins, rollup, windows
+from rainloom.operators import calendar, counters, features, joins, rollup, split, windows
 from rainloom.session import cut_lineage
 
 SHIP_STATIONS = ["A", "N", "R"]
@@ -269,3 +269,16 @@ def sql(uses: list[str] | str, statement: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def cut_sql(view: str, second: bool = False, time: str = "date") -> str:
+    """Scalar sub-query: first validation (or, ``second``, first test) time of the 70 / 15 / 15 split of a view."""
+    edge = "floor(n * 0.7::DOUBLE)" + (" + floor(n * 0.15::DOUBLE)" if second else "")
+    return (f"(SELECT max({time}) FROM (SELECT {time}, row_number() OVER (ORDER BY {time}) - 1 AS o, count(*) OVER () AS n "
+            f"FROM (SELECT DISTINCT {time} FROM {view})) WHERE o = {edge})")
+
+
+def cuts(df: DataFrame, time: str = "date"):
+    """The same two times as columns, from a one-row table."""
+    table = split.cut_dates(df, time=time)
+    return table.select("val_from").scalar(), table.select("test_from").scalar()

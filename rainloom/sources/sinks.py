@@ -18,11 +18,11 @@ def write_series(df: DataFrame, path: str, by: Sequence[str] = ("station",), mod
                  max_rows_per_file: int = 5_000_000) -> None:
     """Parquet partitioned by station.
 
-    Rows are spread by station and year before writing, so a hot station is
-    written by several tasks and a small one does not leave many tiny files.
+    Rows are spread by station and month before writing, so a hot station is
+    written by many tasks.
     """
     time = "date" if "date" in df.columns else "ts"
-    spread = df.repartition(*by, F.year(time))
+    spread = df.repartition(*by, F.year(time), F.month(time))
     spread.write.mode(mode).option("maxRecordsPerFile", max_rows_per_file).partitionBy(*by).parquet(path)
 
 
