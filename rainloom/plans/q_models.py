@@ -12,7 +12,7 @@ from rainloom.plans.registry import r6, register
 from rainloom.plans.views import cut_lineage, sql
 
 # The ceiling of boosting rounds, depth and step; validation rows stop earlier.
-FULL = learners.TreeSettings(rounds=400, depth=5, step=0.05)
+FULL = learners.TreeSettings(rounds=400, depth=5, step=0.05, tolerance=1e-4)
 
 # ---------------------------------------------------------------- monthly models
 
@@ -234,7 +234,7 @@ def m10(spark, sf):
 @register("m11_early_stopping")
 def m11(spark, sf):
     real, names = hurdle_rows(spark, sf)
-    patient = learners.TreeSettings(rounds=400, depth=5, step=0.05, tolerance=0.005)
+    patient = learners.TreeSettings(rounds=400, depth=5, step=0.05, tolerance=0.0)
     model = learners.fit_hurdle(real.where("split <> 'test'"), names, validation="is_val", settings=patient)
     kept = [(stage, p.stages[-1].getNumTrees, patient.rounds)
             for stage, p in (("occurrence", model.occurrence), ("amount", model.amount))]
@@ -282,3 +282,123 @@ def m21(spark, sf):
     models = learners.fit_horizons(frame.where("split <> 'test'"), names, (1,), FULL,
                                    weight=learners.observation_weight(0.3), validation="is_val")
     return metrics.skill(learners.predict_horizons(frame.where("split = 'test' AND imputed = 0"), models), ["horizon"])
+
+
+# ---------------------------------------------------------------- contracts
+# What holds for any well-fitted model: which rows are scored, what they were compared with, and the range of results.
+
+
+def test_rows(target: str, by: str = "station") -> str:
+    """Scored rows of the test part whose target is known."""
+    return f"FROM rolled WHERE imputed = 0 AND {target} IS NOT NULL AND date >= {views.cut_sql('region_filled', True)}"
+
+
+@register("m03_contract", sql("region_rain", """
+SELECT station, date, value AS observed, CAST(value IS NULL AS INT) AS imputed, TRUE AS ok FROM region_rain"""))
+def m03_contract(spark, sf):
+    kept = F.col("observed").isNull() | (F.col("value") == F.col("observed"))
+    return m03(spark, sf).select("station", "date", "observed", "imputed", (kept & (F.col("value") >= 0)).alias("ok"))
+
+
+@register("m04_contract", sql("region_rain", f"""
+WITH held AS (SELECT station, count(value) AS n FROM region_rain GROUP BY station)
+SELECT model, coalesce(station, 'OVERALL') AS station, CAST(sum(floor(n * 0.2::DOUBLE)) AS BIGINT) AS n
+FROM held CROSS JOIN (SELECT unnest(['single', 'ensemble']) AS model) GROUP BY GROUPING SETS ((model, station), (model))"""))
+def m04_contract(spark, sf):
+    return m04(spark, sf).select("model", "station", "n")
+
+
+def horizon_counts(horizons) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST({h} AS INT) AS horizon, coalesce(station, 'OVERALL') AS station, count(*) AS n {test_rows(f'target{h}')} "
+        "GROUP BY GROUPING SETS ((station), ())" for h in horizons)
+
+
+@register("m07_contract", sql(["region_filled", "rolled"], horizon_counts((1, 7, 30))))
+def m07_contract(spark, sf):
+    return m07(spark, sf).select("horizon", "station", "n")
+
+
+@register("m08_contract", sql(["region_filled", "rolled"], """
+SELECT CAST(k AS INT) AS horizon_day, count(DISTINCT station) AS n_stations
+FROM rolled CROSS JOIN (SELECT unnest(generate_series(1, 14)) AS k) GROUP BY k"""))
+def m08_contract(spark, sf):
+    return m08(spark, sf).select("horizon_day", "n_stations")
+
+
+@register("m09_contract", sql(["region_filled", "rolled"], f"""
+SELECT station, date, value AS actual, TRUE AS ok {test_rows('value')}"""))
+def m09_contract(spark, sf):
+    p, pred = F.col("p_wet"), F.col("pred")
+    ok = p.between(0, 1) & pred.between(0, 600) & ((p > 0.5) | (pred == 0))
+    return m09(spark, sf).select("station", "date", "actual", ok.alias("ok"))
+
+
+STATION_COUNTS = f"SELECT station, count(*) AS n {test_rows('value')} GROUP BY station"
+
+
+@register("m09_contract_per_station", sql(["region_filled", "rolled"], STATION_COUNTS))
+def m09b_contract(spark, sf):
+    return m09b(spark, sf).select("station", "n")
+
+
+@register("m10_contract", sql(["region_filled", "rolled"], f"""
+SELECT coalesce(station, 'OVERALL') AS station, count(*) AS n {test_rows('value')} GROUP BY GROUPING SETS ((station), ())"""))
+def m10_contract(spark, sf):
+    return m10(spark, sf).select("station", "n")
+
+
+@register("m11_contract", sql(["region_filled"], """
+SELECT DISTINCT stage, 400 AS rounds_allowed, TRUE AS ok
+FROM region_filled CROSS JOIN (SELECT unnest(['occurrence', 'amount']) AS stage)"""))
+def m11_contract(spark, sf):
+    kept = F.col("rounds_kept").between(1, F.col("rounds_allowed"))
+    return m11(spark, sf).select("stage", "rounds_allowed", kept.alias("ok"))
+
+
+@register("m16_contract", sql(["region_filled"], """
+SELECT DISTINCT depth::DOUBLE AS depth, step::DOUBLE AS step, TRUE AS ok
+FROM region_filled CROSS JOIN (SELECT unnest([3, 5]) AS depth) CROSS JOIN (SELECT unnest([0.05, 0.2]) AS step)"""))
+def m16_contract(spark, sf):
+    return m16(spark, sf).select("depth", "step", (F.col("validation_rmse") > 0).alias("ok"))
+
+
+@register("m18_contract", sql(["region_filled"], "SELECT station, date, TRUE AS ok FROM region_filled"))
+def m18_contract(spark, sf):
+    return m18(spark, sf).select("station", "date", (F.col("pred") >= 0).alias("ok"))
+
+
+@register("m21_contract", sql(["region_filled", "rolled"], horizon_counts((1,))))
+def m21_contract(spark, sf):
+    return m21(spark, sf).select("horizon", "station", "n")
+
+
+# The features of the forecast frame by construction.
+FEATURES = ([f"lag{k}" for k in learners.LAGS] + [f"{c}{n}" for n in learners.WINDOWS for c in ("roll", "wet", "basin")]
+            + ["basin_lag1", "cv_disc", "cv_tax", "cv_tp", "st_mean", "st_wet"])
+
+
+@register("m17_contract", sql(["region_filled"], f"""
+SELECT DISTINCT feature FROM region_filled CROSS JOIN (SELECT unnest({FEATURES}) AS feature)"""))
+def m17_contract(spark, sf):
+    return m17(spark, sf).where(F.col("feature").isin(FEATURES)).select("feature")
+
+
+@register("l05_contract", sql(["region_filled"], "SELECT least(count(*), 5) AS n, TRUE AS ok FROM region_filled"))
+def l05_contract(spark, sf):
+    return l05(spark, sf).agg(F.count("*").alias("n"), F.bool_and(F.col("importance").between(0, 1)).alias("ok"))
+
+
+@register("s14_model_store", sql(["region_filled", "rolled"], f"""
+SELECT station, date, value AS actual, TRUE AS same {test_rows('value')}"""))
+def s14(spark, sf):
+    """A hurdle model that was stored and loaded predicts what the fitted one does, its gate included."""
+    from rainloom.session import scratch_path
+
+    real, names = hurdle_rows(spark, sf)
+    model = learners.fit_hurdle(real.where("split <> 'test'"), names, validation="is_val", gate=0.4, settings=FULL)
+    path = scratch_path(spark)
+    model.save(path)
+    both = learners.HurdleModel.load(path).transform(
+        model.transform(real.where("split = 'test'")).withColumnsRenamed({"pred": "fitted", "p_wet": "p_fitted"}))
+    return both.select("station", "date", F.col("value").alias("actual"), (F.col("pred") == F.col("fitted")).alias("same"))

@@ -154,3 +154,28 @@ assert e.entry(spark).count() > 0
     assert run.returncode == 0, run.stderr[-2000:]
     left = [p for p in (tmp_path / "wh").rglob("*.parquet")]
     assert not left
+
+
+def test_lines_that_are_not_read_are_listed(spark, tmp_path):
+    from rainloom.sources import interval_export as ie
+
+    (tmp_path / "a.csv").write_text(
+        "station export\nstart,end,x,y\n2020-01-01 00:00,2020-01-01 00:15,1.5,\n2020-01-01 00:15,2020-01-01 00:30,1.5x,NaN\n"
+        "2020-01-02 made by hand\n01/02/2020 00:00,01/02/2020 00:15,3,4\n")
+    path = str(tmp_path / "a.csv")
+    assert [(r.x, r.y) for r in ie.read_interval_export(spark, path, ["x", "y"]).orderBy("ts_start").collect()] == [(1.5, None), (None, None)]
+    assert sorted(r.reason for r in ie.rejected_lines(spark, path, ["x", "y"]).collect()) == [
+        "no data line"] * 3 + ["no number: x", "no timestamps"]
+    with pytest.raises(Exception, match="bad line"):
+        ie.read_interval_export(spark, path, ["x", "y"], strict=True).collect()
+
+
+def test_broken_result_files_are_not_skipped(spark, tmp_path):
+    from rainloom.sources import results
+
+    (tmp_path / "good.json").write_text('{"a": {"r2_daily": 0.5, "r_monthly": 0.9}}')
+    (tmp_path / "bad.json").write_text("not json")
+    with pytest.raises(Exception, match="no result object"):
+        results.read_results(spark, str(tmp_path)).collect()
+    rows = {r.file: r for r in results.read_results(spark, str(tmp_path), strict=False).collect()}
+    assert rows["bad.json"].station is None and rows["good.json"].r_monthly == 0.9
