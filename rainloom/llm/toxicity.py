@@ -17,15 +17,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rainloom.llm import common
+from rainloom.llm import common, minhash
 
 #: Labelled rows of each class that the fit reads at most (chosen by a hash of the row's key).
 FIT_ROWS = 3000
 #: Bytes of a window, length of dictionary pieces, common words in both dictionaries, most pieces in the toxic one.
-WINDOW, PIECE, COMMON_WORDS, PIECES = 64, (5, 14), 400, 400
+WINDOW, PIECE, COMMON_WORDS, PIECES = 64, (5, 14), 2000, 400
 #: A piece counts if this share of toxic documents has it, this many times the share of ordinary documents.
 SHARE, TIMES = 0.02, 25
 #: Its two counts must be less likely than e^-SURE, over the number of pieces looked at, if it had nothing to do with toxicity.
@@ -173,6 +173,13 @@ def calibrate(model: Model, gained: np.ndarray, toxic: np.ndarray, weight: np.nd
     return Model(model.ordinary, model.toxic, tuple(map(tuple, np.round(score, 6).tolist())))
 
 
+def copy_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows with the least hash of a text's five-word shingles under two orders, which near copies mostly share."""
+    sets = minhash.shingle_sets(batch.column(0).to_pylist(), 5)
+    keys = [[int(f(s).min().view(np.int64)) if len(s) else 0 for s in sets] for f in (lambda s: s, common.mix)]
+    return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k, pa.int64()) for k in keys)], ["text", "k", "y", "c0", "c1"])
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
@@ -181,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Dictionaries and thresholds from at most ``FIT_ROWS`` labelled rows of each class.
 
     Rows whose crc32(key) mod 5 is 0 are never read.  Two thirds of the sample train the dictionaries, the
-    rest calibrates.  Null texts, null labels and labels without a document are left out; a label that is
-    given twice counts once, and 1 wins over 0.
+    rest calibrates; of copies and most near copies in the sample one stays.  Null texts, null labels and labels
+    without a document are left out; a label that is given twice counts once, and 1 wins over 0.
     """
     marks = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("y")) \
         .where("k is not null and y in (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
@@ -191,9 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = F.xxhash64(F.col("k"), F.lit(7))
     drawn = rows.where("y = 1").orderBy(order, "k").limit(FIT_ROWS).union(
         rows.where("y = 0").orderBy(order, "k").limit(FIT_ROWS))
-    sample = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("text")).where("text is not null") \
-        .join(F.broadcast(drawn), "k").withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3)))
-    sample = sample.dropDuplicates(["text", "y"]).persist()  # bounded: FIT_ROWS of each class
+    sample = docs.select(docs[text].cast("string").alias("text"), docs[key].alias("k")).where("text is not null") \
+        .join(F.broadcast(drawn), "k").select("text", "k", "y")
+    sample = common.in_batches(sample, copy_keys, f"text string, k {dict(sample.dtypes)['k']}, y int, c0 bigint, c1 bigint")
+    for c in ("c0", "c1"):  # one of each group of copies: else their words would pass for signs of their class
+        alike = Window.partitionBy("y", c).orderBy("k", "text")
+        sample = sample.withColumn("place", F.row_number().over(alike)).where("place = 1").drop("place")
+    sample = sample.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3))).persist()  # bounded: FIT_ROWS of each class
     try:
         n = {r["y"]: r["n"] for r in sample.where("part < 2").groupBy("y").agg(F.count("*").alias("n")).collect()}
 
