@@ -44,8 +44,8 @@ def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
                    validate: str = "1:1") -> DataFrame:
     """Equi-join that raises when a side that must be unique is not.
 
-    The check is one partial aggregation per side and stops at the first
-    violation found.
+    The check runs before the join: one aggregation for each side that must be
+    unique.  :func:`checked_join` checks while the join itself runs.
     """
     left_side, right_side = validate.split(":")
     for side, need, name in ((left, left_side, "left"), (right, right_side, "right")):
@@ -65,12 +65,24 @@ def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     return left.join(once, list(on), how)
 
 
-def align_by_date(df: DataFrame, stations: Sequence[str], columns: Sequence[str], time: str = "date") -> DataFrame:
+def only_named(df: DataFrame, stations: Sequence[str], others: str = "fail") -> DataFrame:
+    """Rows of the named stations; other stations raise when read, or are left out with ``others="drop"``."""
+    inside = F.coalesce(F.col("station").isin(list(stations)), F.lit(False))
+    if others == "drop":
+        return df.where(inside)
+    if others != "fail":
+        raise ValueError(f"others can't be {others}")
+    broken = F.raise_error(F.concat(F.lit("station without a column: "), F.coalesce("station", F.lit("NULL")))).cast("string")
+    return df.withColumn("station", F.when(inside, F.col("station")).otherwise(broken))
+
+
+def align_by_date(df: DataFrame, stations: Sequence[str], columns: Sequence[str], time: str = "date",
+                  others: str = "fail") -> DataFrame:
     """Per-station frames side by side: ``{station}_{column}``, NULL where a station has no row."""
     def cell(s: str, c: str) -> Column:
         return F.max(F.when(F.col("station") == s, F.col(c))).alias(f"{s}_{c}")
 
-    return df.groupBy(time).agg(*[cell(s, c) for s in stations for c in columns])
+    return only_named(df, stations, others).groupBy(time).agg(*[cell(s, c) for s in stations for c in columns])
 
 
 def wide_to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -20,20 +20,19 @@ LOG_CAP = 8.0
 
 
 def _solver(alphas: Sequence[float], width: int):
-    """Ridge coefficients for every penalty from one station's centred moments."""
+    """Ridge coefficients for every penalty from centred moments; a batch of stations is solved at once."""
     rows, cols = np.triu_indices(width)
 
     @F.pandas_udf("array<array<double>>")
     def solve(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        penalties = np.asarray(alphas, float)[:, None, None] * np.eye(width)
         for gram, cross in parts:
-            out = []
-            for g, c in zip(gram, cross):
-                matrix = np.zeros((width, width))
-                matrix[rows, cols] = g
-                matrix[cols, rows] = g
-                out.append([np.linalg.lstsq(matrix + a * np.eye(width), np.asarray(c, float), rcond=None)[0].tolist()
-                            for a in alphas])
-            yield pd.Series(out)
+            matrix = np.zeros((len(gram), width, width))
+            if len(gram):
+                matrix[:, rows, cols] = matrix[:, cols, rows] = np.stack(gram.to_numpy())
+            right = np.stack(cross.to_numpy()).astype(float) if len(cross) else np.zeros((0, width))
+            every = np.linalg.solve(matrix[:, None] + penalties, np.repeat(right[:, None, :, None], len(alphas), axis=1))
+            yield pd.Series([x.tolist() for x in every[..., 0]])
 
     return solve
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.operators.joins import in_passes, join_stats
+from rainloom.operators.joins import in_passes, only_named, join_stats
 
 OVERALL = "OVERALL"
 
@@ -87,7 +87,7 @@ def support_status(df: DataFrame, min_rows: int = 20) -> DataFrame:
         "status", F.when(F.col("n_real") < min_rows, F.lit("sensor_offline")).otherwise(F.lit("scored")))
 
 
-def cooccurrence(df: DataFrame, stations: Sequence[str], pairs_per_pass: int = 200) -> DataFrame:
+def cooccurrence(df: DataFrame, stations: Sequence[str], pairs_per_pass: int = 200, others: str = "fail") -> DataFrame:
     """For each pair of named stations: dates both, only the first, only the second miss; and all miss.
 
     One row per date with a flag per station, then aggregates over pairs; no
@@ -96,7 +96,7 @@ def cooccurrence(df: DataFrame, stations: Sequence[str], pairs_per_pass: int = 2
     """
     gone = [F.coalesce(F.max(F.when(F.col("station") == s, F.col("value").isNull().cast("int"))), F.lit(1)).alias(s)
             for s in stations]
-    wide = df.where(F.col("station").isin(list(stations))).groupBy("date").agg(*gone)
+    wide = only_named(df, stations, others).groupBy("date").agg(*gone)
     everyone = sum((F.col(s) for s in stations), F.lit(0)) == len(stations)
     pairs = list(combinations(stations, 2))
 
@@ -114,11 +114,11 @@ def cooccurrence(df: DataFrame, stations: Sequence[str], pairs_per_pass: int = 2
     return in_passes(wide, pairs, pairs_per_pass, one_pass)
 
 
-def missing_patterns(df: DataFrame, stations: Sequence[str]) -> DataFrame:
+def missing_patterns(df: DataFrame, stations: Sequence[str], others: str = "fail") -> DataFrame:
     """How many dates share the same set of missing stations, among the named ones."""
     gone = {s: F.max(F.when(F.col("station") == s, F.col("value").isNull())) for s in sorted(stations)}
     pattern = F.concat_ws("+", *[F.when(F.coalesce(g, F.lit(True)), F.lit(s)) for s, g in gone.items()])
-    per_date = df.groupBy("date").agg(pattern.alias("pattern"))
+    per_date = only_named(df, stations, others).groupBy("date").agg(pattern.alias("pattern"))
     return per_date.groupBy("pattern").agg(F.count("*").alias("n_dates"))
 
 

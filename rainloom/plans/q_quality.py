@@ -520,3 +520,48 @@ def flagship(spark, sf):
     days = calendar.densify(views.cut_lineage(rollup.daily(events)))
     table = features.engineered_daily(days, threshold=20000.0)
     return r6(table, *[c for c in table.columns if c not in ("station", "date", "peak", "consec_dry")])
+
+
+@register("a16_gap_report", sql("ship", """
+WITH g AS (SELECT station, date_diff('day', lag(date) OVER (PARTITION BY station ORDER BY date), date) AS d FROM ship)
+SELECT station, count(*) AS n_rows, count(*) FILTER (d <> 1) AS n_gaps, coalesce(CAST(max(d) FILTER (d <> 1) AS INT), 0) AS widest
+FROM g GROUP BY station"""))
+def a16_gaps(spark, sf):
+    """Rows, steps that are not one day, and the widest of them, per station."""
+    series = views.cut_lineage(views.ship(spark, sf))
+    gaps = calendar.date_gaps(series).groupBy("station").agg(F.count("*").alias("n_gaps"), F.max("gap_steps").alias("widest"))
+    rows = series.groupBy("station").agg(F.count("*").alias("n_rows"))
+    return rows.join(gaps, "station", "left").select(
+        "station", "n_rows", F.coalesce("n_gaps", F.lit(0).cast("bigint")).alias("n_gaps"), F.coalesce("widest", F.lit(0)).alias("widest"))
+
+
+@register("s02_positional_rename", sql("region_dense", "SELECT station AS place, date AS day, value AS amount FROM region_dense"))
+def s02(spark, sf):
+    from rainloom.sources.interval_export import rename_by_position
+
+    return rename_by_position(views.region_dense(spark, sf).select("station", "date", "value"), ["place", "day", "amount"])
+
+
+@register("s06_name_pattern", sql("telemetry", "SELECT CAST(ts AS DATE) AS date, " + ", ".join(
+    f"round(sum(CASE WHEN station = '{s}' THEN value END), 6) AS {s}_total" for s in views.EVENT_STATIONS) + " FROM telemetry GROUP BY 1"))
+def s06(spark, sf):
+    from rainloom.sources.tables import matching
+
+    wide = rollup.daily_wide(views.telemetry(spark, sf), views.EVENT_STATIONS)
+    return wide.select("date", *[F.round(c, 6).alias(c) for c in matching(wide.columns, suffix="_total")])
+
+
+@register("s07_result_files", sql("predictions", """
+SELECT station, count(*) AS n_real_test, round(sqrt(avg((pred - actual) ** 2)), 6) AS rmse_mm, round(avg(pred - actual), 6) AS bias_mm
+FROM predictions WHERE model = 'trailing7' GROUP BY station"""))
+def s07(spark, sf):
+    """Scores written as one result file per station, keyed by station, and read again."""
+    from rainloom.operators import metrics
+    from rainloom.session import scratch_path
+    from rainloom.sources import results, sinks
+
+    scores = metrics.skill(views.predictions(spark, sf).where("model = 'trailing7'"), pooled=False).select(
+        "station", F.col("n").alias("n_real_test"), F.round("rmse", 6).alias("rmse_mm"), F.round("bias", 6).alias("bias_mm"))
+    path = scratch_path(spark)
+    sinks.results_map(scores).write.option("maxRecordsPerFile", 1).text(path)
+    return results.read_results(spark, path).select("station", "n_real_test", "rmse_mm", "bias_mm")

@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rainloom.operators.joins import only_named
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Headered CSV, written in parallel; NULL becomes a blank field."""
@@ -26,12 +28,13 @@ def write_series(df: DataFrame, path: str, by: Sequence[str] = ("station",), mod
     spread.write.mode(mode).option("maxRecordsPerFile", max_rows_per_file).partitionBy(*by).parquet(path)
 
 
-def wide_predictions(df: DataFrame, stations: Sequence[str], scales: Sequence[str], time: str = "date") -> DataFrame:
+def wide_predictions(df: DataFrame, stations: Sequence[str], scales: Sequence[str], time: str = "date",
+                     others: str = "fail") -> DataFrame:
     """``(station, scale, date, actual, pred)`` to ``{station}_{scale}_{actual,predicted}`` columns."""
     def cell(s: str, scale: str, c: str) -> Column:
         return F.max(F.when((F.col("station") == s) & (F.col("scale") == scale), F.col(c)))
 
-    return df.where(F.col("station").isin(list(stations))).groupBy(time).agg(*[
+    return only_named(df, stations, others).groupBy(time).agg(*[
         cell(s, scale, c).alias(f"{s}_{scale}_{n}")
         for s in stations for scale in scales for c, n in (("actual", "actual"), ("pred", "predicted"))])
 
@@ -47,12 +50,12 @@ def results_map(df: DataFrame, key: str = "station") -> DataFrame:
     return df.select(F.to_json(F.create_map(F.col(key), fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def horizon_predictions(df: DataFrame, stations: Sequence[str], time: str = "date") -> DataFrame:
+def horizon_predictions(df: DataFrame, stations: Sequence[str], time: str = "date", others: str = "fail") -> DataFrame:
     """``(station, date, horizon_day, actual, pred)`` to rows per forecast date and lead day."""
     def cell(s: str, c: str) -> Column:
         return F.max(F.when(F.col("station") == s, F.col(c)))
 
-    rows = df.where(F.col("station").isin(list(stations))).groupBy(time, "horizon_day").agg(*[
+    rows = only_named(df, stations, others).groupBy(time, "horizon_day").agg(*[
         cell(s, c).alias(f"{s}_{n}") for s in stations for c, n in (("actual", "actual"), ("pred", "predicted"))])
     return rows.withColumn("forecast_date", F.date_add(F.col(time), F.col("horizon_day") - 1))
 
@@ -61,13 +64,15 @@ def save_model(model: PipelineModel, path: str, params: DataFrame | None = None,
                features: Sequence[str] = ()) -> None:
     """Fitted pipeline, its scaler parameters and its ordered feature list under one folder."""
     model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    listed = spark.createDataFrame([(list(features), params is not None)], "names array<string>, scaled boolean")
+    listed.write.mode("overwrite").parquet(f"{path}/features")
     if params is not None:
         params.write.mode("overwrite").parquet(f"{path}/scaler")
-        listed = params.sparkSession.createDataFrame(list(enumerate(features)), "position int, name string")
-        listed.write.mode("overwrite").parquet(f"{path}/features")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, list[str]]:
-    """What :func:`save_model` stored: model, scaler parameters, ordered feature names."""
-    names = [r["name"] for r in spark.read.parquet(f"{path}/features").orderBy("position").collect()]
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/scaler"), names
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame | None, list[str]]:
+    """What :func:`save_model` stored: model, scaler parameters (None without), ordered feature names."""
+    stored = spark.read.parquet(f"{path}/features").first()
+    scaler = spark.read.parquet(f"{path}/scaler") if stored["scaled"] else None
+    return PipelineModel.load(f"{path}/model"), scaler, list(stored["names"])
