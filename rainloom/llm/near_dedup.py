@@ -25,7 +25,7 @@ MISSED = 1e-7
 #: Pairs whose signatures agree in this much less than the threshold are not confirmed (over five standard deviations).
 SLACK = 0.14
 #: Members and bytes of sets in one block of a bucket.
-BLOCK_ROWS, BLOCK_SET_BYTES = 2048, 8 << 20
+BLOCK_ROWS, BLOCK_SET_BYTES = 512, 8 << 20
 #: Ids that are sent to all executors instead of shuffling the texts (32 MB).
 BROADCAST_IDS = 2_000_000
 
@@ -168,7 +168,8 @@ def _in_block_pairs(members: DataFrame, set_bytes: bool) -> DataFrame:
         F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(weight / BLOCK_SET_BYTES)).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     return dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumn("i", F.least("block", "t")).withColumn("j", F.greatest("block", "t")).drop("t", "blocks")
+        .withColumn("i", F.least("block", "t")).withColumn("j", F.greatest("block", "t")).drop("t", "blocks") \
+        .repartition("key", "i", "j")  # else all block pairs of a bucket stay where the join by key has put them
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
