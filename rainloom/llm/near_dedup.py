@@ -22,8 +22,8 @@ from rainloom.session import cut_lineage
 BANDS = 40
 #: Chance to overlook a link at the very threshold, over all bands.
 MISSED = 1e-7
-#: Pairs whose signatures agree in this much less than the threshold are not confirmed (over five standard deviations).
-SLACK = 0.14
+#: Pairs whose signatures agree less than the threshold by this many standard deviations are not confirmed.
+DEVIATIONS = 6
 #: Members and bytes of sets in one block of a bucket.
 BLOCK_ROWS, BLOCK_SET_BYTES = 512, 8 << 20
 #: Ids that are sent to all executors instead of shuffling the texts (32 MB).
@@ -66,6 +66,12 @@ def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
+def least_agreement(n: np.ndarray, percent: int, bins: int) -> np.ndarray:
+    """How many bins must agree for a closer look; ``n`` is the smaller set's size, and fixes how many bins it fills itself."""
+    share, filled = percent / 100, bins * -np.expm1(-np.maximum(n, 1) / bins)
+    return (share - DEVIATIONS * np.sqrt(share * (1 - share) / filled)) * bins
+
+
 def _bands(classes: DataFrame) -> DataFrame:
     """``id``, ``band``, ``key`` of every class, one row a band."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,7 +161,7 @@ def _possible(table: pa.Table, percent: int, bins: int):
         other = theirs[theirs > x] if block_i == block_j else theirs
         other = other[component[other] != component[x]]
         other = other[100 * np.minimum(n[other], n[x]) >= percent * np.maximum(n[other], n[x])]
-        other = other[(low[other] == low[x]).sum(axis=1) >= (percent / 100 - SLACK) * bins]
+        other = other[(low[other] == low[x]).sum(axis=1) >= least_agreement(np.minimum(n[other], n[x]), percent, bins)]
         other = other[~(keys[other] == keys[x]).any(axis=1)]
         if len(other):
             yield x, other
@@ -269,10 +275,10 @@ def _alike(pairs: DataFrame, percent: int, bins: int) -> DataFrame:
     """Pairs whose signatures agree almost as much as the threshold asks."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         low = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in (2, 3)]
-        kept = pa.array((low[0] == low[1]).sum(axis=1) >= (percent / 100 - SLACK) * bins)
+        kept = pa.array((low[0] == low[1]).sum(axis=1) >= least_agreement(batch.column(4).to_numpy(), percent, bins))
         return batch.filter(kept).select(["a", "b"])
 
-    rows = pairs.select("a", "b", "lowa", "lowb")
+    rows = pairs.select("a", "b", "lowa", "lowb", F.least("na", "nb").alias("n"))
     kind = dict(rows.dtypes)["a"]
     return common.in_batches(rows, work, f"a {kind}, b {kind}")
 
