@@ -100,6 +100,31 @@ def word_counts(texts: list[str]) -> Counter:
     return Counter(w for t in texts for w in set(_WORD.findall(folded(t))))
 
 
+def _frequent_pieces(words: list[tuple[bytes, int]], least: float, small: int, large: int) -> dict[bytes, int]:
+    """Pieces of ``small`` to ``large`` bytes that occur ``least`` times in (word, times); grown a byte at a time.
+
+    A piece can only be frequent if the two that are a byte shorter are, so the
+    counts never hold more than the pieces of one length.
+    """
+    starts = [(w, n, range(len(w) - small + 1)) for w, n in words]
+    out: dict[bytes, int] = {}
+    for size in range(small, large + 1):
+        counted: Counter = Counter()
+        for w, n, places in starts:
+            for p in {w[i:i + size] for i in places}:
+                counted[p] += n
+        kept = {p: c for p, c in counted.items() if c >= least}
+        out |= kept
+        grown = []
+        for w, n, places in starts:
+            good = {i for i in places if w[i:i + size] in kept}
+            longer = [i for i in good if i + 1 in good]
+            if longer:
+                grown.append((w, n, longer))
+        starts = grown
+    return out
+
+
 def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ordinary: int) -> Model:
     """Dictionaries from (word, toxic documents, ordinary documents with it).
 
@@ -107,22 +132,25 @@ def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ord
     words not covered yet and in ordinary words are most surprising.
     """
     small, large = PIECE
+    least = max(4, SHARE * n_toxic)
+    toxic = _frequent_pieces([(b" " + w + b" ", a) for w, a, _ in counts if a], least, small, large)
+    roots = {p for p in toxic if len(p) == small}
 
     def pieces(word: bytes) -> set[bytes]:
-        word = b" " + word + b" "
-        return {word[i:i + k] for k in range(small, min(len(word), large) + 1) for i in range(len(word) - k + 1)}
+        """Frequent toxic pieces in the word; every one begins with a frequent shortest piece."""
+        framed, out = b" " + word + b" ", set()
+        for i in range(len(framed) - small + 1):
+            if framed[i:i + small] in roots:
+                k = small
+                while k <= large and i + k <= len(framed) and framed[i:i + k] in toxic:
+                    out.add(framed[i:i + k])
+                    k += 1
+        return out
 
-    toxic: Counter = Counter()
     ordinary: Counter = Counter()
-    for word, a, _ in counts:
-        if a:
-            for p in pieces(word):
-                toxic[p] += a
-    least = max(4, SHARE * n_toxic)
-    toxic = Counter({p: c for p, c in toxic.items() if c >= least})
     for word, _, b in counts:
         if b:
-            for p in pieces(word) & toxic.keys():
+            for p in pieces(word):
                 ordinary[p] += b
     expected = n_toxic / max(n_toxic + n_ordinary, 1)
     needed = SURE + np.log(max(len(toxic), 1))
@@ -218,8 +246,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
         counted = common.in_batches(sample.where("part < 2").select("text", "y"), count, "w binary, a bigint, b bigint")
         words = counted.groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        counts = [(bytes(r["w"]), r["a"], r["b"]) for r in words.collect()]
+        counted = words.toArrow()  # bounded by the sample
+        counts = list(zip(*(counted.column(c).to_pylist() for c in ("w", "a", "b"))))
+        del counted
         model = train_dictionaries(counts, n.get(1, 0), n.get(0, 0))
+        del counts
 
         def gain(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = gains(batch.column(0).to_pylist(), model)
