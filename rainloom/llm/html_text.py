@@ -3,7 +3,8 @@
 Every node of the page tree gets its characters per tag, adjusted by how much
 of them sits in links.  The subtree with the largest sum of its children's
 densities holds the article; the least density on the path from the body to
-the densest node tells text apart from page furniture inside it.
+the densest node tells text apart from page furniture inside it, and further
+parts of the article beside that path from the rest of the page.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ IMPLIED_END = {
 FURNITURE = frozenset(
     "nav footer aside form script style noscript iframe button select textarea input template head menu dialog svg math "
     "object embed canvas audio video map search title".split())
-#: Words in class, id or role that mark furniture; they must stand as a whole part of the name.
+#: Words in class, id or role that mark furniture; they must stand as a whole part of the name.  What an element has,
+#: or lacks, is no mark of itself.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|sponsor(?:ed|s)?|promos?|nav|navbar|navigation|menus?|breadcrumbs?|"
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisements?|banners?|sponsor(?:ed|s)?|promos?|nav|navbar|navigation|menus?|breadcrumbs?|"
     r"sidebars?|side|footers?|headers?|masthead|cookies?|consent|notices?|popups?|modal|overlay|newsletter|subscribe|signup|"
     r"social|share|sharing|related|recommended|comments?|disqus|replies|widgets?|toolbar|pagination|pager|search|login|"
     r"copyright|disclaimer|alert|gdpr|contentinfo|complementary)(?:$|[\s_-])", re.I)
@@ -48,29 +50,39 @@ _TOKEN = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*)((?:\s+|/|[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?|[\"'=])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Marks of a text of its own kind, which may be longer than the article beside it.
+_OWN_TEXT = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|cookies?|consent|notices?|popups?|modal|overlay|newsletter|comments?|disqus|replies|"
+    r"copyright|disclaimer|alert|gdpr)(?:$|[\s_-])", re.I)
+#: Share of the page's text outside links from which on a class or id does not mark furniture; the same for _OWN_TEXT.
+MOST, NEARLY_ALL = 0.5, 0.9
 #: Elements deeper than this are read as children of the element at this depth.
 DEEPEST = 256
 
 
 class Node:
-    __slots__ = ("tag", "children", "left_out", "parent", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "children", "left_out", "parent", "chars", "tags", "link_chars", "link_tags", "density", "sum", "marked")
 
-    def __init__(self, tag: str, parent: Node | None, left_out: bool = False):
-        self.tag, self.parent, self.left_out, self.children = tag, parent, left_out, []
+    def __init__(self, tag: str, parent: Node | None, left_out: bool = False, marked: float = 0.0):
+        self.tag, self.parent, self.left_out, self.marked, self.children = tag, parent, left_out, marked, []
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _left_out(tag: str, attributes: str) -> tuple[bool, float]:
+    """Whether the element is furniture, and, if only its class or id says so, the share of the text that overrules it."""
     if tag in FURNITURE:
-        return True
+        return True, 0.0
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return False, 0.0
+    marked = 0.0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id", "role") and MARKS.search(value):
-            return True
+            if name == "role":
+                return True, 0.0
+            marked = max(marked, NEARLY_ALL if _OWN_TEXT.search(value) else MOST)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
-    return False
+            return True, 0.0
+    return marked > 0, marked
 
 
 def _decoded(text: str) -> str:
@@ -136,7 +148,9 @@ def parse(page: str) -> Node:
 
 
 def _open(parent: Node, tag: str, attributes: str) -> Node:
-    own = Node(tag, parent, _left_out(tag, attributes) or (tag == "header" and not _inside(parent, "article")))
+    own = Node(tag, parent, *_left_out(tag, attributes))
+    if tag == "header" and not _inside(parent, "article"):
+        own.left_out, own.marked = True, 0.0
     parent.children.append(own)
     return own
 
@@ -147,6 +161,23 @@ def _inside(node: Node | None, tag: str) -> bool:
     return node is not None
 
 
+def overrule(root: Node) -> None:
+    """Elements that hold most of the page's text outside links are no furniture, whatever their class or id."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and (not c.left_out or c.marked)]
+    marked = [n for n in order if n.marked]
+    if not marked:
+        return
+    for node in reversed(order):
+        node.chars = 0 if node.tag == "a" else sum(
+            sum(map(len, c.split())) if isinstance(c, str) else c.chars if not c.left_out or c.marked else 0 for c in node.children)
+    for node in marked:
+        node.left_out = node.chars <= node.marked * root.chars
+
+
 def measure(root: Node) -> list[Node]:
     """Counts of every node that is not left out, children before parents."""
     order, stack = [], [root]
@@ -183,11 +214,17 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     return chars / tags * math.log(max(chars / links * tags / link_tags, 1.0) + 1e-9) / math.log(max(base, 1.0) + 1.0)
 
 
+def text_density(node: Node) -> float:
+    """Characters per tag, both outside links.  Unlike the composite density it is the same for a part of a text as for all of it."""
+    return (node.chars - node.link_chars) / max(node.tags - node.link_tags, 1)
+
+
 def main_node(order: list[Node], root: Node) -> tuple[Node, float]:
     """The subtree with the largest density sum, and the least density from the body down to it.
 
     A page that names one article (``article`` or ``main``) bounds the choice: of several, the one with the
-    largest sum over its subtree counts; the chosen node is widened to it.
+    largest sum over its subtree counts; the chosen node is widened to it.  On other pages the node is the body,
+    whose children beside the chosen subtree are left only where ``widen`` keeps them.
     """
     best = max(order, key=lambda n: (n.sum + (n.density if not n.tags else 0.0), n.chars))
     up, threshold = best, best.density
@@ -202,10 +239,29 @@ def main_node(order: list[Node], root: Node) -> tuple[Node, float]:
     named = [n for n in order if n.tag in ("article", "main") and n.chars]
     if named:
         return max(named, key=lambda n: n.chars), 0.0
-    # no name: climb while a parent's own children reach the threshold, so that siblings of the densest block stay
     while best.parent is not None and best.tag not in ("body", "html") and best.tag in ("p", "b", "i", "em", "strong", "span"):
         best = best.parent
-    return best, threshold
+    return widen(best), threshold
+
+
+def widen(best: Node) -> Node:
+    """The body, or the root without one, above ``best``; of what lies beside the path down to it only parts of the text stay.
+
+    Those are the elements, and texts without one, that reach the least text density on the path, and what stands
+    between two of them; blocks that are mostly links never are.
+    """
+    path = [best]
+    while path[-1].parent is not None and path[-1].tag not in ("body", "html"):
+        path.append(path[-1].parent)
+    least = min(map(text_density, path))
+    for below, up in zip(path, path[1:]):
+        reach = [c is below or (sum(map(len, c.split())) >= max(least, 1) if isinstance(c, str) else
+                                not c.left_out and c.chars > 0 and c.link_chars * 2 <= c.chars and text_density(c) >= least)
+                 for c in up.children]
+        first, last = reach.index(True), len(reach) - reach[::-1].index(True)
+        up.children = [c for c, r in zip(up.children[first:last], reach[first:last])
+                       if r or isinstance(c, str) or c.tag not in BLOCK or c.left_out or c.link_chars * 2 <= c.chars]
+    return path[-1]
 
 
 def blocks(node: Node, threshold: float) -> list[str]:
@@ -249,6 +305,7 @@ def main_text(page: str) -> str:
     if not page or not page.strip():
         return ""
     root = parse(page)
+    overrule(root)
     order = measure(root)
     node, threshold = main_node(order, root)
     return " ".join(blocks(node, threshold))
