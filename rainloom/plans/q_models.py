@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
@@ -14,6 +16,9 @@ from rainloom.plans.views import cut_lineage, sql
 # The ceiling of boosting rounds, depth and step; validation rows stop earlier.
 FULL = learners.TreeSettings(rounds=400, depth=5, step=0.05, tolerance=1e-4)
 
+#: Fewest real test days of a station with a hurdle model of its own; fewest test months of one with monthly scores.
+LEAST_DAYS, LEAST_MONTHS = 20, 5
+
 # ---------------------------------------------------------------- monthly models
 
 
@@ -77,9 +82,22 @@ lo AS (SELECT station, alpha, avg((pred - total) ** 2) AS loss FROM pr
 be AS (SELECT station, alpha FROM lo QUALIFY row_number() OVER (PARTITION BY station ORDER BY loss, alpha DESC) = 1)"""
 
 
-def ridge_predictions(spark, sf):
-    frame = cut_lineage(month_frame(spark, sf))
-    names = ["log_tp", "log_lag1m"]
+def full_month_frame(spark, sf):
+    """``month_frame`` with all features of the monthly model, and their names; what is missing counts as 0."""
+    daily = views.covar(spark, sf)
+    means = [c for c in daily.columns if c not in ("date", "cv_tp")]
+    more = rollup.monthly_covariates(daily, {c: "avg" for c in means})
+    frame = month_frame(spark, sf).join(more, "month")
+    frame = over_halo(frame, MONTHLY, lambda w: {"lag1m": F.lag("total", 1).over(w)}, before=1)
+    angle = F.month("month") * (2 * math.pi / 12)
+    waves = {"sin_m": F.sin(angle), "cos_m": F.cos(angle), "sin_2m": F.sin(2 * angle), "cos_2m": F.cos(2 * angle)}
+    names = ["log_tp", *means, *waves, "lag1m", "log_lag1m"]
+    return frame.withColumns(waves).fillna(0.0, names), names
+
+
+def ridge_predictions(spark, sf, frame=None, names=("log_tp", "log_lag1m")):
+    frame = cut_lineage(month_frame(spark, sf) if frame is None else frame)
+    names = list(names)
     val_from, test_from = views.cuts(frame, "month")
     trained = F.col("month") < val_from
     model = monthly.fit_ridge(frame, names, "y", where=trained)
@@ -109,6 +127,16 @@ def m12b(spark, sf):
     return r6(scored.select("station", "n", "r2", "rmse", "bias"), "r2", "rmse", "bias")
 
 
+@register("m12_full_ridge_scores")
+def m12_full(spark, sf):
+    """Ridge on all monthly features; a station of fewer than ``LEAST_MONTHS`` test months has a status and no scores."""
+    test = ridge_predictions(spark, sf, *full_month_frame(spark, sf)).where("total IS NOT NULL")
+    scored = metrics.skill(test.withColumnRenamed("total", "actual"), pooled=False)
+    enough = F.col("n") >= LEAST_MONTHS
+    return scored.select("station", "n", *(F.when(enough, F.round(c, 6)).alias(c) for c in ("r2", "rmse", "bias")),
+                         F.when(enough, "scored").otherwise("insufficient_test_months").alias("status"))
+
+
 @register("m14_bias_correction", sql("predictions", f"""
 WITH b AS (SELECT model, station, avg(pred - actual) AS bias FROM predictions WHERE date < {DAYS_UNTIL} GROUP BY 1, 2)
 SELECT model, station, count(*) AS n, round(any_value(bias), 6) AS bias,
@@ -211,15 +239,24 @@ def m09(spark, sf):
 
 @register("m09_hurdle_per_station")
 def m09b(spark, sf):
+    """Stations of fewer than ``LEAST_DAYS`` real test days are not fitted: they have a status and no scores."""
     real, names = hurdle_rows(spark, sf)
-    models = learners.fit_hurdle_per_station(real.where("split <> 'test'"), names, views.REGION_STATIONS,
+    test = real.where("split = 'test'").where(F.col("station").isin(*views.REGION_STATIONS))
+    support = {r["station"]: (r["n_real"], r["status"]) for r in quality.support_status(test, LEAST_DAYS).collect()}
+    support = {s: support.get(s, (0, "sensor_offline")) for s in views.REGION_STATIONS}
+    fitted = [s for s, (_, status) in support.items() if status == "scored"]
+    offline = spark.createDataFrame([(s, *support[s]) for s in support if s not in fitted], "station string, n long, status string")
+    if not fitted:
+        return offline
+    models = learners.fit_hurdle_per_station(real.where("split <> 'test'"), names, fitted,
                                              parallel=4, validation="is_val", settings=FULL)
     scored = None
     for station, model in models.items():
-        part = model.transform(real.where(F.col("split") == "test").where(F.col("station") == station)).select(
+        part = model.transform(test.where(F.col("station") == station)).select(
             "station", "date", F.col("value").alias("actual"), "pred")
         scored = part if scored is None else scored.unionByName(part)
-    return metrics.skill(scored, pooled=False)
+    scores = metrics.skill(scored, pooled=False).withColumn("status", F.lit("scored"))
+    return scores.unionByName(offline, allowMissingColumns=True)
 
 
 @register("m10_gated_hurdle")
@@ -339,7 +376,7 @@ STATION_COUNTS = f"SELECT station, count(*) AS n {test_rows('value')} GROUP BY s
 
 @register("m09_contract_per_station", sql(["region_filled", "rolled"], STATION_COUNTS))
 def m09b_contract(spark, sf):
-    return m09b(spark, sf).select("station", "n")
+    return m09b(spark, sf).where("n > 0").select("station", "n")  # SQL has no stations without rows
 
 
 @register("m10_contract", sql(["region_filled", "rolled"], f"""
