@@ -146,7 +146,7 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, str, tup
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of features, and of kind pairs next to each other."""
+    """Weights of features of single segments; neighbouring kinds do not influence each other."""
 
     weights: dict[str, float]
 
