@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,22 @@ def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def in_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]],
+              schema, limit: int = CHUNK_BYTES) -> DataFrame:
+    """``mapInArrow`` over rows whose last column, a string, holds ``limit`` bytes together, or over one longer row.
+
+    Batches are cut in the worker; Spark bounds their bytes itself, so no session setting is changed.
+    """
+    def run(batches):
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+            for part in runs_of(sizes, limit):
+                out = work(batch[part])
+                yield from (out,) if isinstance(out, pa.RecordBatch) else out
+
+    return df.mapInArrow(run, schema)
+
+
 def runs_of(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[slice]:
     """Consecutive rows of ``limit`` bytes together, or a single longer row."""
     start, held = 0, 0
