@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rainloom.session import cut_lineage
@@ -24,45 +24,60 @@ def join_stats(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "i
     return df.join(known, same, how).drop(*[f"_on_{k}" for k in on])
 
 
-def in_passes(table: DataFrame, items: Sequence, size: int,
-              one_pass: Callable[[DataFrame, Sequence], DataFrame]) -> DataFrame:
-    """Union of ``one_pass`` over blocks of ``items``; the table is written once when there are several."""
-    blocks = [items[i:i + size] for i in range(0, len(items), size)]
-    source = table if len(blocks) == 1 else cut_lineage(table)
-    return reduce(DataFrame.unionByName, [one_pass(source, block) for block in blocks])
+#: A key that more than one in HOT_KEYS of the rows have is looked up by broadcast; there are fewer than HOT_KEYS of them.
+HOT_KEYS = 256
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: Sequence[str], size: str, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Inner equi-join of ``rows`` with a table of one row per key that knows, in ``size``, how many rows have the key.
+
+    Keys of more than one in ``hot_keys`` of all rows are broadcast, a list of
+    proven size; the rows of the others are shuffled, where no key has a larger
+    share than that.  ``size`` is left out of the result.  NULL keys match
+    nothing.
+    """
+    known = cut_lineage(table)
+    total = known.agg(F.sum(size).alias("_all")).select("_all").scalar()
+    heavy = F.col(size) * hot_keys > total
+    hot, rest = F.broadcast(known.where(heavy).drop(size)), known.where(~heavy).drop(size)
+    others = rows.join(hot.select(*on), list(on), "left_anti")
+    return rows.join(hot, list(on)).unionByName(others.join(rest, list(on)))
 
 
 class KeyViolation(ValueError):
-    """A join side holds a key more often than the requested cardinality allows."""
+    """A join was asked for a cardinality that does not exist."""
+
 
+def _once(side: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    """``side`` that fails when read if a key stands in it twice, naming the key.
 
-def repeated_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.groupBy(*on).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    Rows are numbered within their key, which takes the partitioning and order
+    that the join itself needs.
+    """
+    number = F.row_number().over(Window.partitionBy(*on).orderBy(*on))
+    told = F.raise_error(F.concat(F.lit(f"{name} side repeats key "), F.to_json(F.struct(*on), {"ignoreNullFields": "false"})))
+    return side.withColumn("_number", number).where(F.when(F.col("_number") > 1, told.cast("boolean")).otherwise(F.lit(True))).drop("_number")
 
 
-def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-                   validate: str = "1:1") -> DataFrame:
-    """Equi-join that raises when a side that must be unique is not.
+def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", validate: str = "1:1",
+                   observed: Observation | None = None) -> DataFrame:
+    """Equi-join that fails, naming the key, when a side that must be unique is not.
 
-    The check runs before the join: one aggregation for each side that must be
-    unique.  :func:`checked_join` checks while the join itself runs.
+    ``validate`` is ``1:1``, ``m:1``, ``1:m`` or ``m:m``.  The check runs inside
+    the join's own shuffle: each side is read once and no job runs before the
+    result is asked for.  NULL keys join nothing and break no rule on a side
+    whose unmatched rows are left out.  ``observed`` gets ``rows`` of the result and how many
+    have a partner on the right (``matched``) when an action has run.
     """
-    left_side, right_side = validate.split(":")
-    for side, need, name in ((left, left_side, "left"), (right, right_side, "right")):
-        if need == "1":
-            broken = repeated_keys(side, on).take(1)
-            if broken:
-                raise KeyViolation(f"{name} side repeats key {broken[0].asDict()}")
-    return left.join(right, list(on), how)
-
-
-def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Lazy form of the 1:1 check: reading a measure of a repeated right key fails the query."""
-    measures = {c: t for c, t in right.dtypes if c not in on}
-    broken = F.raise_error(F.lit("join key repeats on the right side"))
-    once = right.groupBy(*on).agg(*[
-        F.when(F.count("*") == 1, F.first(c)).otherwise(broken.cast(t)).alias(c) for c, t in measures.items()])
-    return left.join(once, list(on), how)
+    sides = validate.split(":")
+    if len(sides) != 2 or not set(sides) <= {"1", "m"}:
+        raise KeyViolation(f"validate can't be {validate}")
+    left, right = (_once(side, on, name) if need == "1" else side
+                   for side, need, name in ((left, sides[0], "left"), (right, sides[1], "right")))
+    if observed is None:
+        return left.join(right, list(on), how)
+    joined = left.join(right.withColumn("_matched", F.lit(1)), list(on), how)
+    return joined.observe(observed, F.count(F.lit(1)).alias("rows"), F.count("_matched").alias("matched")).drop("_matched")
 
 
 def only_named(df: DataFrame, stations: Sequence[str], others: str = "fail") -> DataFrame:

@@ -16,13 +16,14 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
 from rainloom.operators import features as feat
 from rainloom.operators import impute, scaling
-from rainloom.operators.chunks import DAILY, Axis, ordered_prefix, over_halo
+from rainloom.operators.chunks import DAILY, Axis, over_halo
+from rainloom.operators.gram import pair_correlations
 from rainloom.operators.joins import join_stats
 from rainloom.operators.windows import explode_horizon, horizon_targets, offset_columns
 from rainloom.session import cut_lineage
@@ -82,6 +83,31 @@ def tabular_features(series: DataFrame, covariates: DataFrame | None = None, lag
     return frame, names
 
 
+def ranked_neighbours(series: DataFrame, known: Column, most: int = 4) -> DataFrame:
+    """(station, other, rank): the ``most`` stations whose values on the ``known`` rows correlate best with a station's own.
+
+    Correlations come from the blocked Gram matrix; ties and pairs without a
+    correlation go by name.  Stations that share no date are no neighbours.
+    """
+    pairs = pair_correlations(series.where(known))
+    both = pairs.select(F.col("a").alias("station"), F.col("b").alias("other"), "r").unionByName(
+        pairs.select(F.col("b").alias("station"), F.col("a").alias("other"), "r"))
+    nearest = Window.partitionBy("station").orderBy(F.desc_nulls_last("r"), "other")
+    return both.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= most).drop("r")
+
+
+def neighbour_features(frame: DataFrame, neighbours: DataFrame, columns: Sequence[str], most: int = 4) -> tuple[DataFrame, list[str]]:
+    """``frame`` with the named columns of each neighbour on the same date as ``near{rank}_{column}``; 0 where there is none.
+
+    ``columns`` must be causal themselves (lags, trailing means).
+    """
+    theirs = frame.select(F.col("station").alias("other"), "date", *columns).join(neighbours, "other")
+    wide = theirs.groupBy("station", "date").agg(*(
+        F.max(F.when(F.col("rank") == k, F.col(c))).alias(f"near{k}_{c}") for k in range(1, most + 1) for c in columns))
+    names = [f"near{k}_{c}" for k in range(1, most + 1) for c in columns]
+    return frame.join(wide, ["station", "date"], "left").na.fill(0.0, names), names
+
+
 def station_encoding(frame: DataFrame, train: Column, value: str = "value") -> tuple[DataFrame, list[str]]:
     """Mean and wet share of each station over the training rows, as features."""
     x = F.when(train, F.col(value))
@@ -166,14 +192,6 @@ def fit_hurdle(frame: DataFrame, names: Sequence[str], value: str = "value", val
         regressor(names, "_log", settings, seed, "_amount", "_w", validation).fit(wet), gate)
 
 
-def fit_hurdle_per_station(frame: DataFrame, names: Sequence[str], stations: Sequence[str], parallel: int = 2,
-                           **options) -> dict[str, HurdleModel]:
-    """One hurdle model for each of a few named stations; for many stations use the pooled model."""
-    with ThreadPoolExecutor(parallel) as pool:
-        fitted = pool.map(lambda s: fit_hurdle(frame.where(F.col("station") == s), names, **options), stations)
-        return dict(zip(stations, fitted))
-
-
 # ---------------------------------------------------------------- horizons
 
 
@@ -221,12 +239,26 @@ def predict_horizons(frame: DataFrame, models: Mapping[int, PipelineModel]) -> D
     return scored.select("station", "date", F.inline(rows)).where("actual IS NOT NULL")
 
 
-def lead_frame(frame: DataFrame, horizon: int = 14) -> DataFrame:
-    """One row per origin and lead day with the lead as a feature and its value as the target."""
+def lead_frame(frame: DataFrame, horizon: int = 14, observed: str | None = None) -> DataFrame:
+    """One row per origin and lead day with the lead as a feature and its value as the target.
+
+    ``observed`` names a 0/1 column (1: imputed); leads that fall on imputed
+    days are left out.
+    """
+    if observed is not None:
+        known = F.when(F.col(observed) == 0, F.col("value"))
+        frame = frame.withColumn("value", known)
     return explode_horizon(horizon_targets(frame, horizon)).withColumn("lead", F.col("horizon_day").cast("double")) \
         .where("value IS NOT NULL")
 
 
+def embargoed(rows: DataFrame, val_from: Column, test_from: Column, horizon: int = 14, time: str = "date") -> DataFrame:
+    """Rows per origin with ``split`` set anew: origins whose ``horizon`` days reach past their part's end are left out."""
+    last = F.date_add(time, horizon - 1)
+    part = F.when(last < val_from, "train").when((F.col(time) >= val_from) & (last < test_from), "val").when(F.col(time) >= test_from, "test")
+    return rows.withColumn("split", part).where("split is not null")
+
+
 def fit_lead_model(rows: DataFrame, names: Sequence[str], settings: TreeSettings = TreeSettings(),
                    seed: int = 42, validation: str | None = None) -> PipelineModel:
     labelled = small_parts(cut_lineage(rows.select(
@@ -346,29 +378,34 @@ def tree_importance(model: PipelineModel, names: Sequence[str], frame: DataFrame
 
 
 def permutation_importance(model: PipelineModel, frame: DataFrame, names: Sequence[str], label: str,
-                           keys: Sequence[str] = ("station", "date"), seed: int = 7) -> DataFrame:
-    """Growth of RMSE when one feature is replaced by the values of other rows.
-
-    Two hash orders of the rows are ranked bucket-wise and joined on the rank,
-    which is a full permutation without sorting everything in one task.
+                           keys: Sequence[str] = ("station", "date"), block_days: int = 30, seeds: Sequence[int] = (7, 8, 9)) -> DataFrame:
+    """(feature, importance, spread, repeats): growth of RMSE when a feature takes the values of other rows of its block.
+
+    A block is a station's ``block_days`` days, so season and level stay as they
+    are.  In each repeat the rows of a block stand in an order drawn from a hash
+    and each takes the value of the next one, the last that of the first; a row
+    alone in its block keeps its own.  ``importance`` is the mean over the
+    repeats, ``spread`` their standard deviation.  All features and repeats are
+    scored in one scan.
     """
-    rows = cut_lineage(frame.select(*keys, *names, label))
-
-    def ranked(salt: str) -> DataFrame:
-        code = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(f"{seed}{salt}")))
-        return ordered_prefix(rows.withColumn("_code", code), [], ["_code"], F.substring("_code", 1, 4),
-                              before="_rank", total="_all").drop("_code", "_all")
-
-    donor = ranked("b").select("_rank", *[F.col(c).alias(f"_x_{c}") for c in names])
-    mixed = cut_lineage(ranked("a").join(donor, "_rank"))
-    # every row as it is, and once per feature with that feature of its donor: one scan, one aggregation
+    station, time = keys
+    rows = frame.select(*keys, *names, label)
+    block = F.floor(F.datediff(time, F.lit("1970-01-01")) / F.lit(block_days))
+    repeats = rows.withColumns({"_block": block, "_seed": F.explode(F.array(*map(F.lit, seeds)))})
+    code = F.xxhash64(F.col("_seed"), F.col(time).cast("string"), F.col(station).cast("string"))
+    order = Window.partitionBy(station, "_block", "_seed").orderBy(code, time)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct(*names)
+    mixed = repeats.withColumn("_donor", F.coalesce(F.lead(own).over(order), F.first(own).over(whole)))
     variants = F.array(*[F.struct(F.lit(changed).alias("feature"), *[
-        F.col(f"_x_{c}" if c == changed else c).alias(c) for c in names]) for changed in ("", *names)])
+        F.col(f"_donor.{c}" if c == changed else c).alias(c) for c in names]) for changed in ("", *names)])
     error = F.col("prediction") - F.col(label)
-    scored = model.transform(mixed.select(label, F.inline(variants))).groupBy("feature").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
-    scored = cut_lineage(scored)
-    reference = scored.where("feature = ''").select("rmse").scalar()
-    return scored.where("feature <> ''").select("feature", (F.col("rmse") - reference).alias("importance"))
+    scored = cut_lineage(model.transform(mixed.select("_seed", label, F.inline(variants))).groupBy("_seed", "feature").agg(
+        F.sqrt(F.avg(error * error)).alias("rmse")))
+    reference = scored.where("feature = ''").select("_seed", F.col("rmse").alias("plain"))
+    grown = scored.where("feature <> ''").join(reference, "_seed").withColumn("grown", F.col("rmse") - F.col("plain"))
+    return grown.groupBy("feature").agg(F.avg("grown").alias("importance"), F.coalesce(F.stddev_samp("grown"), F.lit(0.0)).alias("spread"),
+                                        F.count("*").alias("repeats"))
 
 
 def top_features(importance: DataFrame, k: int) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.operators.joins import in_passes, only_named, join_stats
+from rainloom.operators.gram import pair_moments
+from rainloom.operators.joins import join_stats, only_named
+from rainloom.session import cut_lineage
 
 OVERALL = "OVERALL"
 
@@ -87,31 +88,34 @@ def support_status(df: DataFrame, min_rows: int = 20) -> DataFrame:
         "status", F.when(F.col("n_real") < min_rows, F.lit("sensor_offline")).otherwise(F.lit("scored")))
 
 
-def cooccurrence(df: DataFrame, stations: Sequence[str], pairs_per_pass: int = 200, others: str = "fail") -> DataFrame:
+def station_pairs(df: DataFrame, stations: Sequence[str]) -> DataFrame:
+    """(station_a, station_b) of every two named stations, in the order they are named."""
+    named = df.sparkSession.createDataFrame([(i, s) for i, s in enumerate(stations)], "i int, station_a string")
+    everyone = named.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "station_a"))), lambda x: x.station_a).alias("all"))
+    later = F.slice(everyone.select("all").scalar(), F.col("i") + 2, F.lit(len(stations)))
+    return named.select("station_a", F.explode(later).alias("station_b"))
+
+
+def cooccurrence(df: DataFrame, stations: Sequence[str], others: str = "fail", **sizes) -> DataFrame:
     """For each pair of named stations: dates both, only the first, only the second miss; and all miss.
 
-    One row per date with a flag per station, then aggregates over pairs; no
-    station pairs are materialised per date.  Many pairs take several passes
-    over that table, which is then written once.
+    A station without a row for a date misses it.  Missing follows from being
+    present: dates that two stations share come from the blocked Gram matrix of
+    :mod:`gram`, the rest from each station's number of dates.
     """
-    gone = [F.coalesce(F.max(F.when(F.col("station") == s, F.col("value").isNull().cast("int"))), F.lit(1)).alias(s)
-            for s in stations]
-    wide = only_named(df, stations, others).groupBy("date").agg(*gone)
-    everyone = sum((F.col(s) for s in stations), F.lit(0)) == len(stations)
-    pairs = list(combinations(stations, 2))
-
-    def one_pass(table: DataFrame, some: Sequence[tuple[str, str]]) -> DataFrame:
-        sums = table.agg(F.count_if(everyone).alias("all_missing"), *[
-            c for i, (a, b) in enumerate(some) for c in (
-                F.count_if((F.col(a) == 1) & (F.col(b) == 1)).alias(f"both{i}"),
-                F.count_if((F.col(a) == 1) & (F.col(b) == 0)).alias(f"first{i}"),
-                F.count_if((F.col(a) == 0) & (F.col(b) == 1)).alias(f"second{i}"))])
-        return sums.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("station_a"), F.lit(b).alias("station_b"), F.col(f"both{i}").alias("both_missing"),
-                     F.col(f"first{i}").alias("only_a_missing"), F.col(f"second{i}").alias("only_b_missing"),
-                     F.col("all_missing")) for i, (a, b) in enumerate(some)])))
-
-    return in_passes(wide, pairs, pairs_per_pass, one_pass)
+    rows = only_named(df, stations, others)
+    known = cut_lineage(rows.where(F.col("value").isNotNull()).select("station", "date").distinct())
+    shared = pair_moments(known.withColumn("x", F.lit(1.0)), value="x", n_series=len(stations), **sizes).select("a", "b", "n")
+    own = cut_lineage(known.groupBy("station").agg(F.count("*").alias("n")))
+    days = rows.agg(F.count_distinct("date").alias("d")).select("d").scalar()
+    seen = known.agg(F.count_distinct("date").alias("d")).select("d").scalar()
+    pairs = station_pairs(df, stations).withColumns({"a": F.least("station_a", "station_b"), "b": F.greatest("station_a", "station_b")})
+    joined = pairs.join(shared, ["a", "b"], "left")
+    for side in ("a", "b"):
+        joined = joined.join(own.select(F.col("station").alias(f"station_{side}"), F.col("n").alias(f"n_{side}")), f"station_{side}", "left")
+    both, a, b = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n", "n_a", "n_b"))
+    return joined.select("station_a", "station_b", (days - a - b + both).alias("both_missing"), (b - both).alias("only_a_missing"),
+                         (a - both).alias("only_b_missing"), (days - seen).alias("all_missing"))
 
 
 def missing_patterns(df: DataFrame, stations: Sequence[str], others: str = "fail") -> DataFrame:

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.functions.aggregates import pearson
 from rainloom.operators.chunks import DAILY, Axis, ordered_prefix, over_halo
-from rainloom.operators.joins import in_passes, join_stats
+from rainloom.operators.gram import column_correlations
+from rainloom.operators.joins import join_stats, spread_join
 from rainloom.operators.ranks import with_value_bucket
 from rainloom.session import cut_lineage
 
@@ -54,25 +52,18 @@ def describe(df: DataFrame, keys: Sequence[str] = ("station",), value: str = "va
     return joined.withColumns({c: F.bround(c, digits) for c in joined.columns if c not in (*keys, "n")})
 
 
-def correlations(df: DataFrame, columns: Sequence[str], pairs_per_pass: int = 200) -> DataFrame:
-    """Pairwise-complete Pearson correlation of named columns, long form with ``x < y``.
-
-    All pairs of a pass share one aggregation; many columns take several passes.
-    """
-    def one_pass(table: DataFrame, some: Sequence[tuple[str, str]]) -> DataFrame:
-        row = table.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(some)])
-        return row.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"_{i}").alias("r"))
-            for i, (a, b) in enumerate(some)])))
-
-    return in_passes(df.select(*columns), list(combinations(sorted(columns), 2)), pairs_per_pass, one_pass)
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson correlation of named columns, long form with ``x < y``; pairs without common rows have NULL."""
+    return column_correlations(df, columns).select(F.col("a").alias("x"), F.col("b").alias("y"), "r")
 
 
 def lag_rank_correlation(df: DataFrame, lags: Sequence[int], value: str = "value", axis: Axis = DAILY) -> DataFrame:
     """Spearman correlation of each station's value with its own value ``k`` rows earlier.
 
     Equal (value, lagged value) pairs are merged before ranking; ranks are
-    centred, which keeps the sums exact for long series.
+    centred, which keeps the sums exact for long series.  A run of equal values
+    has one rank row; the runs that many pairs belong to, such as dry days, are
+    looked up by broadcast, so no key of a shuffled join is hot.
     """
     def columns(w):
         return {"_pairs": F.array(*[F.struct(F.lit(k).alias("lag"), F.lag(value, k).over(w).alias("y")) for k in lags])}
@@ -83,13 +74,13 @@ def lag_rank_correlation(df: DataFrame, lags: Sequence[int], value: str = "value
     by = [*axis.keys, "lag"]
 
     def ranks(side: str) -> DataFrame:
-        counts = merged.groupBy(*by, side).agg(F.sum("_w").alias("_n"))
+        counts = merged.groupBy(*by, side).agg(F.sum("_w").alias("_n"), F.count("*").alias("_rows"))
         coded = with_value_bucket(counts, by, side)
         placed = ordered_prefix(coded, by, [side], F.col("_vb"), F.col("_n"), "_before", "_total")
         middle = F.col("_before") + (F.col("_n") + 1) / 2 - (F.col("_total") + 1) / 2
-        return placed.select(*by, side, middle.alias(f"_r{side}"))
+        return placed.select(*by, side, "_rows", middle.alias(f"_r{side}"))
 
-    ranked = merged.join(ranks("x"), [*by, "x"]).join(ranks("y"), [*by, "y"])
+    ranked = spread_join(spread_join(merged, ranks("x"), [*by, "x"], "_rows"), ranks("y"), [*by, "y"], "_rows")
     w, rx, ry = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*by).agg(F.sum("_w").alias("n"), F.sum(w * rx * ry).alias("_xy"),
                                    F.sum(w * rx * rx).alias("_xx"), F.sum(w * ry * ry).alias("_yy"))

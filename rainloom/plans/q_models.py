@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
-from rainloom.operators import features, learners, metrics, monthly, quality, rollup, split
+from rainloom.operators import boosting, features, learners, metrics, monthly, quality, rollup, split
 from rainloom.operators.chunks import MONTHLY, over_halo
 from rainloom.plans import views
 from rainloom.plans.registry import r6, register
@@ -214,14 +214,23 @@ def m07(spark, sf):
     return metrics.skill(scored, ["horizon"])
 
 
-@register("m08_lead_day_model")
-def m08(spark, sf):
+#: Days of the lead-day model.
+LEADS = 14
+
+
+def lead_scores(spark, sf):
+    """Test origins and lead days of the embargoed split whose value was observed: (station, date, horizon_day, actual, pred)."""
     frame, names = forecast_frame(spark, sf)
-    rows = learners.lead_frame(frame)
+    rows = learners.embargoed(learners.lead_frame(frame, LEADS, "imputed"), *views.cuts(views.region_filled(spark, sf)), LEADS)
+    rows = cut_lineage(rows.withColumn("is_val", F.col("split") == "val"))
     model = learners.fit_lead_model(rows.where("split <> 'test'"), names, FULL, validation="is_val")
-    scored = model.transform(rows.where("split = 'test'")).select(
+    return model.transform(rows.where("split = 'test'")).select(
         "station", "date", "horizon_day", F.col("value").alias("actual"), fx.from_log(F.col("prediction")).alias("pred"))
-    return metrics.lead_skill(scored)
+
+
+@register("m08_lead_day_model")
+def m08(spark, sf):
+    return metrics.lead_skill(lead_scores(spark, sf))
 
 
 def hurdle_rows(spark, sf):
@@ -229,10 +238,31 @@ def hurdle_rows(spark, sf):
     return quality.real_observations(frame), names
 
 
+def station_rows(spark, sf):
+    """Real rows with the lags and trailing means of the four best correlated stations as further features."""
+    frame, names = forecast_frame(spark, sf)
+    near = learners.ranked_neighbours(frame, (F.col("split") == "train") & (F.col("imputed") == 0))
+    own = [f"lag{k}" for k in learners.LAGS] + [f"roll{n}" for n in learners.WINDOWS]
+    wide, more = learners.neighbour_features(frame, near, own)
+    return cut_lineage(quality.real_observations(wide)), [*names, *more]
+
+
+def station_hurdles(spark, sf):
+    real, names = station_rows(spark, sf)
+    return real, boosting.fit_station_hurdles(real.where("split <> 'test'"), names, validation="is_val")
+
+
+def station_support(spark, sf, test):
+    """(station, n, status) of every station by its real test rows."""
+    support = cut_lineage(quality.support_status(test, LEAST_DAYS).withColumnRenamed("n_real", "n"))
+    stations = views.region_filled(spark, sf).select("station").distinct()
+    return stations.join(support, "station", "left").na.fill({"n": 0, "status": "sensor_offline"})
+
+
 @register("m09_hurdle")
 def m09(spark, sf):
-    real, names = hurdle_rows(spark, sf)
-    model = learners.fit_hurdle(real.where("split <> 'test'"), names, validation="is_val", settings=FULL)
+    """A hurdle model for every station, all fitted in one job."""
+    real, model = station_hurdles(spark, sf)
     return model.transform(real.where("split = 'test'")).select(
         "station", "date", F.col("value").alias("actual"), "p_wet", "pred")
 
@@ -240,23 +270,21 @@ def m09(spark, sf):
 @register("m09_hurdle_per_station")
 def m09b(spark, sf):
     """Stations of fewer than ``LEAST_DAYS`` real test days are not fitted: they have a status and no scores."""
+    real, names = station_rows(spark, sf)
+    status = cut_lineage(station_support(spark, sf, real.where("split = 'test'")))
+    rows = real.join(status.where("status = 'scored'").select("station"), "station", "left_semi")
+    model = boosting.fit_station_hurdles(rows.where("split <> 'test'"), names, validation="is_val")
+    scored = model.transform(rows.where("split = 'test'")).withColumnRenamed("value", "actual")
+    return status.join(metrics.skill(scored, pooled=False).drop("n"), "station", "left")
+
+
+@register("m09_pooled_hurdle")
+def m09c(spark, sf):
+    """One hurdle model over the rows of all stations."""
     real, names = hurdle_rows(spark, sf)
-    test = real.where("split = 'test'").where(F.col("station").isin(*views.REGION_STATIONS))
-    support = {r["station"]: (r["n_real"], r["status"]) for r in quality.support_status(test, LEAST_DAYS).collect()}
-    support = {s: support.get(s, (0, "sensor_offline")) for s in views.REGION_STATIONS}
-    fitted = [s for s, (_, status) in support.items() if status == "scored"]
-    offline = spark.createDataFrame([(s, *support[s]) for s in support if s not in fitted], "station string, n long, status string")
-    if not fitted:
-        return offline
-    models = learners.fit_hurdle_per_station(real.where("split <> 'test'"), names, fitted,
-                                             parallel=4, validation="is_val", settings=FULL)
-    scored = None
-    for station, model in models.items():
-        part = model.transform(test.where(F.col("station") == station)).select(
-            "station", "date", F.col("value").alias("actual"), "pred")
-        scored = part if scored is None else scored.unionByName(part)
-    scores = metrics.skill(scored, pooled=False).withColumn("status", F.lit("scored"))
-    return scores.unionByName(offline, allowMissingColumns=True)
+    model = learners.fit_hurdle(real.where("split <> 'test'"), names, validation="is_val", settings=FULL)
+    return model.transform(real.where("split = 'test'")).select(
+        "station", "date", F.col("value").alias("actual"), "p_wet", "pred")
 
 
 @register("m10_gated_hurdle")
@@ -270,29 +298,37 @@ def m10(spark, sf):
 
 @register("m11_early_stopping")
 def m11(spark, sf):
-    real, names = hurdle_rows(spark, sf)
-    patient = learners.TreeSettings(rounds=400, depth=5, step=0.05, tolerance=0.0)
-    model = learners.fit_hurdle(real.where("split <> 'test'"), names, validation="is_val", settings=patient)
-    kept = [(stage, p.stages[-1].getNumTrees, patient.rounds)
-            for stage, p in (("occurrence", model.occurrence), ("amount", model.amount))]
-    return spark.createDataFrame(kept, "stage string, rounds_kept int, rounds_allowed int")
+    """Every boosting round of every station's two models with its validation loss, and whether it is kept."""
+    return station_hurdles(spark, sf)[1].rounds()
+
+
+# Eight trials of depth, step and least weight of a leaf; the rounds of the first rung double on each next.
+TRIALS = {k: boosting.BoostSettings(depth=d, step=s, least_weight=w) for k, (d, s, w) in enumerate(
+    [(3, 0.02, 5.0), (3, 0.05, 5.0), (3, 0.1, 3.0), (4, 0.05, 3.0), (5, 0.02, 3.0), (5, 0.05, 5.0), (5, 0.1, 5.0), (6, 0.05, 10.0)])}
+FIRST_ROUNDS = 25
 
 
 @register("m16_parameter_search")
 def m16(spark, sf):
+    """Successive halving of eight trials on the chronological validation part: every trial of every rung."""
     frame, names = forecast_frame(spark, sf)
-    rows = frame.withColumn("y", F.log1p("value"))
-    found = learners.search(rows.where("split = 'train'"), rows.where("split = 'val'"), names, "y",
-                            {"depth": (3, 5), "step": (0.05, 0.2)}, FULL)
-    return found.orderBy("validation_rmse")
+    rows = quality.real_observations(frame).where("split <> 'test'").withColumn("y", F.log1p("value"))
+    settings = F.create_map(*[F.lit(x) for k, t in TRIALS.items() for x in (k, f"{t.depth}|{t.step}|{t.least_weight}")])
+    found = boosting.successive_halving(rows, names, "y", TRIALS, "is_val", first_rounds=FIRST_ROUNDS)
+    part = F.split(settings[F.col("trial")], "\\|")
+    return found.select("rung", "trial", "rounds", part[0].cast("int").alias("depth"), part[1].cast("double").alias("step"),
+                        part[2].cast("double").alias("least_weight"), F.col("loss").alias("validation_rmse"), "promoted", "chosen")
 
 
-def fitted_daily(spark, sf):
+def fitted_daily(spark, sf, planted=False):
+    """Rows, feature names and a fitted model of the day's value; ``planted`` adds the answer and a number drawn from a hash."""
     frame, names = forecast_frame(spark, sf)
     rows = frame.withColumn("y", F.log1p("value"))
-    model = learners.regressor(names, "y", FULL, 42, validation="is_val").fit(
-        cut_lineage(rows.where("split <> 'test'").select(*names, "y", "is_val").coalesce(2)))
-    return rows, names, model
+    if planted:
+        noise = F.pmod(F.xxhash64("station", "date"), F.lit(1000)) / 1000.0
+        rows, names = cut_lineage(rows.withColumns({"planted": F.col("y"), "noise": noise})), [*names, "planted", "noise"]
+    training = learners.small_parts(cut_lineage(rows.where("split <> 'test'").select(*names, "y", "is_val")))
+    return rows, names, learners.regressor(names, "y", FULL, 42, validation="is_val").fit(training)
 
 
 @register("m17_permutation_importance")
@@ -356,11 +392,13 @@ def m07_contract(spark, sf):
     return m07(spark, sf).select("horizon", "station", "n")
 
 
-@register("m08_contract", sql(["region_filled", "rolled"], """
-SELECT CAST(k AS INT) AS horizon_day, count(DISTINCT station) AS n_stations
-FROM rolled CROSS JOIN (SELECT unnest(generate_series(1, 14)) AS k) GROUP BY k"""))
+@register("m08_contract", sql(["region_filled", "rolled"], f"""
+SELECT a.station, a.date, CAST(k AS INT) AS horizon_day, b.value AS actual, TRUE AS ok
+FROM rolled a CROSS JOIN (SELECT unnest(generate_series(1, {LEADS})) AS k)
+JOIN rolled b ON b.station = a.station AND b.rn = a.rn + k - 1
+WHERE a.rn <= a.n_rows - {LEADS - 1} AND a.date >= {views.cut_sql("region_filled", True)} AND b.imputed = 0"""))
 def m08_contract(spark, sf):
-    return m08(spark, sf).select("horizon_day", "n_stations")
+    return lead_scores(spark, sf).select("station", "date", "horizon_day", "actual", (F.col("pred") >= 0).alias("ok"))
 
 
 @register("m09_contract", sql(["region_filled", "rolled"], f"""
@@ -371,6 +409,14 @@ def m09_contract(spark, sf):
     return m09(spark, sf).select("station", "date", "actual", ok.alias("ok"))
 
 
+@register("m09_pooled_contract", sql(["region_filled", "rolled"], f"""
+SELECT station, date, value AS actual, TRUE AS ok {test_rows('value')}"""))
+def m09c_contract(spark, sf):
+    p, pred = F.col("p_wet"), F.col("pred")
+    ok = p.between(0, 1) & pred.between(0, 600) & ((p > 0.5) | (pred == 0))
+    return m09c(spark, sf).select("station", "date", "actual", ok.alias("ok"))
+
+
 STATION_COUNTS = f"SELECT station, count(*) AS n {test_rows('value')} GROUP BY station"
 
 
@@ -386,18 +432,27 @@ def m10_contract(spark, sf):
 
 
 @register("m11_contract", sql(["region_filled"], """
-SELECT DISTINCT stage, 400 AS rounds_allowed, TRUE AS ok
+SELECT DISTINCT stage, station, TRUE AS least_is_kept, TRUE AS patience_held
 FROM region_filled CROSS JOIN (SELECT unnest(['occurrence', 'amount']) AS stage)"""))
 def m11_contract(spark, sf):
-    kept = F.col("rounds_kept").between(1, F.col("rounds_allowed"))
-    return m11(spark, sf).select("stage", "rounds_allowed", kept.alias("ok"))
-
-
-@register("m16_contract", sql(["region_filled"], """
-SELECT DISTINCT depth::DOUBLE AS depth, step::DOUBLE AS step, TRUE AS ok
-FROM region_filled CROSS JOIN (SELECT unnest([3, 5]) AS depth) CROSS JOIN (SELECT unnest([0.05, 0.2]) AS step)"""))
+    """The last kept round has the least of the listed losses, and the list ends where patience does."""
+    s = boosting.BoostSettings()
+    rounds = m11(spark, sf).groupBy("stage", "station").agg(
+        F.min(F.struct("loss", "round"))["round"].alias("least"), F.max(F.when(F.col("kept"), F.col("round"))).alias("last"),
+        F.max("round").alias("tried"), F.count("*").alias("n"))
+    ended = (F.col("tried") == F.least(F.col("least") + s.patience, F.lit(s.rounds))) & (F.col("n") == F.col("tried") + 1)
+    return rounds.select("stage", "station", (F.col("least") == F.col("last")).alias("least_is_kept"), ended.alias("patience_held"))
+
+
+@register("m16_contract", sql(["region_filled"], f"""
+SELECT DISTINCT CAST(rung AS INT) AS rung, CAST({FIRST_ROUNDS} * (1 << rung) AS INT) AS rounds, CAST({len(TRIALS)} >> rung AS BIGINT) AS trials,
+       CAST(({len(TRIALS)} >> rung) // 2 AS BIGINT) AS promoted, CAST(({len(TRIALS)} >> rung) = 1 AS BIGINT) AS chosen, TRUE AS least_goes_on
+FROM region_filled CROSS JOIN (SELECT unnest(range(0, {len(TRIALS).bit_length()})) AS rung)"""))
 def m16_contract(spark, sf):
-    return m16(spark, sf).select("depth", "step", (F.col("validation_rmse") > 0).alias("ok"))
+    """All trials and rungs are listed; on each rung the trial of least loss goes on, and on the last it is chosen."""
+    return m16(spark, sf).groupBy("rung", "rounds").agg(
+        F.count("*").alias("trials"), F.count_if("promoted").alias("promoted"), F.count_if("chosen").alias("chosen"),
+        F.min(F.struct("validation_rmse", "trial", (F.col("promoted") | F.col("chosen")).alias("on")))["on"].alias("least_goes_on"))
 
 
 @register("m18_contract", sql(["region_filled"], "SELECT station, date, TRUE AS ok FROM region_filled"))
@@ -416,9 +471,14 @@ FEATURES = ([f"lag{k}" for k in learners.LAGS] + [f"{c}{n}" for n in learners.WI
 
 
 @register("m17_contract", sql(["region_filled"], f"""
-SELECT DISTINCT feature FROM region_filled CROSS JOIN (SELECT unnest({FEATURES}) AS feature)"""))
+SELECT DISTINCT feature, feature = 'planted' AS leads FROM region_filled CROSS JOIN (SELECT unnest({FEATURES + ['noise', 'planted']}) AS feature)"""))
 def m17_contract(spark, sf):
-    return m17(spark, sf).where(F.col("feature").isin(FEATURES)).select("feature")
+    """A feature that holds the answer matters most, by more than five of its spreads; one drawn from a hash does not."""
+    rows, names, model = fitted_daily(spark, sf, planted=True)
+    found = cut_lineage(learners.permutation_importance(model, rows.where("split = 'test'"), names, "y"))
+    most = found.agg(F.max("importance").alias("m")).select("m").scalar()
+    leads = (F.col("importance") == most) & (F.col("importance") > 5 * F.col("spread")) & (F.col("importance") > 0)
+    return found.where(F.col("feature").isin(*FEATURES, "noise", "planted")).select("feature", leads.alias("leads"))
 
 
 @register("l05_contract", sql(["region_filled"], "SELECT least(count(*), 5) AS n, TRUE AS ok FROM region_filled"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
-from rainloom.operators import (counters, features, impute, joins, metrics, quality, rollup, scaling, spatial, split,
+from rainloom.operators import (counters, features, gram, impute, metrics, quality, rollup, scaling, spatial, split,
                                 stats)
 from rainloom.operators.chunks import DAILY, slots
 from rainloom.plans import views
 from rainloom.plans.registry import r6, register
-from rainloom.plans.views import sql
+from rainloom.plans.views import cut_lineage, sql
 
 # ---------------------------------------------------------------- counters and gaps
 
@@ -305,9 +305,8 @@ def a11(spark, sf):
 SELECT 's' || a.station AS x, 's' || b.station AS y, round(corr(a.value, b.value), 6) AS r
 FROM region_dense a JOIN region_dense b ON a.date = b.date AND a.station < b.station GROUP BY 1, 2"""))
 def j10(spark, sf):
-    wide = joins.long_to_wide(views.region_dense(spark, sf), views.REGION_STATIONS)
-    wide = wide.withColumnsRenamed({s: f"s{s}" for s in views.REGION_STATIONS})
-    return r6(stats.correlations(wide, [f"s{s}" for s in views.REGION_STATIONS]), "r")
+    found = gram.pair_correlations(cut_lineage(views.region_dense(spark, sf)))
+    return r6(found.select(F.concat(F.lit("s"), "a").alias("x"), F.concat(F.lit("s"), "b").alias("y"), "r"), "r")
 
 
 @register("a13_lag_rank_correlation", sql("region_rain", """

@@ -109,7 +109,34 @@ def test_search_and_importance(frame):
     top = learners.top_features(learners.tree_importance(model, used, marked), 2).collect()
     assert top[0].feature == "signal" and len(top) == 2
     shuffled = learners.permutation_importance(model, marked, used, "y").orderBy(F.desc("importance")).collect()
-    assert shuffled[0].feature == "signal" and len(shuffled) == len(used)
+    assert shuffled[0].feature == "signal" and len(shuffled) == len(used) and {r.repeats for r in shuffled} == {3}
+    assert shuffled[0].importance > 5 * shuffled[0].spread > 0
+    alone = learners.permutation_importance(model, marked, used, "y", block_days=1).collect()
+    assert all(r.importance == 0 for r in alone)  # a row alone in its block keeps its values
+
+
+def test_neighbours_are_the_best_correlated_and_their_columns_are_joined(spark, series):
+    rng = random.Random(5)
+    base = [rng.random() for _ in range(60)]
+    df = series({"a": base, "b": [x + 0.1 * rng.random() for x in base], "c": [-x for x in base], "d": [rng.random() for _ in base]})
+    near = {(r.station, r["rank"]): r.other for r in learners.ranked_neighbours(df, F.lit(True), 2).collect()}
+    assert len(near) == 8 and near["a", 1] == "b" and near["b", 1] == "a" and "c" not in (near["a", 1], near["a", 2])
+    some = spark.createDataFrame([("a", "c", 1), ("a", "d", 2), ("b", "a", 1)], "station string, other string, rank int")
+    wide, names = learners.neighbour_features(df.withColumn("lag1", F.col("value") * 10), some, ["lag1"], 2)
+    assert names == ["near1_lag1", "near2_lag1"]
+    row = wide.where("station = 'a'").orderBy("date").first()
+    assert row.near1_lag1 == pytest.approx(-10 * base[0]) and wide.where("station = 'b'").orderBy("date").first().near2_lag1 == 0.0
+    assert wide.where("station in ('c', 'd') and (near1_lag1 <> 0 or near2_lag1 <> 0)").count() == 0 and wide.count() == 240
+
+
+def test_no_origin_reaches_past_the_end_of_its_part(series):
+    df = series({"a": [float(k) for k in range(60)]}).withColumn("imputed", (F.dayofmonth("date") % 5 == 0).cast("int"))
+    rows = learners.embargoed(learners.lead_frame(df, 14, "imputed"), F.lit(day(30)), F.lit(day(45)), 14)
+    got = [(r.split, r.date, r.forecast_date, r.value) for r in rows.collect()]
+    assert all(v == (f - day(0)).days and f.day % 5 for _, _, f, v in got)
+    ends = {"train": day(30), "val": day(45), "test": day(60)}
+    assert {s for s, *_ in got} == {"train", "val", "test"} and all(f < ends[s] for s, _, f, _ in got)
+    assert max(d for s, d, *_ in got if s == "train") == day(16) and max(d for s, d, *_ in got if s == "val") == day(31)
 
 
 def test_features_do_not_see_the_target_day(series):

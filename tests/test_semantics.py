@@ -7,12 +7,14 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
-from rainloom.operators import (calendar, features, impute, joins, metrics, monthly, quality, rollup, scaling, spatial,
+from rainloom.operators import (calendar, features, gram, impute, joins, metrics, monthly, quality, rollup, scaling, spatial,
                                 split, stats, windows)
 from rainloom.operators.chunks import DAILY
+from rainloom.session import cut_lineage
 from tests.conftest import as_pandas, column, day
 
 
@@ -131,16 +133,36 @@ def test_missing_summary_and_patterns(series):
     assert quality.dtype_counts(df) == {"string": 1, "date": 1, "double": 1}
 
 
-def test_validated_join_raises_on_repeated_key(spark, series):
-    df = series({"a": [1, 2]})
-    twice = spark.createDataFrame([(day(0), 1.0), (day(0), 2.0)], "date date, c double")
+def test_validated_join_fails_on_a_repeated_key_and_names_it(spark, series):
+    df = series({"a": [1, 2], "b": [3, 4]})
+    twice = spark.createDataFrame([(day(0), 1.0), (day(0), 2.0), (day(1), 3.0)], "date date, c double")
+    joined = joins.validated_join(df, twice, ["date"], "left", "m:1")  # no job yet
+    with pytest.raises(Exception, match=r'right side repeats key \{"date":"2020-01-01"\}'):
+        joined.collect()
+    with pytest.raises(Exception, match="left side repeats key"):
+        joins.validated_join(df, twice.dropDuplicates(["date"]), ["date"], "left", "1:1").collect()
     with pytest.raises(joins.KeyViolation):
-        joins.validated_join(df, twice, ["date"], "left", "m:1")
-    with pytest.raises(Exception, match="repeats"):
-        joins.checked_join(df, twice, ["date"]).collect()
-    once = twice.limit(1)
-    assert joins.validated_join(df, once, ["date"], "left", "1:1").count() == 2
-    assert joins.checked_join(df, once, ["date"]).count() == 2
+        joins.validated_join(df, twice, ["date"], validate="one:one")
+    once = twice.where("c > 1")
+    seen = Observation()
+    assert joins.validated_join(df, once.where("c > 2"), ["date"], "left", "m:1", seen).count() == 4
+    assert seen.get == {"rows": 4, "matched": 2}
+    assert joins.validated_join(df, twice, ["date"], "inner", "m:m").count() == 6
+    nulls = spark.createDataFrame([(None, 1.0), (None, 2.0)], "date date, c double")
+    assert joins.validated_join(df, nulls, ["date"], "left", "m:1").where("c is null").count() == 4  # they join nothing
+
+
+def test_validated_join_reads_each_side_once_in_the_joins_own_shuffle(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 100 k", "id v").write.parquet(str(tmp_path / "l"))
+    spark.range(100).selectExpr("id k", "id w").write.parquet(str(tmp_path / "r"))
+    left, right = spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "r"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joins.validated_join(left, right, ["k"], "left", "m:1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan") == 2 and plan.count("SortMergeJoin") == 1
 
 
 def test_join_stats_has_a_way_beyond_the_size_limit(spark, series):
@@ -402,17 +424,69 @@ def test_grid_bounding_box_reaches_the_scan(spark, tmp_path):
     assert box.count() == 1
 
 
-def test_pair_statistics_in_several_passes(series):
+@pytest.mark.parametrize("block, steps", [(64, 512), (2, 7), (1, 1000)])
+def test_pair_statistics_in_any_blocks(series, block, steps):
     rng = np.random.default_rng(8)
-    values = {s: [None if rng.random() < 0.3 else float(rng.integers(0, 9)) for _ in range(40)] for s in "abcde"}
+    names = ["b", "a", "é", "c", "d10", "d2"]
+    values = {s: [None if rng.random() < 0.3 else float(rng.integers(0, 9)) for _ in range(40)] for s in names}
+    values["a"][20:] = [None] * 20
+    values["c"][:20] = [None] * 20  # shares no day with a
     df = series(values)
-    once, split_up = (sorted(map(tuple, quality.cooccurrence(df, list("abcde"), n).collect())) for n in (200, 3))
-    assert once == split_up and len(once) == 10
-    wide = joins.long_to_wide(df, list("abcde"))
+    got = {(r.station_a, r.station_b): tuple(r)[2:] for r in quality.cooccurrence(df, names, block=block, steps=steps).collect()}
+    gone = {s: np.array([v is None for v in x]) for s, x in values.items()}
+    every = int(np.logical_and.reduce(list(gone.values())).sum())
+    assert got == {(a, b): (int((gone[a] & gone[b]).sum()), int((gone[a] & ~gone[b]).sum()), int((~gone[a] & gone[b]).sum()), every)
+                   for i, a in enumerate(names) for b in names[i + 1:]}
     want = pd.DataFrame(values, dtype=float).corr()
-    for n in (200, 4):
-        got = {(r.x, r.y): r.r for r in stats.correlations(wide, list("abcde"), n).collect()}
-        assert len(got) == 10 and all(v == pytest.approx(want.loc[k]) for k, v in got.items())
+    long = {(r.a, r.b): r.r for r in gram.pair_correlations(df, block=block, steps=steps).collect()}
+    assert set(long) == {(a, b) for a in names for b in names if a < b} - {("a", "c")}
+    wide = {(r.x, r.y): r.r for r in stats.correlations(joins.long_to_wide(df, names), names).collect()}
+    assert len(wide) == 15 and wide.pop(("a", "c")) is None
+    for found in (long, wide):
+        assert all(v == pytest.approx(want.loc[k]) for k, v in found.items())
+
+
+def test_a_thousand_stations_without_an_expression_per_pair(spark):
+    days = spark.range(30).selectExpr("date_add(date'2020-01-01', cast(id as int)) date", "id d")
+    many = days.crossJoin(spark.range(1000).selectExpr("cast(id as string) station", "id s")).selectExpr(
+        "station", "date", "case when s % 2 = d % 2 or s % 3 = 0 then (s * 7919 + d * 104729) % 101 end value")
+    found = gram.pair_correlations(many.withColumn("value", F.col("value").cast("double")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 40_000
+    odd, even = F.pmod(F.col("a").cast("int"), F.lit(2)), F.pmod(F.col("b").cast("int"), F.lit(2))
+    third = (F.col("a").cast("int") % 3 == 0) | (F.col("b").cast("int") % 3 == 0)
+    rows = cut_lineage(found)
+    assert rows.count() == rows.where((odd == even) | third).count() == sum(
+        1 for a in range(1000) for b in range(a) if a % 2 == b % 2 or a % 3 == 0 or b % 3 == 0)
+
+
+def test_constant_and_distant_values_have_no_correlation(series):
+    df = series({"a": [1e9] * 10, "b": [1e9 + k for k in range(10)], "c": [1e9 + 2 * k for k in range(10)]})
+    got = {(r.a, r.b): r.r for r in gram.pair_correlations(df).collect()}
+    assert got[("a", "b")] is None and got[("a", "c")] is None and got[("b", "c")] == pytest.approx(1.0)
+
+
+def test_rank_correlation_with_nine_tenths_dry_days(spark):
+    rng = np.random.default_rng(2)
+    rows = [("hot", day(i), 0.0 if rng.random() < 0.9 else round(float(rng.gamma(1, 9)), 3)) for i in range(3000)] + [
+        (f"s{k}", day(i), float(rng.integers(0, 4))) for k in range(5) for i in range(50)]
+    df = spark.createDataFrame(rows, "station string, date date, value double")
+    got = {(r.station, r.lag): r.rho for r in stats.lag_rank_correlation(df, [1, 7]).collect()}
+    frame = pd.DataFrame(rows, columns=["station", "date", "value"])
+    for s, g in frame.groupby("station"):
+        for lag in (1, 7):
+            both = pd.DataFrame({"x": g.value, "y": g.value.shift(lag)}).dropna().rank()
+            want = both.x.corr(both.y)
+            assert got[s, lag] == pytest.approx(want, abs=1e-9)
+
+
+def test_no_key_of_the_shuffled_part_of_a_spread_join_is_hot(spark):
+    rows = spark.range(20_000).selectExpr("case when id % 10 < 9 then 0 else id end k", "id v")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("rank", F.col("k") + 0.5)
+    joined = joins.spread_join(rows, table, ["k"], "n", 100)
+    assert joined.count() == 20_000 and joined.where("rank <> k + 0.5").count() == 0 and joined.columns == ["k", "v", "rank"]
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "strategy=broadcast" in plan
 
 
 def test_approximate_quantiles_option(series):

@@ -18,15 +18,17 @@ class Mean:
 def test_stations_with_few_real_test_days_are_not_fitted(spark, monkeypatch):
     asked = []
 
-    def fit(frame, names, stations, **_):
-        asked.extend(stations)
-        return {s: Mean() for s in stations}
+    def fit(frame, names, **_):
+        asked.extend(r["station"] for r in frame.select("station").distinct().collect())
+        return Mean()
 
-    rows = [(s, date(2020, 1, 1) + timedelta(i), float(i % 3), 0, "test") for s, n in (("a", 25), ("b", 19)) for i in range(n)]
+    rows = [(s, date(2020, 1, 1) + timedelta(i), float(i % 3), 0, part) for s, n in (("a", 25), ("b", 19))
+            for part, days in (("train", range(5)), ("test", range(5, 5 + n))) for i in days]
     frame = spark.createDataFrame(rows, "station string, date date, value double, imputed int, split string")
-    monkeypatch.setattr(views, "REGION_STATIONS", ["a", "b", "c"])
-    monkeypatch.setattr(q_models, "hurdle_rows", lambda *_: (frame, ["value"]))
-    monkeypatch.setattr(q_models.learners, "fit_hurdle_per_station", fit)
+    every = spark.createDataFrame([("a",), ("b",), ("c",)], "station string")
+    monkeypatch.setattr(views, "region_filled", lambda *_: every)
+    monkeypatch.setattr(q_models, "station_rows", lambda *_: (frame, ["value"]))
+    monkeypatch.setattr(q_models.boosting, "fit_station_hurdles", fit)
     out = {r["station"]: r for r in q_models.m09b(spark, "").collect()}
     assert asked == ["a"]
     assert {s: (r["n"], r["status"]) for s, r in out.items()} == {"a": (25, "scored"), "b": (19, "sensor_offline"), "c": (0, "sensor_offline")}
