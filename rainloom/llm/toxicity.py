@@ -129,7 +129,9 @@ def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ord
     """Dictionaries from (word, toxic documents, ordinary documents with it).
 
     Pieces are chosen greedily: each round takes the one whose counts in toxic
-    words not covered yet and in ordinary words are most surprising.
+    words not covered yet and in ordinary words are most surprising; of equal
+    ones the longer, then the smaller in byte order.  Words that hold a chosen
+    piece, or never occur in ordinary rows, are not among the common ones.
     """
     small, large = PIECE
     least = max(4, SHARE * n_toxic)
@@ -153,7 +155,7 @@ def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ord
             for p in pieces(word):
                 ordinary[p] += b
     expected = n_toxic / max(n_toxic + n_ordinary, 1)
-    needed = SURE + np.log(max(len(toxic), 1))
+    needed = SURE + np.log(max(len(roots), 1))  # longer pieces belong to words that were counted as a root
 
     def surprise(a: int, b: int) -> float:
         """Log-likelihood ratio of the two counts against the classes' sizes."""
@@ -161,7 +163,7 @@ def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ord
         return a * np.log(share / expected) + (b * np.log((1 - share) / (1 - expected)) if b else 0.0)
 
     def stands_out(a: int, b: int) -> bool:
-        return (a + 0.5) / n_toxic > TIMES * (b + 0.5) / max(n_ordinary, 1) and surprise(a, b) > needed
+        return a * n_ordinary > TIMES * b * n_toxic and surprise(a, b) > needed
 
     apart = {p for p, c in toxic.items() if stands_out(c, ordinary[p])}
     owners = defaultdict(list)
@@ -179,17 +181,23 @@ def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ord
             best = min(waiting, key=lambda p: (-surprise(left[p], ordinary[p]), -len(p), p))
             chosen.append(best)
             covered |= {w for w, _ in owners[best]}
-    common_words = sorted(counts, key=lambda x: (-x[2], x[0]))[:COMMON_WORDS]
+    apart_words = {w for p in chosen for w, _ in owners[p]}
+    ordinary_words = [x for x in counts if x[2] and x[0] not in apart_words]
+    common_words = sorted(ordinary_words, key=lambda x: (-x[2], x[0]))[:COMMON_WORDS]
     base = b"".join(b" " + w for w, _, _ in reversed(common_words))
     return Model(base, b"".join(reversed(chosen)) + base)
 
 
-#: Gains are calibrated in the range from 0 to this many bytes.
-MOST = 15
+#: Gains are calibrated in the range from 0 to this many bytes; a text without any has at most this score.
+MOST, UNMARKED = 15, 0.49
 
 
 def calibrate(model: Model, gained: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """Share of toxic rows by best gain and (capped) second gain, smoothed, and monotone in both."""
+    """Share of toxic rows by best gain and (capped) second gain, smoothed, and monotone in both.
+
+    A text without a gain shows no sign of toxicity: its score stays below one
+    half however many of the labelled rows are toxic.
+    """
     table = np.zeros((MOST + 1, MOST + 1, 2))
     clipped = np.clip(gained, 0, MOST)
     np.add.at(table, (clipped[:, 0], clipped[:, 1], toxic), weight)
@@ -197,6 +205,7 @@ def calibrate(model: Model, gained: np.ndarray, toxic: np.ndarray, weight: np.nd
     spread = np.exp(-0.5 * ((np.arange(MOST + 1)[:, None] - np.arange(MOST + 1)) / 0.6) ** 2)
     smooth = np.einsum("ij,jkc,lk->ilc", spread, table, spread) + 0.2 * prior
     score = smooth[..., 1] / smooth.sum(axis=2)
+    score[0] = np.minimum(score[0], UNMARKED)
     score = np.maximum.accumulate(np.maximum.accumulate(score, axis=0), axis=1)
     return Model(model.ordinary, model.toxic, tuple(map(tuple, np.round(score, 6).tolist())))
 

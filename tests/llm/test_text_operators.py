@@ -319,6 +319,54 @@ def test_toxicity_without_labels_calls_nothing_toxic(spark):
     assert all(r["score"] < 0.5 for r in toxicity.score(docs, model).collect())
 
 
+def few_words(n, share, seed, signal=True):
+    """Rows over 40 words; a ``share`` of them toxic, each with one of three words of their own if there is a signal."""
+    rng = random.Random(seed)
+    words = [f"{a}{b}" for a in ("tel", "mor", "san", "kip", "dur") for b in ("ane", "ost", "irr", "ulm", "evy", "ack", "ogg", "izz")]
+    rows = []
+    for i in range(n):
+        bad = int(i < share * n)
+        text = [rng.choice(words) for _ in range(rng.randint(20, 60))]
+        if bad and signal:
+            text[rng.randrange(len(text))] = rng.choice(("grumwort", "blexfool", "zarkhead"))
+        rows.append((i, " ".join(text), bad))
+    return rows
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.75])
+def test_toxicity_of_a_small_vocabulary_and_a_toxic_majority(spark, share):
+    rows = few_words(500, share, 3)
+    docs = frame(spark, [t for _, t, _ in rows])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = [r["score"] >= 0.5 for r in rows_of(toxicity.score(docs, model, keep=("doc_id",)))]
+    caught = np.mean([g for g, (*_, y) in zip(got, rows) if y])
+    assert not any(g for g, (*_, y) in zip(got, rows) if not y) and caught > 0.8
+
+
+@pytest.mark.parametrize("share", [0.2, 0.8])
+def test_toxicity_without_a_signal_rejects_nothing(spark, share):
+    rows = few_words(400, share, 4, signal=False)
+    docs = frame(spark, [t for _, t, _ in rows])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert all(r["score"] < 0.5 for r in toxicity.score(docs, model).collect())
+
+
+def test_gains_equal_compressing_every_window_alone():
+    rng = random.Random(9)
+    counts = [(b"plain%d" % k, 3, 40) for k in range(60)] + [(b"grumwort", 60, 0), (b"blexfool", 50, 0)]
+    model = toxicity.train_dictionaries(counts, 100, 100)
+    assert len(model.toxic) > len(model.ordinary) and b"grumwort" not in model.ordinary
+    texts = ["", "x", " ".join(rng.choice(("plain1", "plain30", "grumwort", "blexfool", "other")) for _ in range(90)), "plain2 " * 50, "é" * 400]
+    for text, (best, second) in zip(texts, toxicity.gains(texts, model).tolist()):
+        data = toxicity.folded(text)
+        saved = []
+        for s, n in toxicity.windows(data).tolist():
+            part = data[s:s + n]
+            saved.append(len(toxicity._compressor(model.ordinary).compress(part)) - len(toxicity._compressor(model.toxic).compress(part)))
+        saved.sort(reverse=True)
+        assert best == saved[0] and second == (saved[1] if len(saved) > 1 else -99)
+
+
 def test_windows_cover_all_bytes():
     for data in (b" ", b" " + b"x" * 1000, b" " + b"word " * 100, b" ab"):
         w = toxicity.windows(data)
