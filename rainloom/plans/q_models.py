@@ -127,7 +127,49 @@ def m12b(spark, sf):
     return r6(scored.select("station", "n", "r2", "rmse", "bias"), "r2", "rmse", "bias")
 
 
-@register("m12_full_ridge_scores")
+def solved_sql(p: int) -> str:
+    """Gauss-Jordan steps over the augmented systems ``g0`` (station, alpha, a), one after the other."""
+    return ",\n".join(f"""g{k} AS (SELECT station, alpha, list_transform(a, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda x: x / r[{k}])
+    ELSE list_transform(r, lambda x, j: x - r[{k}] / a[{k}][{k}] * a[{k}][j]) END) AS a FROM g{k - 1})""" for k in range(1, p + 1))
+
+
+#: Features of the monthly model in SQL, in the order of ``full_month_frame``.
+MONTH_FEATURES = ("log_tp", "cv_disc", "cv_tax", "sin(w)", "cos(w)", "sin(2 * w)", "cos(2 * w)", "lag1m", "log_lag1m")
+_P = len(MONTH_FEATURES)
+FULL_RIDGE = f"""
+WITH {MONTHS.strip()},
+mm AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, avg(cv_disc) AS cv_disc, avg(cv_tax) AS cv_tax FROM covar GROUP BY 1),
+mg AS (SELECT mf.*, cv_disc, cv_tax, lag(total) OVER (PARTITION BY station ORDER BY month) AS lag1m, month(month) * (2 * pi() / 12) AS w
+       FROM mf JOIN mm USING (month)),
+ff AS (SELECT station, month, total, y, [{', '.join(f'coalesce({c}, 0.0)::DOUBLE' for c in MONTH_FEATURES)}] AS f FROM mg),
+tr AS (SELECT * FROM ff WHERE month < {TRAIN_UNTIL} AND y IS NOT NULL),
+ks AS (SELECT unnest(range(1, {_P + 1})) AS i),
+mi AS (SELECT station, i, avg(f[i]) AS m FROM tr CROSS JOIN ks GROUP BY ALL),
+me AS (SELECT station, list(m ORDER BY i) AS m, (SELECT avg(y) FROM tr z WHERE z.station = mi.station) AS my FROM mi GROUP BY station),
+ce AS (SELECT tr.station, list_transform(f, lambda x, i: x - m[i]) AS x, y - my AS v FROM tr JOIN me USING (station)),
+sij AS (SELECT station, a.i AS i, b.i AS j, sum(x[a.i] * x[b.i]) AS s FROM ce CROSS JOIN ks a CROSS JOIN ks b GROUP BY ALL),
+ci AS (SELECT station, i, sum(x[i] * v) AS c FROM ce CROSS JOIN ks GROUP BY ALL),
+al AS (SELECT CAST(unnest([0.5, 1.0, 5.0, 10.0, 50.0]) AS DOUBLE) AS alpha),
+ro AS (SELECT station, alpha, i, list_append(list(s + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j), any_value(c)) AS r
+       FROM sij JOIN ci USING (station, i) CROSS JOIN al GROUP BY station, alpha, i),
+g0 AS (SELECT station, alpha, list(r ORDER BY i) AS a FROM ro GROUP BY ALL),
+{solved_sql(_P)},
+fi AS (SELECT station, month, total, y, alpha,
+              my + list_sum(list_transform(f, lambda x, i: (x - m[i]) * a[i][{_P + 1}])) AS fitted
+       FROM ff JOIN me USING (station) JOIN g{_P} USING (station)),
+bi AS (SELECT station, alpha, avg(fitted - y) AS bias FROM fi WHERE month < {TRAIN_UNTIL} GROUP BY 1, 2),
+pr AS (SELECT station, month, total, alpha, exp(greatest(least(fitted - bias, 8), 0)) - 1 AS pred FROM fi JOIN bi USING (station, alpha)),
+lo AS (SELECT station, alpha, avg((pred - total) ** 2) AS loss FROM pr
+       WHERE month >= {TRAIN_UNTIL} AND month < {VAL_UNTIL} AND total IS NOT NULL GROUP BY 1, 2),
+be AS (SELECT station, alpha FROM lo QUALIFY row_number() OVER (PARTITION BY station ORDER BY loss, alpha DESC) = 1),
+sc AS (SELECT station, count(total) AS n, 1 - avg((pred - total) ** 2) / var_pop(total) AS r2, sqrt(avg((pred - total) ** 2)) AS rmse,
+              avg(pred - total) AS bias FROM pr JOIN be USING (station, alpha) WHERE month >= {VAL_UNTIL} AND total IS NOT NULL GROUP BY station)
+SELECT station, n, CASE WHEN n >= {LEAST_MONTHS} THEN round(r2, 6) END AS r2, CASE WHEN n >= {LEAST_MONTHS} THEN round(rmse, 6) END AS rmse,
+       CASE WHEN n >= {LEAST_MONTHS} THEN round(bias, 6) END AS bias,
+       CASE WHEN n >= {LEAST_MONTHS} THEN 'scored' ELSE 'insufficient_test_months' END AS status FROM sc"""
+
+
+@register("m12_full_ridge_scores", sql(["region_filled", "covar"], FULL_RIDGE))
 def m12_full(spark, sf):
     """Ridge on all monthly features; a station of fewer than ``LEAST_MONTHS`` test months has a status and no scores."""
     test = ridge_predictions(spark, sf, *full_month_frame(spark, sf)).where("total IS NOT NULL")

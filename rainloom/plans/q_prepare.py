@@ -131,6 +131,33 @@ def p10(spark, sf):
 
 # ---------------------------------------------------------------- scaling
 
+NATION_XY = """
+xy AS (SELECT n_nationkey AS station, round(3.0::DOUBLE + (n_nationkey * 7919 % 2501) / 1000.0::DOUBLE, 6) AS lat,
+              round(101.0::DOUBLE + (n_nationkey * 104729 % 2503) / 1000.0::DOUBLE, 6) AS lon FROM nation)"""
+
+
+@register("p10_shared_cells", sql("grid", f"""
+WITH {NATION_XY.strip()},
+cells AS (SELECT DISTINCT lat, lon FROM grid),
+near AS (SELECT s.station, c.lat AS cell_lat, c.lon AS cell_lon FROM xy s CROSS JOIN cells c
+         QUALIFY row_number() OVER (PARTITION BY s.station ORDER BY {HAVERSINE}, c.lat, c.lon) = 1)
+SELECT 'st' || station || '_t2m' AS column_name, 'st' || min(station) OVER (PARTITION BY cell_lat, cell_lon) || '_t2m' AS first_column FROM near"""))
+def p10b(spark, sf):
+    """Daily readings of every nation's nearest cell side by side: nations that share a cell have the same column."""
+    key = F.col("n_nationkey")
+    xy = views.table(spark, sf, "nation").select(
+        key.alias("station"), F.round(F.lit(3.0) + (key * 7919 % 2501) / 1000.0, 6).alias("lat"),
+        F.round(F.lit(101.0) + (key * 104729 % 2503) / 1000.0, 6).alias("lon"))
+    grid = views.grid(spark, sf)
+    near = spatial.nearest_cell(xy, grid).select("station", F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"))
+    daily = grid.groupBy(F.to_date("ts").alias("date"), "lat", "lon").agg(F.round(F.avg("t2m"), 9).alias("t2m"))
+    stations = [r["station"] for r in near.select("station").orderBy("station").collect()]
+    wide = views.cut_lineage(daily.join(near, ["lat", "lon"]).groupBy("date").pivot("station", stations).agg(F.first("t2m")))
+    wide = wide.withColumnsRenamed({str(s): f"st{s}_t2m" for s in stations})
+    found = spatial.repeated_columns(wide, [f"st{s}_t2m" for s in stations])
+    return spark.createDataFrame(list(found.items()), "column_name string, first_column string")
+
+
 def train_sql(view):
     return f"date < {views.cut_sql(view)}"
 

@@ -8,6 +8,7 @@ from rainloom.operators import calendar, features, joins, quality, rollup
 from rainloom.plans import views
 from rainloom.plans.registry import r6, register
 from rainloom.plans.views import sql
+from rainloom.sources import tables
 
 # ---------------------------------------------------------------- projection, flags, limits
 
@@ -446,16 +447,21 @@ def j04(spark, sf):
     return months.join(covariates, "month")
 
 
-@register("j08_align_frames", sql("region_filled", "SELECT date, " + ", ".join(
-    f"max(CASE WHEN station = '{s}' THEN value END) AS s{s}_actual, "
-    f"max(CASE WHEN station = '{s}' THEN fc END) AS s{s}_pred" for s in views.REGION_STATIONS)
-    + """ FROM (SELECT station, date, value, round(value * 0.5, 6) AS fc FROM region_filled WHERE imputed = 0)
-GROUP BY date"""))
+@register("j08_align_frames", sql("predictions", "SELECT date, " + ", ".join(
+    f"max(CASE WHEN station = '{s}' THEN actual END) AS s{s}_actual, "
+    f"max(CASE WHEN station = '{s}' THEN pred END) AS s{s}_pred" for s in views.REGION_STATIONS)
+    + " FROM predictions WHERE model = 'trailing7' GROUP BY date"))
 def j08(spark, sf):
-    real = quality.real_observations(views.region_filled(spark, sf)).select(
-        F.concat(F.lit("s"), "station").alias("station"), "date", F.col("value").alias("actual"),
-        F.round(F.col("value") * 0.5, 6).alias("pred"))
-    return joins.align_by_date(real, [f"s{s}" for s in views.REGION_STATIONS], ["actual", "pred"])
+    """Actuals and one model's predictions of all stations side by side."""
+    frames = views.predictions(spark, sf).where("model = 'trailing7'").select(
+        F.concat(F.lit("s"), "station").alias("station"), "date", "actual", "pred")
+    return joins.align_by_date(frames, [f"s{s}" for s in views.REGION_STATIONS], ["actual", "pred"])
+
+
+@register("s05_date_column", sql("ship", "SELECT station, date, value FROM ship"))
+def s05(spark, sf):
+    """The date column is found whatever its case."""
+    return tables.canonical_date(views.ship(spark, sf).withColumnRenamed("date", "DATE"))
 
 
 @register("l01_sorted_series", sql("ship", "SELECT station, date, value FROM ship ORDER BY station, date"))
@@ -552,16 +558,23 @@ def s06(spark, sf):
 
 
 @register("s07_result_files", sql("predictions", """
-SELECT station, count(*) AS n_real_test, round(sqrt(avg((pred - actual) ** 2)), 6) AS rmse_mm, round(avg(pred - actual), 6) AS bias_mm
-FROM predictions WHERE model = 'trailing7' GROUP BY station"""))
+WITH s AS (SELECT model, station, count(*) AS n, sqrt(avg((pred - actual) ** 2)) AS rmse, avg(pred - actual) AS bias,
+                  1 - avg((pred - actual) ** 2) / var_pop(actual) AS r2 FROM predictions GROUP BY 1, 2),
+b AS (SELECT station, model AS r2_daily_model, r2 AS r2_daily FROM s
+      QUALIFY row_number() OVER (PARTITION BY station ORDER BY r2 DESC, model) = 1)
+SELECT station, n AS n_real_test, round(rmse, 6) AS rmse_mm, round(bias, 6) AS bias_mm, r2_daily_model, round(r2_daily, 6) AS r2_daily
+FROM s JOIN b USING (station) WHERE model = 'trailing7'"""))
 def s07(spark, sf):
-    """Scores written as one result file per station, keyed by station, and read again."""
+    """Scores and the best model of each station, written as one result file per station and read again."""
     from rainloom.operators import metrics
     from rainloom.session import scratch_path
     from rainloom.sources import results, sinks
 
-    scores = metrics.skill(views.predictions(spark, sf).where("model = 'trailing7'"), pooled=False).select(
+    every = views.cut_lineage(metrics.skill(views.predictions(spark, sf), ["model"], pooled=False))
+    best = metrics.best_model(every, ["station"]).select(
+        "station", F.round("r2", 6).alias("r2_daily"), F.col("best_model").alias("r2_daily_model"))
+    scores = every.where("model = 'trailing7'").select(
         "station", F.col("n").alias("n_real_test"), F.round("rmse", 6).alias("rmse_mm"), F.round("bias", 6).alias("bias_mm"))
     path = scratch_path(spark)
-    sinks.results_map(scores).write.option("maxRecordsPerFile", 1).text(path)
-    return results.read_results(spark, path).select("station", "n_real_test", "rmse_mm", "bias_mm")
+    sinks.results_map(scores.join(best, "station", "left")).write.option("maxRecordsPerFile", 1).text(path)
+    return results.read_results(spark, path).select("station", "n_real_test", "rmse_mm", "bias_mm", "r2_daily_model", "r2_daily")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from rainloom.functions import scalars as fx
 from rainloom.functions.aggregates import pearson
-from rainloom.operators import features, metrics, quality
+from rainloom.operators import features, impute, metrics, quality, split
+from rainloom.operators.chunks import DENSE, over_halo
 from rainloom.plans import views
+from rainloom.plans.q_prepare import HOLDOUT
 from rainloom.plans.registry import r6, register
 from rainloom.plans.views import sql
 
@@ -118,12 +120,17 @@ def a12(spark, sf):
         F.round(pearson(F.col("actual"), F.col("pred")), 6).alias("r"))
 
 
-@register("a30_masked_mse", sql("predictions", f"""
-SELECT round(sum(CASE WHEN actual > 1 THEN (pred - actual) ** 2 END) / count(*) FILTER (actual > 1), 6) AS masked_mse,
-       count(*) FILTER (actual > 1) AS n_cells FROM {TRAILING}"""))
+@register("a30_masked_mse", sql("region_rain", f"""
+WITH held AS ({HOLDOUT.format(f='0.2', view='region_rain')}),
+c AS (SELECT value, holdout, avg(CASE WHEN holdout = 0 THEN value END) OVER (PARTITION BY date) AS pred FROM held)
+SELECT round(sum((pred - value) ** 2) / count(*), 6) AS masked_mse, count(*) AS n_cells FROM c
+WHERE holdout = 1 AND pred IS NOT NULL"""))
 def a30(spark, sf):
-    held = trailing(spark, sf).withColumn("holdout", (F.col("actual") > 1).cast("int"))
-    return r6(metrics.masked_mse(held), "masked_mse")
+    """Cells that were held out, against the mean of the other stations' known cells of the day."""
+    held = views.cut_lineage(split.holdout_cells(views.region_rain(spark, sf), 0.2, 42))
+    hidden = held.withColumnRenamed("value", "actual").withColumn("value", F.when(F.col("holdout") == 0, F.col("actual")))
+    cells = impute.candidates(hidden, "date_mean").withColumnRenamed("candidate", "pred").where("pred IS NOT NULL")
+    return r6(metrics.masked_mse(cells), "masked_mse")
 
 
 def model_table(spark, sf):
@@ -222,14 +229,17 @@ def f16(spark, sf):
     return out.select("model", "station", F.round("weighted_mse", 4).alias("weighted_mse"))
 
 
-@register("f17_log_loss", sql("predictions", """
-SELECT station, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss
-FROM (SELECT station, CAST(actual > 1 AS INT) AS y, greatest(least(pred / 5, 1 - 1e-7), 1e-7) AS p
-      FROM predictions WHERE model = 'trailing7') GROUP BY station"""))
+@register("f17_log_loss", sql("region_filled", """
+WITH s AS (SELECT station, imputed, CAST(value > 1 AS DOUBLE) AS y, avg(CAST(value > 1 AS DOUBLE)) OVER (
+               PARTITION BY station ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS share FROM region_filled),
+p AS (SELECT station, y, greatest(least(share, 1 - 1e-7), 1e-7) AS p FROM s WHERE imputed = 0 AND share IS NOT NULL)
+SELECT station, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss FROM p GROUP BY station"""))
 def f17(spark, sf):
-    label = fx.wet(F.col("actual"), 1.0).cast("double")
-    return trailing(spark, sf).groupBy("station").agg(
-        F.round(F.avg(fx.log_loss(label, F.col("pred") / 5)), 6).alias("log_loss"))
+    """The share of wet days among the thirty before as the probability of a wet day, on real days."""
+    wet = fx.wet(F.col("value"), 1.0).cast("double")
+    series = views.region_filled(spark, sf).withColumn("y", wet)
+    known = over_halo(series, DENSE, lambda w: {"p": F.avg("y").over(w.rowsBetween(-30, -1))}, before=30).where("imputed = 0 AND p IS NOT NULL")
+    return known.groupBy("station").agg(F.round(F.avg(fx.log_loss(F.col("y"), F.col("p"))), 6).alias("log_loss"))
 
 
 @register("f18_pinball", sql("predictions", f"SELECT model, station, pinball_50, pinball_90 FROM ({LOSS_SQL})"))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 # Fields of the result files and their types.
 RESULT_FIELDS = {
     "r2_daily": "double", "r2_weekly": "double", "r2_monthly": "double", "r_monthly": "double", "wet_dry_acc": "double",
-    "n_real_test": "long", "note": "string", "status": "string", "rmse_mm": "double", "bias_mm": "double",
+    "n_real_test": "long", "n_test": "long", "note": "string", "status": "string", "rmse_mm": "double", "bias_mm": "double",
     "corr": "double", "n_test_months": "long", "best_model": "string",
+    "r2_daily_model": "string", "r2_weekly_model": "string", "r2_monthly_model": "string",
+    "r2_daily_xgb": "double", "r2_daily_lgb": "double", "r2_ridge": "double", "r2_xgb_log": "double", "r2_xgb_lin": "double",
+    "r2_era5_only": "double", "r2_blend": "double",
 }
 
 
