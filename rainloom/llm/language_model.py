@@ -1,13 +1,11 @@
-"""Stupid-backoff scores of every document against counts over the whole corpus.
-
-Bigrams are dealt by hash to buckets.  A bucket's counts, summed over chunks of
-documents that were counted beforehand, are its part of the count table; the
-documents' own bigrams are dealt to the same buckets, meet the table there and
-leave a partial sum per document, and the partial sums are added up.
-
-Words that make up less than one in ``VOCABULARY`` of the corpus are one
-unknown word, so that the unigram table has at most ``VOCABULARY`` entries at
-any size of the corpus and may be sent to all executors.
+"""Stupid-backoff scores of every document by the counts of all other documents.
+
+Documents are gathered into chunks.  The n-grams of one, two and three words of
+a chunk are exploded, counted beforehand, and dealt by hash to buckets.  A
+bucket adds its chunks' counts up, which is its part of the count table, joins
+the table to the n-grams it was sent, and answers each chunk.  There the counts
+meet the texts again, lose what the document itself contributed, and are summed
+to its score.  No n-gram is left out: a hot one is one entry a chunk.
 """
 
 from __future__ import annotations
@@ -17,219 +15,207 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainloom.llm import common
+from rainloom.session import cut_lineage
 
-#: Most entries of the unigram table (16 bytes each); factor of a back-off; least count of a bigram in the table.
-VOCABULARY, BACK_OFF, LEAST = 1_000_000, 0.4, 2
-#: Bytes of text and documents in a chunk; bigrams in a bucket; documents of a bucket that one task scores.
-CHUNK, CHUNK_DOCS, BUCKET, PART_DOCS = 8 << 20, 60_000, 2_000_000, 2_000_000
-#: Bits of a word number; the number that stands for the start of a document.
-BITS = 20
-START = (1 << BITS) - 1
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Keys and texts of consecutive rows, about ``CHUNK`` bytes together."""
-    keys, texts, held = [], [], 0
-    for batch in batches:
-        own = batch.column(1).to_pylist()
-        keys.append(batch.column(0))
-        texts += own
-        held += sum(map(len, own))
-        if held >= CHUNK or len(texts) >= CHUNK_DOCS - common.BATCH_ROWS:
-            yield pa.concat_arrays(keys), texts
-            keys, texts, held = [], [], 0
-    if texts:
-        yield pa.concat_arrays(keys), texts
-
-
-def _map_chunks(df: DataFrame, work, schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
-
-    def run(batches):
-        first = TaskContext.get().partitionId() << 32  # chunks are numbered alike when a task is run again
-        for k, (keys, texts) in enumerate(_chunks(batches)):
-            yield from work(first + k, keys, texts)
-
-    return df.mapInArrow(run, schema)
-
-
-def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts and their numbers up to each text, a part of the texts at a time."""
-    parts = [common.word_hashes(texts[p], "space") for p in common.runs_of([len(t) for t in texts])]
-    counts = np.concatenate([np.diff(u) for _, u in parts])
-    return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(counts)])
-
-
-def unigrams(docs: DataFrame) -> DataFrame:
-    """``w`` (hash) and ``c`` (occurrences in the corpus) of every word; counted per chunk before the shuffle."""
-    def count(_, __, texts):
-        words, c = np.unique(_words(texts)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(c)], ["w", "c"])
-
-    return _map_chunks(docs, count, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
-
-
-class Vocabulary:
-    """Numbers of the frequent words (1..), and counts by number; number 0 is the unknown word."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
-        order = np.argsort(words)
-        self.words, self.total = words[order], total
-        self.counts = np.concatenate([[max(total - int(counts.sum()), 0)], counts[order]]).astype(np.int64)
+#: Longest n-gram and factor of a back-off.
+ORDER, BACK_OFF = 3, 0.4
+#: Bytes of text in a chunk (or one longer text), and n-grams that a bucket gets at most.
+CHUNK, BUCKET = 8 << 20, 4_000_000
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 1, 0).astype(np.int64)
 
+# ---------------------------------------------------------------- chunks
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    from rainloom.session import cut_lineage
 
-    counted = cut_lineage(unigrams(docs))
-    total = int(counted.agg(F.sum("c")).first()[0] or 0)
-    frequent = counted.where(F.col("c") * VOCABULARY >= total).toArrow()  # at most VOCABULARY rows
-    return Vocabulary(frequent.column("w").to_numpy().view(np.uint64), frequent.column("c").to_numpy(), total)
-
-
-def _bigrams(texts: list[str], known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (previous, own) word numbers of every word, ``START`` before a text's first, and the text's number."""
-    hashes, upto = _words(texts)
-    numbers = known.numbers(hashes)
-    previous = np.concatenate([[START], numbers[:-1]])[:len(numbers)]
-    counts = np.diff(upto)
-    previous[upto[:-1][counts > 0]] = START
-    return previous << BITS | numbers, np.repeat(np.arange(len(texts)), counts)
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (common.mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
-def counts_by_bucket(docs: DataFrame, shared, buckets: int) -> DataFrame:
-    """The bigram count table: ``bucket``, ``keys`` and ``counts`` (packed), only bigrams that occur ``LEAST`` times."""
-    def count(_, __, texts):
-        keys, c = np.unique(_bigrams(texts, shared.value)[0], return_counts=True)
-        inner = keys >> BITS != START
-        keys, c = keys[inner], c[inner]
-        to = _bucket(keys, buckets)
-        order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(edges))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(full), pa.array([keys[order[edges[b]:edges[b + 1]]].tobytes() for b in full], pa.binary()),
-             pa.array([c[order[edges[b]:edges[b + 1]]].astype(np.int64).tobytes() for b in full], pa.binary())],
-            ["bucket", "keys", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()])
-        c = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-        different, at = np.unique(keys, return_inverse=True)
-        sums = np.bincount(at, weights=c).astype(np.int64)
-        kept = sums >= LEAST
-        return pa.table([table.column("bucket")[:1], pa.array([different[kept].tobytes()], pa.binary()),
-                         pa.array([sums[kept].tobytes()], pa.binary())], names=["bucket", "keys", "counts"])
-
-    kind = "bucket bigint, keys binary, counts binary"
-    return _map_chunks(docs, count, kind).groupBy("bucket").applyInArrow(add, kind)
+def chunks_of(rows: DataFrame) -> DataFrame:
+    """(chunk, ids, sizes, texts, words): consecutive rows, about ``CHUNK`` bytes together, as a written table.
 
+    Being written, chunks stay the same however often tasks are run again.
+    """
+    kind = dict(rows.dtypes)["key"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, k = TaskContext.get().partitionId() << 32, 0
+        keys, texts, held = [], [], 0
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                data = text.encode("utf-8", "surrogatepass")
+                if texts and held + len(data) > CHUNK:
+                    yield made(first + k, keys, texts)
+                    keys, texts, held, k = [], [], 0, k + 1
+                keys.append(batch.column(0)[i])
+                texts.append(data)
+                held += len(data)
+        if texts:
+            yield made(first + k, keys, texts)
+
+    def made(chunk: int, keys: list, texts: list[bytes]) -> pa.RecordBatch:
+        ids = pa.array([x.as_py() for x in keys], keys[0].type)
+        words = _starts(b"\n".join(texts)) if texts else 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())),
+             pa.array([zstandard.compress(b"".join(texts), 3)], pa.binary()), pa.array([words], pa.int64())],
+            ["chunk", "ids", "sizes", "texts", "words"])
 
-def _exploded(docs: DataFrame, shared, buckets: int, id_type: str) -> DataFrame:
-    """The documents' bigrams by bucket, packed: one row per chunk of documents and bucket.
+    return cut_lineage(rows.mapInArrow(gather, f"chunk bigint, ids array<{kind}>, sizes array<bigint>, texts binary, words bigint"))
 
-    It has the different bigrams, how often each occurs, and for each occurrence
-    its document's place in the chunk.  The chunk's first row also has its ``ids``.
-    """
-    def deal(chunk, ids, texts):
-        keys, owner = _bigrams(texts, shared.value)
-        to = _bucket(keys, buckets)
-        order = np.lexsort((owner, keys, to))
-        edges = np.searchsorted(to[order], np.arange(buckets + 1))
-        whole = pa.array([ids], pa.list_(ids.type))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            own = order[edges[b]:edges[b + 1]]
-            different, times = np.unique(keys[own], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int64()), pa.array([chunk], pa.int64()), whole, pa.array([different.tobytes()], pa.binary()),
-                 pa.array([times.astype(np.uint32).tobytes()], pa.binary()), pa.array([owner[own].astype(np.uint16).tobytes()], pa.binary())],
-                ["bucket", "chunk", "ids", "grams", "times", "at"])
-            whole = pa.array([None], pa.list_(ids.type))
-
-    return _map_chunks(docs, deal, f"bucket bigint, chunk bigint, ids array<{id_type}>, grams binary, times binary, at binary")
-
-
-def _bucket_scores(grams: pa.Table, counts: pa.Table, known: Vocabulary) -> pa.Table:
-    """One row per chunk: the sums of its documents' word scores in this bucket."""
-    have = np.frombuffer(counts.column("keys")[0].as_py(), np.int64) if counts.num_rows else np.empty(0, np.int64)
-    count = np.frombuffer(counts.column("counts")[0].as_py(), np.int64) if counts.num_rows else have
-    logs = np.log(np.maximum(known.counts, 1))
-    docs, words, sums = [], [], []
-    for keys_, times_, at_ in zip(*(grams.column(c).to_pylist() for c in ("grams", "times", "at"))):
-        keys, times, at = np.frombuffer(keys_, np.int64), np.frombuffer(times_, np.uint32), np.frombuffer(at_, np.uint16)
-        previous, own = keys >> BITS, keys & START
-        score = logs[own] - math.log(known.total)
-        inner = previous != START
-        score[inner] += math.log(BACK_OFF)
-        if len(have):
-            place = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-            found = inner & (have[place] == keys)
-            score[found] = np.log(count[place[found]]) - logs[previous[found]]
-        there, at = np.unique(at, return_inverse=True)
-        docs.append(there.tobytes())
-        words.append(np.bincount(at, minlength=len(there)).astype(np.uint32).tobytes())
-        sums.append(np.bincount(at, weights=np.repeat(score, times), minlength=len(there)).tobytes())
-    return pa.table([grams.column("chunk"), grams.column("ids"), pa.array(docs, pa.binary()), pa.array(words, pa.binary()),
-                     pa.array(sums, pa.binary())], names=["chunk", "ids", "docs", "words", "sums"])
-
-
-def _chunk_scores(rows: pa.Table) -> pa.Table:
-    """Partial sums of one chunk's documents from all buckets, added up."""
-    ids = next(c for c in rows.column("ids") if c.is_valid).values
-    n, s = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-    for docs, words, sums in zip(*(rows.column(c).to_pylist() for c in ("docs", "words", "sums"))):
-        at = np.frombuffer(docs, np.uint16)
-        n[at] += np.frombuffer(words, np.uint32)
-        s[at] += np.frombuffer(sums, np.float64)
-    return pa.table([ids, pa.array(n), pa.array(s)], names=["key", "n", "s"])
+
+def _starts(data: bytes) -> int:
+    """Number of words."""
+    member = ~np.isin(np.frombuffer(data, np.uint8), list(b"\x20\x09\x0a\x0b\x0c\x0d"))
+    return int(np.count_nonzero(member[1:] & ~member[:-1])) + int(len(member) > 0 and member[0])
+
+
+def _texts(blob: bytes, sizes: list[int]) -> list[str]:
+    data, at, out = zstandard.decompress(blob), 0, []
+    for size in sizes:
+        out.append(data[at:at + size].decode("utf-8", "surrogatepass"))
+        at += size
+    return out
+
+
+def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Per order the hashes of the n-grams that begin at each word (0 where the text ends before), rows of the words, places in them."""
+    h, upto = common.word_hashes(texts)
+    lengths = np.diff(upto)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(h)) - np.repeat(upto[:-1], lengths)
+    left = np.repeat(lengths, lengths) - place
+    out = [np.maximum(h, np.uint64(1))]
+    for n in range(2, ORDER + 1):
+        longer = np.zeros(len(h), np.uint64)
+        longer[:max(len(h) - n + 1, 0)] = np.maximum(common.mix(out[-1][:max(len(h) - n + 1, 0)] * np.uint64(3) + h[n - 1:]), np.uint64(1))
+        out.append(np.where(left >= n, longer, np.uint64(0)))
+    return out, row, place
+
+
+# ---------------------------------------------------------------- counts by bucket
+
+
+def packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte plane by byte plane, and their counts."""
+    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(steps.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    count = len(data) // 12
+    steps = np.ascontiguousarray(data[:8 * count].reshape(8, count).T).view("<u8")[:, 0]
+    counts = np.ascontiguousarray(data[8 * count:].reshape(4, count).T).view("<u4")[:, 0]
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+
+
+def _distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every = np.concatenate(found)
+    hashes, counts = np.unique(every, return_counts=True)
+    return (hashes[1:], counts[1:]) if len(hashes) and hashes[0] == 0 else (hashes, counts)
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending with the hash
+
+
+def dealt(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, run): the distinct n-grams of each chunk and their counts, by bucket."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, sizes, blob = (batch.column(c)[i].as_py() for c in range(3))
+                hashes, counts = _distinct(grams(_texts(blob, sizes))[0])
+                owner = _bucket(hashes, buckets)
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                runs = [packed(hashes[s:e], counts[s:e]) for s, e in zip(first.tolist(), [*first[1:].tolist(), len(hashes)])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owner[first]), pa.array([chunk] * len(first), pa.int64()), pa.array(runs, pa.binary())], ["bucket", "chunk", "run"])
+
+    return chunks.select("chunk", "sizes", "texts").mapInArrow(work, "bucket bigint, chunk bigint, run binary")
+
+
+def answered(runs: DataFrame) -> DataFrame:
+    """(chunk, bucket, totals): for each run the counts of its n-grams over all chunks, in the order of the run."""
+    def add(rows: pa.Table) -> pa.Table:
+        parts = [unpacked(b) for b in rows["run"].to_pylist()]
+        hashes, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        totals = np.bincount(at, np.concatenate([c for _, c in parts]).astype(float), len(hashes)).astype(np.int64)  # exact to 2^53
+        ends = np.cumsum([len(h) for h, _ in parts])
+        answers = [zstandard.compress(totals[at[e - len(h):e]].astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+                   for e, (h, _) in zip(ends.tolist(), parts)]
+        return pa.table([rows["chunk"], rows["bucket"], pa.array(answers, pa.binary())], names=["chunk", "bucket", "totals"])
+
+    return runs.groupBy("bucket").applyInArrow(add, "chunk bigint, bucket bigint, totals binary")
+
+
+def _totals(blob: bytes) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(data.reshape(8, -1).T).view("<i8")[:, 0]
+
+
+# ---------------------------------------------------------------- scores
+
+
+def word_scores(texts: list[str], hashes: np.ndarray, totals: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the number of words and the sum of their log scores; ``totals`` are the corpus's counts of ``hashes``."""
+    found, row, place = grams(texts)
+    others = []  # how often the n-gram that begins at each word stands in other texts
+    for h in found:
+        at = np.searchsorted(hashes, h)
+        if not len(hashes):
+            others.append(np.zeros(len(h), np.int64))
+            continue
+        at = np.minimum(at, len(hashes) - 1)
+        order = np.lexsort((at, row))
+        new = np.ones(len(order), bool)
+        new[1:] = (at[order][1:] != at[order][:-1]) | (row[order][1:] != row[order][:-1])
+        run = np.cumsum(new) - 1
+        own = np.empty(len(order), np.int64)
+        own[order] = np.bincount(run)[run] if len(order) else 0
+        others.append(np.where(h > 0, totals[at] - own, 0))
+    alpha = math.log(BACK_OFF)
+    one = others[0]
+    score = np.where(one > 0, np.log(np.maximum(one, 1)), alpha) - math.log(max(size, 1)) + alpha * np.minimum(place, ORDER - 1)
+    for n in range(2, ORDER + 1):  # the longest n-gram that others have decides
+        ends = np.arange(n - 1, len(score))
+        there = others[n - 1][ends - (n - 1)] > 0
+        ends = ends[there]
+        begins = ends - (n - 1)
+        missed = np.minimum(place[ends], ORDER - 1) - (n - 1)  # longer ones that the place would have allowed
+        score[ends] = np.log(others[n - 1][begins]) - np.log(others[n - 2][begins]) + alpha * missed
+    return np.bincount(row, minlength=len(texts)).astype(np.int64), np.bincount(row, score, len(texts))
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per ``key``: ``n_words`` and ``log_score``, the sum of the words' natural log scores.
 
-    A word scores count(previous, own) / count(previous) if the pair is in the table, else ``BACK_OFF`` times
-    count(own) / corpus size; the first word of a text scores its share of the corpus.  Words are separated by
-    ASCII white space, A-Z lower-cased.  Texts without words, and nulls, have 0 words and score 0.  Rows of equal
-    key are one document, and so are rows without a key.
+    Counts are those of all rows but the one that is scored, so a text does not vouch for itself while a copy does.
+    A word scores count(two before, one before, own) / count(two before, one before) if others have the three in
+    a row; else ``BACK_OFF`` times count(one before, own) / count(one before) if they have the two; else
+    ``BACK_OFF`` for each of the longer ones times count(own) / corpus size, with ``BACK_OFF`` as the count of a word that nobody
+    else has.  The first words of a text, which have fewer before them, back off from fewer.  Words are separated
+    by ASCII white space, A-Z lower-cased, and told apart by 64-bit hashes.  Texts without words, and nulls, have
+    0 words and score 0.  Rows of equal key are added up, and so are rows without a key.
     """
-    spark = docs.sparkSession
     rows = docs.select(docs[key].alias("key"), common.text_or_empty(text).alias("text"))
-    id_type = dict(rows.dtypes)["key"]
-    known = vocabulary(rows)
-    shared = spark.sparkContext.broadcast(known)
-    buckets = known.total // BUCKET + 1
-    table = counts_by_bucket(rows, shared, buckets)
-    exploded = _exploded(rows, shared, buckets, id_type)
+    kind = dict(rows.dtypes)["key"]
+    chunks = chunks_of(rows)
+    size = chunks.agg(F.sum("words").alias("n")).first()["n"] or 0
+    totals = answered(dealt(chunks, ORDER * size // BUCKET + 1))
 
-    # a bucket of many documents is scored in parts, each with its own copy of the bucket's table
-    parts = rows.agg(F.count("*")).first()[0] // PART_DOCS + 1
-    exploded = exploded.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
-    table = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+        ids = own["ids"].combine_chunks().values
+        texts = _texts(own["texts"][0].as_py(), own["sizes"][0].as_py())
+        parts = sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist()))
+        counted = np.concatenate([_totals(b) for _, b in parts]) if parts else np.empty(0, np.int64)
+        n, s = word_scores(texts, _distinct(grams(texts)[0])[0], counted, size)
+        return pa.table([ids, pa.array(n), pa.array(s)], names=["key", "n", "s"])
 
-    def join(grams: pa.Table, counts: pa.Table) -> pa.Table:
-        return _bucket_scores(grams, counts, shared.value)
-
-    partial = exploded.groupBy("bucket", "part").cogroup(table.groupBy("bucket", "part")).applyInArrow(
-        join, f"chunk bigint, ids array<{id_type}>, docs binary, words binary, sums binary")
-    scored = partial.groupBy("chunk").applyInArrow(_chunk_scores, f"key {id_type}, n bigint, s double")
-    every = rows.select("key", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"))
-    return scored.unionByName(every).groupBy("key").agg(F.sum("n").alias("n_words"), F.sum("s").alias("log_score")) \
-        .withColumnRenamed("key", key)
+    found = chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, f"key {kind}, n bigint, s double")
+    return found.groupBy("key").agg(F.sum("n").alias("n_words"), F.sum("s").alias("log_score")).withColumnRenamed("key", key)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,22 +224,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round(F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0), 6).alias("per_word"))
 
 
+def _others(n: int) -> str:
+    """Counts of n-grams over all documents less those of the own one."""
+    names = ["x", "p", "q"][:n][::-1]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    keys = ", ".join(names)
+    return (f"a{n} AS (SELECT {keys}, count(*) AS c FROM o WHERE {known} GROUP BY ALL),\n"
+            f"d{n} AS (SELECT doc_id, {keys}, count(*) AS c FROM o WHERE {known} GROUP BY ALL),\n"
+            f"c{n} AS (SELECT doc_id, {', '.join(f'd{n}.{c}' for c in names)}, a{n}.c - d{n}.c AS c FROM d{n} JOIN a{n} USING ({keys}))")
+
+
 #: The same in DuckDB.
 SQL = rf"""
 WITH t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
-), o AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
-total AS (SELECT count(*) AS n FROM o),
-v AS (SELECT x FROM o GROUP BY x HAVING count(*) * {VOCABULARY} >= (SELECT n FROM total)),
-k AS (SELECT doc_id, i, coalesce(v.x, ' ') AS x FROM o LEFT JOIN v ON v.x = o.x),
-u AS (SELECT x, count(*) AS c FROM k GROUP BY x),
-g AS (SELECT doc_id, i, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS p, x FROM k),
-b AS (SELECT p, x, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY p, x HAVING count(*) >= {LEAST}),
+), o AS (SELECT doc_id, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i > 2 THEN w[i - 2] END AS q
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+{_others(1)},
+{_others(2)},
+{_others(3)},
 s AS (
-  SELECT g.doc_id, CASE WHEN b.c IS NOT NULL THEN ln(b.c) - ln(up.c)
-                        ELSE ln(ux.c) - ln((SELECT n FROM total)) + CASE WHEN g.p IS NULL THEN 0 ELSE ln({BACK_OFF}) END END AS y
-  FROM g JOIN u ux ON ux.x = g.x LEFT JOIN u up ON up.x = g.p LEFT JOIN b ON b.p = g.p AND b.x = g.x
+  SELECT o.doc_id, CASE WHEN t3.c > 0 THEN ln(t3.c) - ln(t2.c)
+                        WHEN b2.c > 0 THEN ln(b2.c) - ln(b1.c) + CASE WHEN o.q IS NULL THEN 0 ELSE ln({BACK_OFF}) END
+                        ELSE CASE WHEN u.c > 0 THEN ln(u.c) ELSE ln({BACK_OFF}) END - ln((SELECT count(*) FROM o))
+                             + ln({BACK_OFF}) * least(o.i - 1, 2) END AS y
+  FROM o JOIN c1 u ON u.doc_id = o.doc_id AND u.x = o.x
+  LEFT JOIN c1 b1 ON b1.doc_id = o.doc_id AND b1.x = o.p LEFT JOIN c2 b2 ON b2.doc_id = o.doc_id AND b2.p = o.p AND b2.x = o.x
+  LEFT JOIN c2 t2 ON t2.doc_id = o.doc_id AND t2.p = o.q AND t2.x = o.p
+  LEFT JOIN c3 t3 ON t3.doc_id = o.doc_id AND t3.q = o.q AND t3.p = o.p AND t3.x = o.x
 ), d AS (SELECT doc_id, count(*) AS n, sum(y) AS y FROM s GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(y, 0.0), 6) AS log_score, round(coalesce(y / n, 0.0), 6) AS per_word
 FROM t LEFT JOIN d ON d.doc_id = t.doc_id

@@ -56,7 +56,7 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
 
 def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key per row and band: the band's number and all its bins."""
-    rows = signature.reshape(len(signature), bands, -1)
+    rows = signature.reshape(len(signature), bands, signature.shape[1] // bands)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03), rows.shape[:2]).copy()
     for k in range(rows.shape[2]):
         key = common.mix(key * np.uint64(3) + rows[:, :, k])

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainloom.llm import common, minhash
+from rainloom.operators.joins import spread_join
 from rainloom.session import cut_lineage
 
 BANDS = 40
@@ -106,20 +107,23 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """``id`` and ``shingles`` (ascending hashes, 8 bytes each) of the named rows, from the texts again."""
-    named = _by_size(ids.distinct())
-    rows = docs.select(docs[key].alias("id"), common.text_or_empty(text).alias("text")).join(named, "id", "left_semi")
+def _sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """``id`` and ``shingles`` (ascending hashes, 8 bytes each) of the named classes, from the texts of their least documents again."""
+    named = cut_lineage(classes.join(ids.distinct().withColumnRenamed("id", "class"), "class").select("class", "digest", "doc"))
+    rows = docs.select(docs[key].alias("doc"), common.text_or_empty(text).alias("text")) \
+        .join(_by_size(named.select("doc").distinct()), "doc", "left_semi").select("text")
 
     def work(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(0).to_pylist()
         for part in common.runs_of([len(t) for t in texts]):
             sets = minhash.shingle_sets(texts[part], size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[part], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
+                [pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["digest", "shingles"])
 
-    found = common.in_batches(rows, work, f"id {dict(rows.dtypes)['id']}, shingles array<bigint>")
-    return cut_lineage(found.dropDuplicates(["id"]))
+    found = common.in_batches(rows, work, "digest binary, shingles array<bigint>")
+    return cut_lineage(found.join(named.select("digest", F.col("class").alias("id")), "digest")
+                       .dropDuplicates(["id"]).select("id", "shingles"))
 
 
 def first_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -170,9 +174,9 @@ def _possible(table: pa.Table, percent: int, bins: int):
 def _in_block_pairs(members: DataFrame, set_bytes: bool) -> DataFrame:
     """Rows of each bucket dealt to pairs of its blocks: (key, i, j), ``block`` being the row's own."""
     weight = F.sum(F.col("n") * 8) if set_bytes else F.lit(0)
-    blocks = members.groupBy("key").agg(F.greatest(
+    blocks = members.groupBy("key").agg(F.count("*").alias("size"), F.greatest(
         F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(weight / BLOCK_SET_BYTES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = spread_join(members, blocks, ["key"], "size").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     return dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("i", F.least("block", "t")).withColumn("j", F.greatest("block", "t")).drop("t", "blocks") \
         .repartition("key", "i", "j")  # else all block pairs of a bucket stay where the join by key has put them
@@ -183,37 +187,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
     Words are separated by ASCII white space, A-Z lower-cased.  A text of fewer words than a shingle is one
     shingle; null, empty and blank texts have none and are linked with nothing, like rows without a key, whose
-    component is null.  Rows of equal key are one document for the components and stay separate rows.
-    ``key`` must be of an integer type.
+    component is null.  Rows of equal key are one document for the components, whatever their texts, and stay
+    separate rows.  ``key`` must be of an integer type.
     """
     bins = BANDS * rows_per_band(percent)
     rows = cut_lineage(describe(docs, size, bins, key, text))
-    classes = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"))
-    classes = cut_lineage(classes)
-    told = cut_lineage(rows.join(classes.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
-                       .select("id", "n", "keys", "low"))
+    # a class is a set of shingles; it has a number of its own, as its least document may belong to others too
+    classes = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("doc"))
+    classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()))
+    told = cut_lineage(rows.join(classes.withColumnRenamed("doc", "id"), ["id", "digest"]).dropDuplicates(["class"])
+                       .select(F.col("class").alias("id"), "n", "keys", "low"))
+    own = _of_repeated_ids(rows, classes)
 
     bands = cut_lineage(_bands(told))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut_lineage(bands.join(shared, "key"))
+    members = cut_lineage(spread_join(bands, shared.withColumn("rows", F.col("size")), ["key"], "rows"))
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
     centres = cut_lineage(members.join(weight, "id").groupBy("key").agg(
-        F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
-        .select("key", (-F.col("top.minus")).alias("centre")))
-    stars = members.join(centres, "key").where("id <> centre").select(
+        F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("rows"))
+        .select("key", (-F.col("top.minus")).alias("centre"), "rows"))
+    starred = spread_join(members, centres, ["key"], "rows").where("id <> centre")
+    stars = starred.select(
         F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     sides = [told.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"low{c}")) for c in "ab"]
     stars = stars.join(sides[0], "a").join(sides[1], "b") \
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     stars = cut_lineage(_alike(stars, percent, bins))
-    sets = _sets(docs, stars.select(F.col("a").alias("id")).union(stars.select("b")), size, key, text)
-    first = components(_confirm(stars, sets, percent))
+    sets = _sets(docs, stars.select(F.col("a").alias("id")).union(stars.select("b")), classes, size, key, text)
+    first = components(_confirm(stars, sets, percent).unionByName(own.select("a", "b")))
 
     # what stars can't see: members other than the centre in different components
-    placed = members.join(centres, "key").where("id <> centre").drop("centre", "size") \
+    placed = starred.drop("centre", "size") \
         .join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    placed = cut_lineage(placed.join(mixed, "key").join(told, "id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")) \
+        .where("x <> y").select("key", "rows")
+    placed = cut_lineage(spread_join(placed, mixed, ["key"], "rows").join(told, "id"))
 
     def flag(table: pa.Table) -> pa.Table:
         wanted = set()
@@ -225,7 +233,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     id_type = dict(placed.dtypes)["id"]
     flagged = cut_lineage(_in_block_pairs(placed, False).groupBy("key", "i", "j").applyInArrow(
         flag, f"key bigint, id {id_type}").distinct())
-    more = _sets(docs, flagged.select("id"), size, key, text)
+    more = _sets(docs, flagged.select("id"), classes, size, key, text)
 
     def confirm(table: pa.Table) -> pa.Table:
         component = table.column("component").to_pylist()
@@ -263,12 +271,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     final = first.join(last, "component", "left").select("id", F.coalesce("final", "component").alias("component"))
     alone = last.where("component <> final").join(first.select("id"), last["component"] == F.col("id"), "left_anti") \
         .select(F.col("component").alias("id"), F.col("final").alias("component"))
-    labels = final.union(alone).select(F.col("id").alias("class"), F.col("component").alias("component_id"))
-
-    own_class = classes.select("digest", F.col("id").alias("class")).join(labels, "class", "left") \
-        .select("digest", F.coalesce("component_id", "class").alias("component_id"))
-    return rows.select(F.col("id"), F.col("n").alias("n_shingles"), "digest").join(own_class, "digest", "left").select(
-        F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    labels = cut_lineage(final.union(alone).select(F.col("id").alias("class"), "component"))
+
+    # a component is named after its least document; all classes of one document are in the same one
+    placed_classes = classes.join(labels, "class", "left").select("digest", "class", "doc", F.coalesce("component", "class").alias("component"))
+    names = placed_classes.groupBy("component").agg(F.min("doc").alias("component_id"))
+    told_class = cut_lineage(placed_classes.join(names, "component").select("digest", "class", "component_id"))
+    of_twice = own.join(told_class.select(F.col("class").alias("a"), F.col("component_id").alias("of_id")), "a").select("id", "of_id").distinct()
+    found = rows.select("id", F.col("n").alias("n_shingles"), "digest").join(told_class.drop("class"), "digest", "left") \
+        .join(_by_size(of_twice), "id", "left")
+    return found.select(F.col("id").alias(key), "n_shingles", F.when(
+        F.col("id").isNotNull(), F.coalesce("component_id", "of_id", "id")).alias("component_id"))
+
+
+def _of_repeated_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, a, b) of every id that stands in several rows: its least class, and each of its classes."""
+    twice = cut_lineage(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    those = rows.where("digest is not null").join(_by_size(twice), "id", "left_semi").select("id", "digest").distinct()
+    numbered = cut_lineage(those.join(classes.select("digest", "class"), "digest").select("id", "class"))
+    least = numbered.groupBy("id").agg(F.min("class").alias("a"))
+    return cut_lineage(numbered.join(least, "id").select("id", "a", F.col("class").alias("b")))
 
 
 def _alike(pairs: DataFrame, percent: int, bins: int) -> DataFrame:

@@ -123,6 +123,21 @@ def test_near_duplicates_of_rows_without_key_and_of_repeated_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, None, None]
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark, texts):
+    """Each near copy is linked to the id of its text, and all texts of an id are one document."""
+    rng = random.Random(12)
+    one, two = prose(rng, 60), prose(rng, 60)
+    rows = [(1, one), (1, two), (2, two + " more"), (3, one + " extra"), (1, ""), (1, None), (9, "x"), (9, None), (4, prose(rng, 30))]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == sorted([(1, 1)] * 4 + [(2, 1), (3, 1), (4, 4), (9, 9), (9, 9)])
+
+    ids = [k % 100 for k in range(len(texts))]
+    _, links = jaccard_links(texts, 3, 85)
+    label = reach(100, [(ids[a], ids[b]) for a, b in links])
+    found = near_dedup.near_duplicates(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), 3, 85)
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(k, label[k]) for k in ids}
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dedup.near_duplicates(documents(spark, []), 3, 85).count() == 0
 
@@ -189,17 +204,36 @@ def test_decontamination_without_benchmark_or_documents(spark, texts):
 
 # language model
 
-@pytest.mark.parametrize("entries", [1_000_000, 300])
-def test_stupid_backoff_against_sql(spark, texts, entries, monkeypatch):
-    """With all words known, and with most of them unknown; several buckets and parts."""
-    monkeypatch.setattr(language_model, "VOCABULARY", entries)
-    monkeypatch.setattr(language_model, "BUCKET", 3000)
-    monkeypatch.setattr(language_model, "PART_DOCS", 50)
-    monkeypatch.setattr(language_model, "CHUNK", 20_000)
+@pytest.mark.parametrize("chunk, bucket", [(8 << 20, 4_000_000), (20_000, 3000), (1, 500)])
+def test_stupid_backoff_against_sql(spark, texts, chunk, bucket, monkeypatch):
+    """In one chunk and bucket, in several, and with a chunk for every text."""
+    monkeypatch.setattr(language_model, "BUCKET", bucket)
+    monkeypatch.setattr(language_model, "CHUNK", chunk)
     docs = documents(spark, texts)
-    sql = language_model.SQL.replace("count(*) * 1000000", f"count(*) * {entries}")
-    want = in_duckdb(sql, documents=docs.toPandas())
-    same(language_model.scores(docs), want, "doc_id", "n_words", "log_score")
+    want = in_duckdb(language_model.SQL, documents=docs.toPandas())
+    same(language_model.scores(docs.repartition(3)), want, "doc_id", "n_words", "log_score")
+
+
+@pytest.mark.parametrize("rows", [30, 300, 1500])
+def test_random_words_score_below_prose_and_copies_above(spark, rows):
+    rng = random.Random(rows)
+    common = [prose(rng, 1) for _ in range(40)]
+    fluent = [" ".join(rng.choice(common) for _ in range(40)) for _ in range(rows)]
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(40)) for _ in range(10)]
+    copies = ["".join(prose(rng, 40))] * 2
+    docs = documents(spark, fluent + noise + copies)
+    by = {r.doc_id: r.log_score / r.n_words for r in language_model.scores(docs).collect()}
+    got = [by[3 * i + 7] for i in range(len(by))]
+    assert max(got[rows:rows + 10]) < min(got[:rows]) and min(got[-2:]) > max(got[:rows])
+
+
+def test_packed_runs_come_back():
+    rng = np.random.default_rng(1)
+    hashes = np.unique(np.append(rng.integers(0, 2**64, 500, np.uint64), np.uint64(2**64 - 1)))
+    counts = rng.integers(1, 2**32, len(hashes))
+    for n in (len(hashes), 1, 0):
+        back = language_model.unpacked(language_model.packed(hashes[:n], counts[:n]))
+        assert np.array_equal(back[0], hashes[:n]) and np.array_equal(back[1], counts[:n])
 
 
 def test_stupid_backoff_of_nothing(spark):
