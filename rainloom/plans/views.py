@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainloom.operators import calendar, counters, features, joins, rollup, split, windows
+from rainloom.operators.chunks import DENSE as GAPLESS
 from rainloom.session import cut_lineage
 
 SHIP_STATIONS = ["A", "N", "R"]
@@ -143,7 +144,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
     Each predicts the mean of the last n days before the date.
     """
-    series = features.add_rolling(region_filled(spark, sf), list(MODELS.values()), include_current=False, default=0.0)
+    series = features.add_rolling(region_filled(spark, sf), list(MODELS.values()), include_current=False, default=0.0, axis=GAPLESS)
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.round(f"roll{n}", 8).alias("pred"))
                        for m, n in MODELS.items()])
     return series.where("imputed = 0").select("station", "date", F.col("value").alias("actual"), F.inline(models))
@@ -151,8 +152,8 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def scaled_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Day, week and month sums against multiples of the trailing means: (model, scale, station, date, actual, pred)."""
-    series = features.add_rolling(region_filled(spark, sf), list(MODELS.values()), include_current=False, default=0.0)
-    series = features.add_targets(series, [1, 7, 30], start=0)
+    series = features.add_rolling(region_filled(spark, sf), list(MODELS.values()), include_current=False, default=0.0, axis=GAPLESS)
+    series = features.add_targets(series, [1, 7, 30], start=0, axis=GAPLESS)
     rows = F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(scale).alias("scale"), F.round(f"target{h}", 6).alias("actual"),
                  F.round(F.col(f"roll{n}") * h, 10).alias("pred"))
@@ -162,7 +163,7 @@ def scaled_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def lead_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Fourteen days ahead from each origin, predicted by the trailing week: adds ``horizon_day``."""
-    series = features.add_rolling(region_filled(spark, sf), [7], include_current=False, default=0.0)
+    series = features.add_rolling(region_filled(spark, sf), [7], include_current=False, default=0.0, axis=GAPLESS)
     long = windows.explode_horizon(windows.horizon_targets(series, 14))
     return long.select("station", "date", "horizon_day", F.col("value").alias("actual"),
                        F.round("roll7", 8).alias("pred"))
