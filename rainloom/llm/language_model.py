@@ -25,6 +25,8 @@ from rainloom.session import cut_lineage
 
 #: Longest n-gram and factor of a back-off.
 ORDER, BACK_OFF = 3, 0.4
+#: Bits of an n-gram's hash.
+BITS = 60
 #: Bytes of text in a chunk (or one longer text), and n-grams that a bucket gets at most.
 CHUNK, BUCKET = 8 << 20, 4_000_000
 
@@ -59,7 +61,7 @@ def chunks_of(rows: DataFrame) -> DataFrame:
         words = _starts(b"\n".join(texts)) if texts else 0
         return pa.RecordBatch.from_arrays(
             [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())),
-             pa.array([zstandard.compress(b"".join(texts), 3)], pa.binary()), pa.array([words], pa.int64())],
+             pa.array([zstandard.compress(b"".join(texts), 9)], pa.binary()), pa.array([words], pa.int64())],
             ["chunk", "ids", "sizes", "texts", "words"])
 
     return cut_lineage(rows.mapInArrow(gather, f"chunk bigint, ids array<{kind}>, sizes array<bigint>, texts binary, words bigint"))
@@ -86,12 +88,13 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(texts)), lengths)
     place = np.arange(len(h)) - np.repeat(upto[:-1], lengths)
     left = np.repeat(lengths, lengths) - place
-    out = [np.maximum(h, np.uint64(1))]
+    out = [h]
     for n in range(2, ORDER + 1):
         longer = np.zeros(len(h), np.uint64)
-        longer[:max(len(h) - n + 1, 0)] = np.maximum(common.mix(out[-1][:max(len(h) - n + 1, 0)] * np.uint64(3) + h[n - 1:]), np.uint64(1))
-        out.append(np.where(left >= n, longer, np.uint64(0)))
-    return out, row, place
+        longer[:max(len(h) - n + 1, 0)] = common.mix(out[-1][:max(len(h) - n + 1, 0)] * np.uint64(3) + h[n - 1:])
+        out.append(longer)
+    short = np.uint64(64 - BITS)
+    return [np.where(left > n, np.maximum(x >> short, np.uint64(1)), np.uint64(0)) for n, x in enumerate(out)], row, place
 
 
 # ---------------------------------------------------------------- counts by bucket
@@ -112,13 +115,12 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every = np.concatenate(found)
-    hashes, counts = np.unique(every, return_counts=True)
+    hashes, counts = np.unique(np.concatenate(found), return_counts=True)
     return (hashes[1:], counts[1:]) if len(hashes) and hashes[0] == 0 else (hashes, counts)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending with the hash
+    return ((hashes >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending with the hash
 
 
 def dealt(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -159,23 +161,16 @@ def _totals(blob: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- scores
 
 
-def word_scores(texts: list[str], hashes: np.ndarray, totals: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the number of words and the sum of their log scores; ``totals`` are the corpus's counts of ``hashes``."""
+def word_scores(texts: list[str], totals: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the number of words and the sum of their log scores; ``totals`` are the corpus's counts of the texts' n-grams, by hash."""
     found, row, place = grams(texts)
+    hashes, number = np.unique(np.concatenate(found), return_inverse=True)
+    if len(hashes) and hashes[0] == 0:
+        totals = np.append(0, totals)
     others = []  # how often the n-gram that begins at each word stands in other texts
-    for h in found:
-        at = np.searchsorted(hashes, h)
-        if not len(hashes):
-            others.append(np.zeros(len(h), np.int64))
-            continue
-        at = np.minimum(at, len(hashes) - 1)
-        order = np.lexsort((at, row))
-        new = np.ones(len(order), bool)
-        new[1:] = (at[order][1:] != at[order][:-1]) | (row[order][1:] != row[order][:-1])
-        run = np.cumsum(new) - 1
-        own = np.empty(len(order), np.int64)
-        own[order] = np.bincount(run)[run] if len(order) else 0
-        others.append(np.where(h > 0, totals[at] - own, 0))
+    for at in np.split(number, ORDER):
+        _, first, own = np.unique(row * np.int64(len(hashes)) + at, return_inverse=True, return_counts=True)
+        others.append(np.maximum(totals[at] - own[first], 0) if len(at) else at)
     alpha = math.log(BACK_OFF)
     one = others[0]
     score = np.where(one > 0, np.log(np.maximum(one, 1)), alpha) - math.log(max(size, 1)) + alpha * np.minimum(place, ORDER - 1)
@@ -186,7 +181,7 @@ def word_scores(texts: list[str], hashes: np.ndarray, totals: np.ndarray, size:
         begins = ends - (n - 1)
         missed = np.minimum(place[ends], ORDER - 1) - (n - 1)  # longer ones that the place would have allowed
         score[ends] = np.log(others[n - 1][begins]) - np.log(others[n - 2][begins]) + alpha * missed
-    return np.bincount(row, minlength=len(texts)).astype(np.int64), np.bincount(row, score, len(texts))
+    return np.bincount(row, minlength=len(texts)).astype(np.int64), np.bincount(row, score, len(texts)).astype(float)
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,7 +192,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     a row; else ``BACK_OFF`` times count(one before, own) / count(one before) if they have the two; else
     ``BACK_OFF`` for each of the longer ones times count(own) / corpus size, with ``BACK_OFF`` as the count of a word that nobody
     else has.  The first words of a text, which have fewer before them, back off from fewer.  Words are separated
-    by ASCII white space, A-Z lower-cased, and told apart by 64-bit hashes.  Texts without words, and nulls, have
+    by ASCII white space, A-Z lower-cased; n-grams are told apart by hashes of ``BITS`` bits.  Texts without words, and nulls, have
     0 words and score 0.  Rows of equal key are added up, and so are rows without a key.
     """
     rows = docs.select(docs[key].alias("key"), common.text_or_empty(text).alias("text"))
@@ -211,7 +206,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         texts = _texts(own["texts"][0].as_py(), own["sizes"][0].as_py())
         parts = sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist()))
         counted = np.concatenate([_totals(b) for _, b in parts]) if parts else np.empty(0, np.int64)
-        n, s = word_scores(texts, _distinct(grams(texts)[0])[0], counted, size)
+        n, s = word_scores(texts, counted, size)
         return pa.table([ids, pa.array(n), pa.array(s)], names=["key", "n", "s"])
 
     found = chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, f"key {kind}, n bigint, s double")

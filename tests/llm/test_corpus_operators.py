@@ -229,7 +229,7 @@ def test_random_words_score_below_prose_and_copies_above(spark, rows):
 
 def test_packed_runs_come_back():
     rng = np.random.default_rng(1)
-    hashes = np.unique(np.append(rng.integers(0, 2**64, 500, np.uint64), np.uint64(2**64 - 1)))
+    hashes = np.unique(np.append(rng.integers(0, 2**60, 500, np.uint64), np.uint64(2**60 - 1)))
     counts = rng.integers(1, 2**32, len(hashes))
     for n in (len(hashes), 1, 0):
         back = language_model.unpacked(language_model.packed(hashes[:n], counts[:n]))
