@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainloom.llm import common, minhash
-from rainloom.operators.joins import spread_join
 from rainloom.session import cut_lineage
 
 BANDS = 40
@@ -174,9 +173,9 @@ def _possible(table: pa.Table, percent: int, bins: int):
 def _in_block_pairs(members: DataFrame, set_bytes: bool) -> DataFrame:
     """Rows of each bucket dealt to pairs of its blocks: (key, i, j), ``block`` being the row's own."""
     weight = F.sum(F.col("n") * 8) if set_bytes else F.lit(0)
-    blocks = members.groupBy("key").agg(F.count("*").alias("size"), F.greatest(
+    blocks = members.groupBy("key").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(weight / BLOCK_SET_BYTES)).cast("int").alias("blocks"))
-    dealt = spread_join(members, blocks, ["key"], "size").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     return dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("i", F.least("block", "t")).withColumn("j", F.greatest("block", "t")).drop("t", "blocks") \
         .repartition("key", "i", "j")  # else all block pairs of a bucket stay where the join by key has put them
@@ -201,12 +200,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
     bands = cut_lineage(_bands(told))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut_lineage(spread_join(bands, shared.withColumn("rows", F.col("size")), ["key"], "rows"))
+    members = cut_lineage(bands.join(shared, "key"))
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
     centres = cut_lineage(members.join(weight, "id").groupBy("key").agg(
-        F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("rows"))
-        .select("key", (-F.col("top.minus")).alias("centre"), "rows"))
-    starred = spread_join(members, centres, ["key"], "rows").where("id <> centre")
+        F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
+        .select("key", (-F.col("top.minus")).alias("centre")))
+    starred = members.join(centres, "key").where("id <> centre")
     stars = starred.select(
         F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     sides = [told.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"low{c}")) for c in "ab"]
@@ -219,9 +218,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     # what stars can't see: members other than the centre in different components
     placed = starred.drop("centre", "size") \
         .join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")) \
-        .where("x <> y").select("key", "rows")
-    placed = cut_lineage(spread_join(placed, mixed, ["key"], "rows").join(told, "id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    placed = cut_lineage(placed.join(mixed, "key").join(told, "id"))
 
     def flag(table: pa.Table) -> pa.Table:
         wanted = set()
