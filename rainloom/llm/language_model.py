@@ -28,7 +28,7 @@ ORDER, BACK_OFF = 3, 0.4
 #: Bits of an n-gram's hash.
 BITS = 60
 #: Bytes of text in a chunk (or one longer text), and n-grams that a bucket gets at most.
-CHUNK, BUCKET = 8 << 20, 4_000_000
+CHUNK, BUCKET = 10 << 20, 4_000_000
 
 
 # ---------------------------------------------------------------- chunks
