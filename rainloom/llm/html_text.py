@@ -4,7 +4,8 @@ Every node of the page tree gets its characters per tag, adjusted by how much
 of them sits in links.  The subtree with the largest sum of its children's
 densities holds the article; the least density on the path from the body to
 the densest node tells text apart from page furniture inside it, and further
-parts of the article beside that path from the rest of the page.
+parts of the article beside that path from the rest of the page.  Elements that
+the page itself names as articles only widen that choice.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ IMPLIED_END = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"}), "option": ({"option"}, {"select"})}
 #: Elements that are never part of an article.
 FURNITURE = frozenset(
-    "nav footer aside form script style noscript iframe button select textarea input template head menu dialog svg math "
+    "nav footer aside script style noscript iframe button select textarea input template head menu dialog svg math "
     "object embed canvas audio video map search title".split())
+#: Elements that a page names as its main text.
+NAMED = frozenset(["article", "main"])
 #: Words in class, id or role that mark furniture; they must stand as a whole part of the name.  What an element has,
 #: or lacks, is no mark of itself.
 MARKS = re.compile(
@@ -54,7 +57,9 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _OWN_TEXT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|cookies?|consent|notices?|popups?|modal|overlay|newsletter|comments?|disqus|replies|"
     r"copyright|disclaimer|alert|gdpr)(?:$|[\s_-])", re.I)
-#: Share of the page's text outside links from which on a class or id does not mark furniture; the same for _OWN_TEXT.
+#: Names of an article that is a reader's.
+_REMARK = re.compile(r"(?:^|\s)(?:comments?|reply|replies)(?:$|\s)", re.I)
+#: Share of the page's text outside links from which on a class or id does not mark furniture; the same for _OWN_TEXT and forms.
 MOST, NEARLY_ALL = 0.5, 0.9
 #: Elements deeper than this are read as children of the element at this depth.
 DEEPEST = 256
@@ -68,15 +73,18 @@ class Node:
 
 
 def _left_out(tag: str, attributes: str) -> tuple[bool, float]:
-    """Whether the element is furniture, and, if only its class or id says so, the share of the text that overrules it."""
+    """Whether the element is furniture, and, if only its class or id or being a form says so, the share of the text that overrules it."""
     if tag in FURNITURE:
         return True, 0.0
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return False, 0.0
-    marked = 0.0
+    marked = NEARLY_ALL if tag == "form" else 0.0
+    if tag in ("html", "body", "main") or not attributes:
+        return marked > 0, marked
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id", "role") and MARKS.search(value):
+        if tag == "article":
+            if name == "class" and _REMARK.search(value):
+                marked = NEARLY_ALL
+        elif name in ("class", "id", "role") and MARKS.search(value):
             if name == "role":
                 return True, 0.0
             marked = max(marked, NEARLY_ALL if _OWN_TEXT.search(value) else MOST)
@@ -210,8 +218,8 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     if not chars:
         return 0.0
     tags, links, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
-    base = math.log(chars / max(chars - link_chars, 1) * link_chars + body_link_share * chars + math.e)
-    return chars / tags * math.log(max(chars / links * tags / link_tags, 1.0) + 1e-9) / math.log(max(base, 1.0) + 1.0)
+    base = math.log(chars / max(chars - link_chars, 1) * links + body_link_share * chars + math.e)  # above 1
+    return chars / tags * math.log(max(chars / links * tags / link_tags, 1.0) + 1e-9) / math.log(base)
 
 
 def text_density(node: Node) -> float:
@@ -220,11 +228,11 @@ def text_density(node: Node) -> float:
 
 
 def main_node(order: list[Node], root: Node) -> tuple[Node, float]:
-    """The subtree with the largest density sum, and the least density from the body down to it.
+    """The body, or the root, with nothing but the main text left on the way to its densest part, and the least density on that way.
 
-    A page that names one article (``article`` or ``main``) bounds the choice: of several, the one with the
-    largest sum over its subtree counts; the chosen node is widened to it.  On other pages the node is the body,
-    whose children beside the chosen subtree are left only where ``widen`` keeps them.
+    The subtree with the largest density sum counts (ties: more characters, then the first one closed); inside an element
+    that the page names as an article that element counts, whole, so the least density is 0.  Around such elements the
+    longest of them counts, if they hold most of the text outside links.
     """
     best = max(order, key=lambda n: (n.sum + (n.density if not n.tags else 0.0), n.chars))
     up, threshold = best, best.density
@@ -232,35 +240,68 @@ def main_node(order: list[Node], root: Node) -> tuple[Node, float]:
         threshold = min(threshold, up.density)
         up = up.parent
     up = best
-    while up is not None and up.tag not in ("article", "main"):
+    while up is not None and up.tag not in NAMED:
         up = up.parent
+    inside = named(best) if up is None else []
+    if sum(n.chars - n.link_chars for n in inside) > MOST * (best.chars - best.link_chars):
+        up = max(inside, key=lambda n: n.chars)
     if up is not None:
-        return up, 0.0
-    named = [n for n in order if n.tag in ("article", "main") and n.chars]
-    if named:
-        return max(named, key=lambda n: n.chars), 0.0
+        return widen(up), 0.0
     while best.parent is not None and best.tag not in ("body", "html") and best.tag in ("p", "b", "i", "em", "strong", "span"):
         best = best.parent
     return widen(best), threshold
 
 
+def mostly_links(node: Node) -> bool:
+    return node.link_chars * 2 > node.chars
+
+
+def named(node: Node | str) -> list[Node]:
+    """Outermost named elements at or below ``node`` that have text and are not mostly links, in page order."""
+    found, stack = [], [node]
+    while stack:
+        own = stack.pop()
+        if isinstance(own, str) or own.left_out:
+            continue
+        if own.tag not in NAMED:
+            stack += reversed(own.children)
+        elif own.chars and not mostly_links(own):
+            found.append(own)
+    return found
+
+
 def widen(best: Node) -> Node:
     """The body, or the root without one, above ``best``; of what lies beside the path down to it only parts of the text stay.
 
-    Those are the elements, and texts without one, that reach the least text density on the path, and what stands
-    between two of them; blocks that are mostly links never are.
+    Inside an article those are all but blocks that are mostly links; inside ``main`` also all but blocks below half the
+    least text density on the path.  Beyond a named element only other named ones stay.  Without one, elements, and texts
+    without one, stay that reach the least text density on the path, with what stands between two of them (blocks that are
+    mostly links never do), and so do named elements.
     """
     path = [best]
     while path[-1].parent is not None and path[-1].tag not in ("body", "html"):
         path.append(path[-1].parent)
+    article = max((i for i, n in enumerate(path) if n.tag == "article"), default=-1)
+    outermost = max((i for i, n in enumerate(path) if n.tag in NAMED), default=-1)
     least = min(map(text_density, path))
-    for below, up in zip(path, path[1:]):
-        reach = [c is below or (sum(map(len, c.split())) >= max(least, 1) if isinstance(c, str) else
-                                not c.left_out and c.chars > 0 and c.link_chars * 2 <= c.chars and text_density(c) >= least)
-                 for c in up.children]
-        first, last = reach.index(True), len(reach) - reach[::-1].index(True)
-        up.children = [c for c, r in zip(up.children[first:last], reach[first:last])
-                       if r or isinstance(c, str) or c.tag not in BLOCK or c.left_out or c.link_chars * 2 <= c.chars]
+
+    def size(text: str) -> int:
+        return sum(map(len, text.split()))
+
+    for i in range(1, len(path)):
+        below, up = path[i - 1], path[i]
+        if i <= outermost:
+            up.children = [c for c in up.children if c is below or isinstance(c, str) or c.left_out or c.tag not in BLOCK or (
+                not mostly_links(c) and (i <= article or c.tag in NAMED or text_density(c) * 2 >= least))]
+        elif outermost >= 0:
+            up.children = [n for c in up.children for n in ([c] if c is below else named(c))]
+        else:
+            reach = [c is below or (size(c) >= max(least, 1) if isinstance(c, str) else
+                                    not c.left_out and c.chars > 0 and not mostly_links(c) and text_density(c) >= least)
+                     for c in up.children]
+            first, last = reach.index(True), len(reach) - reach[::-1].index(True)
+            up.children = [n for k, c in enumerate(up.children) for n in ([c] if first <= k < last and (
+                reach[k] or isinstance(c, str) or c.tag not in BLOCK or c.left_out or not mostly_links(c)) else named(c))]
     return path[-1]
 
 
@@ -322,7 +363,7 @@ def extract(pages: DataFrame, page: str = "html", out: str = "text", keep: tuple
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], [*keep, out])
 
     schema = StructType([rows.schema[c] for c in keep] + [StructField(out, StringType())])
-    return common.in_batches(rows, work, schema)
+    return common.in_slices(rows, work, schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
