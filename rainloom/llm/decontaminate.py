@@ -4,11 +4,15 @@ The training words of a shard (a bounded run of documents) become a suffix
 array, ordered by as many words as a window has.  Every suffix of the benchmark
 items is looked up in it by binary search; the matches are extended to their
 longest, and give their places in the documents, the words hit and the items
-found.  Benchmark items are read in blocks of bounded size.
+found.  Benchmark items are read in blocks of bounded size, one at a time.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +25,8 @@ from rainloom.session import cut_lineage
 WINDOW, ONE_IN = 13, 20
 #: Bytes of benchmark text that one pass over the documents looks for.
 BLOCK_BYTES = 4 << 20
+#: Pairs of a place and a benchmark suffix that are looked at together.
+PAIRS = 1 << 20
 #: Word numbers that share one sort key, and bits of each.
 PACKED, BITS = 3, 21
 
@@ -142,11 +148,19 @@ def shard_matches(texts: list[str], tests: Tests) -> tuple[list, list, list, lis
 
 
 def _longest(words, place, window, tests, first, n_texts) -> list[list[dict]]:
-    """At each place where a stretch of matching places begins: the longest match of all suffixes found there."""
-    begins = ~np.isin(place - 1, place)
-    place, window = place[begins], window[begins]
-    owner, at = spread(tests.group[window], tests.group[window + 1])
-    suffix, place = tests.order[at], place[owner]
+    """Matches of maximal length that are the longest at one of their places at least, by place.
+
+    A match is taken up where it begins, that is where the words before differ, and extended to its end.  One that lies
+    inside another is the longest nowhere and left out; of equal ones the suffix of the earliest item stays.
+    """
+    spots, suffixes = [], []
+    for part in common.runs_of((tests.group[window + 1] - tests.group[window]).tolist(), PAIRS):
+        owner, at = spread(tests.group[window[part]], tests.group[window[part] + 1])
+        suffix, spot = tests.order[at], place[part][owner]
+        begins = (words[spot - 1] != tests.words[tests.start[suffix] - 1]) | (words[spot - 1] == 0)  # ends in a 0 before the first
+        spots.append(spot[begins])
+        suffixes.append(suffix[begins])
+    place, suffix = np.concatenate(spots), np.concatenate(suffixes)
     length = tests.length[suffix].copy()
     going = np.arange(len(suffix))
     while len(going):
@@ -155,70 +169,91 @@ def _longest(words, place, window, tests, first, n_texts) -> list[list[dict]]:
         going, a, b = going[inside], a[inside], b[inside]
         going = going[(words[a] == tests.words[b]) & (words[a] > 0)]
         length[going] += 1
-    out: list[list[dict]] = [[] for _ in range(n_texts)]
     best = np.lexsort((suffix, -length, place))
-    best = best[np.append(True, place[best][1:] != place[best][:-1])]
+    ends = (place + length)[best]
+    best = best[np.append(True, ends[1:] > np.maximum.accumulate(ends)[:-1])] if len(best) else best
+    out: list[list[dict]] = [[] for _ in range(n_texts)]
     doc = np.searchsorted(first, place[best], side="right") - 1
     for d, p, n, s in zip(doc.tolist(), (place[best] - first[doc]).tolist(), length[best].tolist(), suffix[best].tolist()):
         out[d].append({"place": p, "words": n, "item": tests.names[tests.item[s]], "item_place": int(tests.place[s])})
     return out
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str):
-    """Benchmark items with words, a block of at most about ``BLOCK_BYTES`` at a time; ids as strings."""
+def _blocks(benchmark: DataFrame | None, item: str, text: str) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """Number of blocks, and distinct benchmark items with words, a block of about ``BLOCK_BYTES`` at a time; ids as strings."""
+    if benchmark is None:
+        return 1, iter([[]])
     rows = benchmark.select(benchmark[item].cast("string").alias("item"), benchmark[text].cast("string").alias("text")) \
-        .where("item is not null and text is not null")
+        .where("item is not null and text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // BLOCK_BYTES + 1
-    for block in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        yield [(r["item"], r["text"]) for r in own.orderBy("item", "text").collect()]
+    if blocks > 1:
+        rows = cut_lineage(rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))))
+
+    def read(block: int) -> list[tuple[str, str]]:
+        own = rows.where(F.col("block") == block).drop("block") if blocks > 1 else rows
+        return [(r["item"], r["text"]) for r in own.orderBy("item", "text").collect()]
+
+    return blocks, map(read, range(blocks))
 
 
-def _look_up(rows: DataFrame, items: list[tuple[str, str]], keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row with ``n_words``, ``hit``, ``items`` and ``matches`` against one block."""
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+#: The suffixes of the block that this worker process has looked up last, by the name of the look-up.
+_held: dict[str, Tests] = {}
 
-    shared = rows.sparkSession.sparkContext.broadcast(items)  # BLOCK_BYTES of text
-    held: dict[str, Tests] = {}
+
+def _held_tests(name: str, items) -> Tests:
+    if name not in _held:
+        _held.clear()
+        _held[name] = Tests(items.value)
+    return _held[name]
+
+
+def _look_up(rows: DataFrame, shared, keep: list[str]) -> DataFrame:
+    """``keep`` columns of every row with ``n_words``, ``hit``, ``items`` and ``matches`` against one block, which is broadcast."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    name = uuid.uuid4().hex
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     match = pa.list_(pa.struct([("place", pa.int64()), ("words", pa.int64()), ("item", pa.string()), ("item_place", pa.int64())]))
 
-    def work(batch: pa.RecordBatch):
-        tests = held.get("tests") or held.setdefault("tests", Tests(shared.value))
-        texts = batch.column(len(keep)).to_pylist()
-        for part in common.runs_of([len(t) for t in texts]):
-            counts, hit, names, longest = shard_matches(texts[part], tests)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i)[part] for i in range(len(keep))), pa.array(counts, pa.int64()), pa.array(hit, span),
-                 pa.array(names, pa.list_(pa.string())), pa.array(longest, match)], [*keep, "n_words", "hit", "items", "matches"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, hit, names, longest = shard_matches(batch.column(len(keep)).to_pylist(), _held_tests(name, shared))
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(i) for i in range(len(keep))), pa.array(counts, pa.int64()), pa.array(hit, span),
+             pa.array(names, pa.list_(pa.string())), pa.array(longest, match)], [*keep, "n_words", "hit", "items", "matches"])
 
     more = _parse_datatype_string(
         "n_words bigint, hit array<struct<s:bigint,e:bigint>>, items array<string>, "
         "matches array<struct<place:bigint,words:bigint,item:string,item_place:bigint>>")
-    return common.in_batches(rows, work, StructType([rows.schema[c] for c in keep] + list(more)))
+    return common.in_slices(rows, work, StructType([rows.schema[c] for c in keep] + list(more)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                   item_text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of ``docs`` the ``keep`` columns, ``n_words``, ``n_hit``, ``items`` (sorted strings), ``matches``, ``contaminated``.
 
+    ``matches`` lists the verbatim matches of each block of the benchmark that cannot be extended and lie in no other one.
+
     Null texts have no words; items without id, text or words, and an empty benchmark, match nothing; an item
     shorter than a window matches as a whole; repeated items count once.  Rows with equal keys stay separate.
     """
-    from functools import reduce
-
+    spark = docs.sparkSession
     hidden = [f"__{i}" for i in range(len(keep))]
     rows = docs.select(*(docs[c].alias(h) for c, h in zip(keep, hidden)), common.text_or_empty(text).alias("__text"))
-    blocks = list(_blocks(benchmark, item, item_text)) if benchmark is not None else [[]]
-    if len(blocks) == 1:
-        found = _look_up(rows, blocks[0], hidden)
-    else:  # one pass a block; the rows are numbered once so that their parts meet again
+    number, blocks = _blocks(benchmark, item, item_text)
+    if number == 1:
+        found = _look_up(rows, spark.sparkContext.broadcast(next(blocks)), hidden)
+    else:  # a pass a block, each written before the next is read; the rows are numbered once so that their parts meet again
         numbered = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()).select(*hidden, "__row", "__text"))
-        parts = reduce(DataFrame.unionByName, [_look_up(numbered, b, [*hidden, "__row"]) for b in blocks])
-        found = parts.groupBy("__row").agg(
-            *(F.first(h).alias(h) for h in hidden), F.max("n_words").alias("n_words"),
-            *(F.flatten(F.collect_list(c)).alias(c) for c in ("hit", "items", "matches")))
+        parts = []
+        for items in blocks:
+            shared = spark.sparkContext.broadcast(items)
+            part = _look_up(numbered.select("__row", "__text"), shared, ["__row"])
+            parts.append(cut_lineage(part if not parts else part.where(F.size("items") > 0)))
+            shared.destroy()
+        told = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(
+            F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("hit", "items", "matches")))
+        found = numbered.drop("__text").join(told, "__row")
     n_hit = F.aggregate(
         F.array_sort("hit"), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto")),
         lambda a, x: F.struct((a.n + F.greatest(x.e - F.greatest(x.s, a.upto), F.lit(0).cast("bigint"))).alias("n"),

@@ -195,6 +195,50 @@ def test_longest_matches_and_their_places():
     assert matches[1] == [{"place": 1, "words": 25, "item": "a", "item_place": 3}, {"place": 27, "words": 13, "item": "a", "item_place": 0}]
 
 
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 20])
+def test_every_longest_match_against_brute_force(pairs, monkeypatch):
+    """Few words, so that passages repeat, overlap and lie in several items; what any place's longest match is must follow."""
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    rng = random.Random(3)
+    for _ in range(15):
+        base = [rng.choice("abc") for _ in range(60)]
+        items = [base[s:s + rng.randint(3, 40)] for s in (0, 5, 20, 30)] + [[rng.choice("ab")] * 20, ["c"] * 4]
+        doc = base[2:50] + ["a"] * rng.randint(10, 25) + ["zz"] + base[10:35] + ["b"] * 15 + items[0] + items[3]
+        _, _, _, (matches, none) = decontaminate.shard_matches(
+            [" ".join(doc), "zz"], decontaminate.Tests([(str(k), " ".join(w)) for k, w in enumerate(items)]))
+        longest = [0] * len(doc)
+        for own in items:
+            for s in range(len(own)):
+                for p in range(len(doc)):
+                    n = 0
+                    while s + n < len(own) and p + n < len(doc) and own[s + n] == doc[p + n]:
+                        n += 1
+                    if n >= min(13, len(own)):
+                        longest[p] = max(longest[p], n)
+        told = [0] * len(doc)
+        for m in matches:
+            own = items[int(m["item"])]
+            assert doc[m["place"]:m["place"] + m["words"]] == own[m["item_place"]:m["item_place"] + m["words"]]
+            assert m["words"] == longest[m["place"]]
+            for k in range(m["words"]):
+                told[m["place"] + k] = max(told[m["place"] + k], m["words"] - k)
+        assert not none and all(a >= b for a, b in zip(told, longest))
+        ends = [(m["place"], m["place"] + m["words"]) for m in matches]
+        assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] for a in ends for b in ends) and len(set(ends)) == len(ends)
+
+
+def test_blocks_of_the_benchmark_give_all_columns_once(spark, texts, monkeypatch):
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:12])] * 3, "item_id long, text string")
+    docs = documents(spark, texts[:40])
+    whole = {r.doc_id: r for r in decontaminate.contamination(docs, bench, keep=("doc_id", "lang")).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
+    parts = decontaminate.contamination(docs, bench, keep=("doc_id", "lang")).collect()
+    assert len(parts) == len(whole) == 40
+    for r in parts:
+        assert (r.lang, r.n_words, r.n_hit, r["items"], r.contaminated) == (
+            whole[r.doc_id].lang, whole[r.doc_id].n_words, whole[r.doc_id].n_hit, whole[r.doc_id]["items"], whole[r.doc_id].contaminated)
+
+
 def test_decontamination_without_benchmark_or_documents(spark, texts):
     empty = spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.contamination(documents(spark, texts[:5]), empty).collect()
