@@ -3,7 +3,8 @@
 Loose patterns propose candidate segments.  Each is scored as a whole (digit
 count, grouping, separators, checksum, neighbours, cue words), and a dynamic
 programme over a stretch's boundaries chooses segments and their kinds
-together; a segment spans a bounded number of units.  Weights are fitted by
+together, with a weight for each kind after the kind before it in the stretch;
+a segment spans a bounded number of units.  Weights are fitted by
 maximum likelihood on stretches of the corpus, labelled by the fixed patterns,
 and on generated examples of forms that those leave out.
 """
@@ -146,7 +147,7 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, str, tup
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of features of single segments; neighbouring kinds do not influence each other."""
+    """Weights of the features of segments, and of ``before>kind`` for a kind and the one before it ("" for none)."""
 
     weights: dict[str, float]
 
@@ -154,6 +155,13 @@ class Model:
         get = self.weights.get
         return sum(get(f, 0.0) for f in features)
 
+    def follows(self, before: str, kind: str) -> float:
+        return self.weights.get(f"{before}>{kind}", 0.0)
+
+
+#: States of the lattice: the kind of the last segment, or none yet.
+STATES = ("", *KINDS)
+
 
 def _lattice(found, bounds):
     at = {b: i for i, b in enumerate(bounds)}
@@ -167,50 +175,74 @@ def decode(found, model: Model) -> list[tuple[str, int, int]]:
     """The best sequence of segments: ties go to fewer segments, then to the first proposed."""
     bounds = sorted({b for s, e, _, _ in found for b in (s, e)})
     ending = _lattice(found, bounds)
-    best: list[tuple[float, int, tuple[int, str] | None]] = [(0.0, 0, None)]
+    step = {(a, b): model.follows(a, b) for a in STATES for b in KINDS}
+    # for each boundary and last kind: score, less segments, and the segment that led there (start, kind before it)
+    best: list[dict[str, tuple[float, int, tuple[int, str] | None]]] = [{"": (0.0, 0, None)}]
     for j in range(1, len(bounds)):
-        top = (best[j - 1][0], best[j - 1][1], None)
+        top = {state: (score, segments, None) for state, (score, segments, _) in best[j - 1].items()}
         for i, kind, features in ending[j]:
-            own = (best[i][0] + model.score(features), best[i][1] - 1, (i, kind))
-            if own[:2] > top[:2]:
-                top = own
+            own = model.score(features)
+            for before, (score, segments, _) in best[i].items():
+                value = (score + own + step[before, kind], segments - 1, (i, before))
+                if kind not in top or value[:2] > top[kind][:2]:
+                    top[kind] = value
         best.append(top)
-    out, j = [], len(bounds) - 1
+    j = len(bounds) - 1
+    out, state = [], max(best[j], key=lambda k: best[j][k][:2])
     while j > 0:
-        step = best[j][2]
-        if step is None:
+        came = best[j][state][2]
+        if came is None:
             j -= 1
         else:
-            out.append((step[1], bounds[step[0]], bounds[j]))
-            j = step[0]
+            out.append((state, bounds[came[0]], bounds[j]))
+            j, state = came
     return out[::-1]
 
 
 def _log_add(values: list[float]) -> float:
     top = max(values)
-    return top + math.log(sum(math.exp(v - top) for v in values))
+    return top + math.log(sum(math.exp(v - top) for v in values)) if top > -math.inf else top
 
 
 def _gradient(found, gold: set[tuple[str, int, int]], model: Model) -> dict[str, float]:
-    """Observed minus expected features of one stretch, by forward and backward sums over all segmentations."""
+    """Observed minus expected features of one stretch, by forward and backward sums over all segmentations and kinds.
+
+    The spans of ``gold`` do not overlap; those that are no candidates count as absent.
+    """
     bounds = sorted({b for s, e, _, _ in found for b in (s, e)})
-    ending = _lattice(found, bounds)
     last = len(bounds) - 1
-    scored = {j: [(i, kind, f, model.score(f)) for i, kind, f in own] for j, own in ending.items()}
-    ahead = [0.0]
+    number = {k: n for n, k in enumerate(STATES)}
+    step = [[model.follows(a, b) for b in STATES] for a in STATES]
+    scored = {j: [(i, number[kind], f, model.score(f)) for i, kind, f in own] for j, own in _lattice(found, bounds).items()}
+    never, states = -math.inf, range(len(STATES))
+    ahead = [[0.0] + [never] * len(KINDS)]
     for j in range(1, last + 1):
-        ahead.append(_log_add([ahead[j - 1]] + [ahead[i] + w for i, _, _, w in scored.get(j, ())]))
+        sums = [[v] for v in ahead[j - 1]]
+        for i, k, _, w in scored.get(j, ()):
+            sums[k] += [ahead[i][a] + step[a][k] + w for a in states]
+        ahead.append([_log_add(v) for v in sums])
     starting = defaultdict(list)
     for j, own in scored.items():
-        for i, _, _, w in own:
-            starting[i].append((j, w))
-    back = [0.0] * (last + 1)
+        for i, k, _, w in own:
+            starting[i].append((j, k, w))
+    back = [[0.0] * len(STATES) for _ in bounds]
     for i in range(last - 1, -1, -1):
-        back[i] = _log_add([back[i + 1]] + [back[j] + w for j, w in starting.get(i, ())])
+        for a in states:
+            back[i][a] = _log_add([back[i + 1][a]] + [step[a][k] + w + back[j][k] for j, k, w in starting.get(i, ())])
+    total = back[0][0]
     out: dict[str, float] = defaultdict(float)
+    chosen = sorted((s, e, kind) for kind, s, e in gold & {(kind, s, e) for s, e, kind, _ in found})
+    for before, (_, _, kind) in zip(["", *(kind for _, _, kind in chosen)], chosen):
+        out[f"{before}>{kind}"] += 1.0
     for j, own in scored.items():
-        for i, kind, features, w in own:
-            push = float((kind, bounds[i], bounds[j]) in gold) - math.exp(ahead[i] + w + back[j] - ahead[last])
+        for i, k, features, w in own:
+            expected = 0.0
+            for a in states:
+                share = math.exp(ahead[i][a] + step[a][k] + w + back[j][k] - total)
+                if share > 1e-9:
+                    out[f"{STATES[a]}>{STATES[k]}"] -= share
+                    expected += share
+            push = float((STATES[k], bounds[i], bounds[j]) in gold) - expected
             if abs(push) > 1e-6:
                 for f in features:
                     out[f] += push
@@ -225,7 +257,8 @@ def generated(rows: int = 400) -> list[tuple[str, set[tuple[str, int, int]]]]:
         "contact {email|abc [at] example [dot] org}", "email {email|a.b#(at)host(dot)com}", "server {ip|10.#.##.1##}", "ip {ip|192.168.#.##}",
         "on 20##-0#-1# it", "date 1#.0#.20##", "version #.##.#", "version 3##.4##.5##.6##", "order ########", "page ### of ####", "no 4###########9#",
         "from 19## - 20## and", "pi 3.########", "#### #### in ####", "at 1#:##:## 20##/1#/2#", "nr ###-##", "sum ###.###.###", "user@host", "1## 2## 3## 4## 5##",
-        "############", "#### ######## ####", "20##0###1#####")
+        "############", "#### ######## ####", "20##0###1#####", "tel {phone|0## ### ## ##} mail {email|ab#@ex-#.org}",
+        "call {phone|###-###-####} or {phone|###-###-####}", "from {ip|10.#.##.1##} to {ip|10.#.##.1##}", "{email|a.b#@ex.org}, {phone|(0##) ### ####}")
     rng = np.random.default_rng(11)
     out = []
     for k in range(rows):
@@ -240,11 +273,21 @@ def generated(rows: int = 400) -> list[tuple[str, set[tuple[str, int, int]]]]:
     return out
 
 
+def apart(spans_: set[tuple[str, int, int]]) -> set[tuple[str, int, int]]:
+    """Spans that do not overlap, as a segmentation has none that do: by start, the longer one first, then by kind."""
+    out, upto = set(), 0
+    for kind, s, e in sorted(spans_, key=lambda x: (x[1], -x[2], x[0])):
+        if s >= upto:
+            out.add((kind, s, e))
+            upto = e
+    return out
+
+
 def train(examples: list[tuple[str, set[tuple[str, int, int]]]]) -> Model:
     """Weights by stochastic gradient steps (Adagrad) with a quadratic penalty; examples are visited in a fixed order."""
     seen: dict[tuple, list] = {}
     for text, gold in examples:
-        found = candidates(text, 0, len(text))
+        found, gold = candidates(text, 0, len(text)), apart(gold)
         if found:
             form = tuple((s - found[0][0], e - found[0][0], k, f, (k, s, e) in gold) for s, e, k, f in found)
             seen.setdefault(form, [found, gold, 0])[2] += 1
@@ -281,7 +324,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
                 own |= {t[s:min(e, s + STRETCH_CHARS)] for s, e in stretches(t)}
         return pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], ["stretch"])
 
-    rows = common.in_batches(docs.select(common.text_or_empty(text)), work, "stretch string")
+    rows = common.in_slices(docs.select(common.text_or_empty(text)), work, "stretch string")
     hashed = F.xxhash64("stretch")
     drawn = rows.select(hashed.alias("h"), "stretch").distinct() \
         .orderBy("h", "stretch").limit(FIT_STRETCHES).collect()
@@ -316,7 +359,7 @@ def detect(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     rows = docs.select(docs[key].alias("key"), common.text_or_empty(text).alias("text"))
     kind = "array<struct<kind:string,s:int,e:int>>"
-    return common.in_batches(rows, work, f"key {dict(rows.dtypes)['key']}, base {kind}, found {kind}").withColumnRenamed("key", key)
+    return common.in_slices(rows, work, f"key {dict(rows.dtypes)['key']}, base {kind}, found {kind}").withColumnRenamed("key", key)
 
 
 def masked(text: str, found: list[tuple[str, int, int]]) -> str:

@@ -189,46 +189,67 @@ def test_field_finds_forms_that_the_patterns_leave_out(field):
         assert not sum(pii.find(text, field), [])
 
 
-def test_decoding_is_the_best_segmentation(field):
+def segmentations(found, upto=0, first=0):
+    """All sequences of candidates that do not overlap."""
+    yield ()
+    for k in range(first, len(found)):
+        if found[k][0] >= upto:
+            for rest in segmentations(found, found[k][1], k + 1):
+                yield (found[k], *rest)
+
+
+def total(model, chosen):
+    kinds = ["", *(k for _, _, k, _ in chosen)]
+    return sum(model.score(f) for *_, f in chosen) + sum(model.follows(a, b) for a, b in zip(kinds, kinds[1:]))
+
+
+def field_with_transitions(found, seed):
+    """Made-up weights of all features of the candidates, and of all kinds after one another."""
+    rng = random.Random(seed)
+    names = sorted({f for c in found for f in c[3]}) + [f"{a}>{b}" for a in pii.STATES for b in pii.KINDS]
+    return {f: rng.uniform(-1, 1) for f in names}
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2, 3])
+def test_decoding_is_the_best_segmentation(field, seed):
     """Against all sets of candidates that do not overlap."""
     text = "tel (030) 123-4567 10.1.2.3 4111 1111 1111 1111"
-    found = pii.candidates(text, 0, len(text))
-    short = found[:14]
-
-    def best(k, upto):
-        if k == len(order):
-            return 0.0
-        skip = best(k + 1, upto)
-        s, e, _, f = order[k]
-        return max(skip, field.score(f) + best(k + 1, e)) if s >= upto else skip
-
-    order = sorted(short, key=lambda x: x[:2])
-    chosen = pii.decode(short, field)
-    scores = {(k, s, e): field.score(f) for s, e, k, f in short}
-    assert sum(scores[c] for c in chosen) == pytest.approx(best(0, 0))
+    found = sorted(pii.candidates(text, 0, len(text))[:14], key=lambda x: x[:2])
+    model = field if seed is None else pii.Model(field_with_transitions(found, seed))
+    chosen = pii.decode(found, model)
+    own = [next(c for c in found if (c[2], c[0], c[1]) == x) for x in chosen]
+    assert total(model, own) == pytest.approx(max(total(model, s) for s in segmentations(found)))
     assert all(a[2] <= b[1] for a, b in zip(chosen, chosen[1:]))
 
 
-def test_gradient_is_the_slope_of_the_likelihood(field):
-    text = "tel (030) 123-4567 x"
-    found = pii.candidates(text, 0, len(text))
-    gold = {("phone", 4, 18)}
-    weights = {f: 0.1 * (i % 7 - 3) for i, f in enumerate(sorted({f for c in found for f in c[3]}))}
+def test_gradient_is_the_slope_of_the_likelihood():
+    text = "tel 123-4567 or 10.1.2.3 x"
+    found = sorted(pii.candidates(text, 0, len(text)), key=lambda x: x[:2])
+    gold = {("phone", 4, 12), ("ip", 16, 24)}
+    weights = field_with_transitions(found, 5)
+    own = [c for c in found if (c[2], c[0], c[1]) in gold]
+    ways = list(segmentations(found))
 
     def likelihood(w):
         model = pii.Model(w)
-        bounds = sorted({b for s, e, _, _ in found for b in (s, e)})
-        total = {bounds[0]: 1.0}
-        for a, b in zip(bounds, bounds[1:]):
-            total[b] = total[a] + sum(total[s] * np.exp(model.score(f)) for s, e, _, f in found if e == b)
-        return sum(model.score(f) for s, e, k, f in found if (k, s, e) in gold) - np.log(total[bounds[-1]])
+        return total(model, own) - np.log(sum(np.exp(total(model, s)) for s in ways))
 
+    assert len(own) == 2
     slope = pii._gradient(found, gold, pii.Model(weights))
-    for f in list(weights)[::5]:
+    for f in [*list(weights)[::5], ">phone", "phone>ip", "ip>phone", "phone>phone"]:
         up, down = ({**weights, f: weights[f] + d} for d in (1e-5, -1e-5))
         assert slope.get(f, 0.0) == pytest.approx((likelihood(up) - likelihood(down)) / 2e-5, abs=1e-4)
 
 
+def test_the_kind_before_decides_between_kinds_that_look_alike(field):
+    """The same segment is read as the kind that follows the one before it."""
+    found = [(0, 4, "phone", ("a",)), (5, 9, "phone", ("b",)), (5, 9, "card", ("b",)), (20, 24, "ip", ("c",))]
+    for after in ("phone", "card"):
+        model = pii.Model({"a": 1.0, "b": 0.1, "c": 1.0, f"phone>{after}": 0.5})
+        assert [k for k, *_ in pii.decode(found, model)][1] == after
+    assert any(">" in f for f in field.weights)
+
+
 def test_pii_masking_keeps_all_rows_and_columns(spark, field):
     docs = frame(spark, ["mail a@b.co now", None, "", "nothing", "mail a@b.co now"])
     out = rows_of(pii.mask(docs, field))
