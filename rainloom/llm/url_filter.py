@@ -20,7 +20,8 @@ GRAMS, BUCKETS = (3, 4, 5), 1 << 14
 #: Verdict of the model: block at this probability or above.
 BLOCK_AT = 0.5
 
-# Small labelled table: hosts and paths that are typical of unwanted pages, and of ordinary ones.
+# Small labelled table: hosts and paths that are typical of unwanted pages, and of ordinary ones.  Some ordinary ones hold
+# words that unwanted ones like (order, login, free, play).
 BLOCKED = tuple(
     "casino-win.com/en/1.html online-casino.net/slots best-casino-bonus.org/play poker-room.com/login poker-stars-win.net/de/7 "
     "cheap-pills.com/buy cheap-pills.net/en/22.html buy-viagra-online.com/ pharmacy-discount.net/pills pills-store.org/order "
@@ -30,8 +31,9 @@ BLOCKED = tuple(
     "lottery-winner.com/claim free-prize-win.net/claim lucky-slots.com/spin spin-win-casino.org/fr/9 bet-casino.example.com/de/4 "
     "seo-backlinks.net/buy cheap-traffic.com/seo spam-links.org/free click-here-now.com/free-offer malware-update.net/exe "
     "phishing-bank-login.com/verify secure-login-verify.net/account dating-hot-girls.com/chat escort-city.net/adult gamble-king.com/win "
-    "m.casino-royal.example.com/en/12 www.cheap-pills.example.net/fr/3.html blog.xxx-videos.example.com/es/5 "
-    "poker-win.example.net/de/7 www.casino-bonus.example.org/en/8 m.pills-shop.example.com/en/90.html win-loans.example.com/es/2".split())
+    "m.royal-casino-slots.com/spin www.discount-pills-order.net/buy blog.free-adult-videos.com/watch shop.replica-bags-cheap.com/buy "
+    "live.poker-bonus-win.net/play my.quick-payday-cash.org/apply promo.lottery-jackpot-win.com/claim get.free-keygen-crack.net/download "
+    "www.sexcams-online.org/live en.betting-odds-casino.com/bet login.bank-verify-secure.com/update buy.backlinks-seo-cheap.com/links".split())
 ORDINARY = tuple(
     "university.edu/research/paper news-daily.com/2020/article library.org/books/12 museum.org/en/exhibits science-journal.com/articles/7 "
     "blog.example.com/en/posts/3 weather.net/en/today city-council.org/services school.example.net/fr/classes hospital.org/health/info "
@@ -40,12 +42,17 @@ ORDINARY = tuple(
     "open-data.net/datasets maps.example.com/en/4 nature-park.org/trails local-paper.com/opinion/55.html tech-review.net/en/reviews/9 "
     "photo-club.org/gallery encyclopedia.com/fr/article dictionary.net/en/word forum.example.org/topic/81 support.example.com/help/2 "
     "railway.com/timetable bakery.net/bread cycling.org/en/tours cinema.com/films university-press.net/titles "
-    "m.example.com/es/77.html www.example.net/en/10 archive.org/en/records parliament.org/debates astronomy.net/stars "
-    "blog.garden.example.com/en/12 www.news.example.net/fr/3.html m.library.example.com/es/5 weather.example.net/de/7 "
-    "www.museum.example.org/en/8 recipes.example.com/en/90.html history.example.net/es/2 m.photo.example.net/en/25 "
-    "blog.cinema.example.net/fr/82 www.school.example.com/de/4 the.example.com/en/3.html thought.example.net/en/61 "
-    "m.theatre.example.com/fr/9 blog.weather.example.com/es/1 www.other.example.net/en/7 another.example.com/en/33.html "
-    "m.thing.example.net/en/5 blog.station.example.com/en/20 www.tradition.example.net/de/6 earth.example.com/es/14".split())
+    "archive.org/en/records parliament.org/debates astronomy.net/stars www.botany-society.org/journal/4 m.city-library.net/books/12 "
+    "blog.mountain-trails.com/posts/3 en.art-history.org/article/18 news.harbour-times.com/2019/economy docs.open-maps.org/guide/5 "
+    "www.primary-school.net/classes/music forum.woodworking.org/topic/81 support.printer-manuals.com/help/2 de.bird-watching.net/species "
+    "www.cooking-at-home.com/fr/soup events.town-hall.org/calendar data.river-levels.net/stations/9 shop.garden-seeds.com/order/beans "
+    "my.health-service.org/account/letters www.chess-academy.com/play/openings tickets.national-theatre.org/buy/seats "
+    "download.free-software.org/releases www.savings-bank.com/login insurance-advice.org/money/pensions sport-results.net/odds-and-ends".split())
+
+
+#: Subdomains and paths that say nothing.  Words of each class's hosts, put together anew, stand with them, so that they weigh
+#: alike in both classes and words weigh more than the hosts that hold them.
+NEUTRAL = tuple(zip("www. m. blog. www. m. en.".split(), "en/1.html fr/9 de/4 es/22.html en/45 index.html".split()))
 
 
 def host_of(url: Column) -> Column:
@@ -86,7 +93,14 @@ def grams(host: Column, path: Column) -> Column:
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The labelled table: ``host``, ``path``, ``label`` (1: unwanted)."""
-    rows = [(u.partition("/")[0], "/" + u.partition("/")[2], label) for label, urls in ((1.0, BLOCKED), (0.0, ORDINARY)) for u in urls]
+    rows = []
+    for label, urls in ((1.0, BLOCKED), (0.0, ORDINARY)):
+        words = [w for u in urls for w in u.partition("/")[0].rpartition(".")[0].replace(".", "-").split("-") if len(w) > 3]
+        for k, u in enumerate(urls):
+            host, _, path = u.partition("/")
+            before, neutral = NEUTRAL[k % len(NEUTRAL)]
+            other = f"{words[2 * k % len(words)]}-{words[(2 * k + 7) % len(words)]}.{('com', 'net', 'org')[k % 3]}"
+            rows += [(host, "/" + path, label), (before + other, "/" + neutral, label)]
     values = ", ".join(f"('{h}', '{p}', {y}D)" for h, p, y in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, label)")
 
