@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +82,28 @@ def test_hurdle_range_and_persistence(spark, frame, tmp_path):
         map(tuple, scored.select(*key).collect()))
 
 
+def test_hurdle_stages_are_fitted_at_once_and_alike(frame, monkeypatch):
+    table, names = frame
+    fit, both, key = learners.Pipeline.fit, threading.Barrier(2, timeout=60), ["station", "date", "p_wet", "pred"]
+
+    def scored():
+        model = learners.fit_hurdle(table.where("split <> 'test'"), names, validation="is_val", alpha=3.0, settings=QUICK)
+        return sorted(map(tuple, model.transform(table.where("split = 'test'")).select(*key).collect()))
+
+    with monkeypatch.context() as m:  # one after the other
+        m.setattr(learners, "ThreadPoolExecutor", lambda n: ThreadPoolExecutor(1))
+        alone = scored()
+    monkeypatch.setattr(learners.Pipeline, "fit", lambda self, rows: both.wait() is not None and fit(self, rows))
+    assert scored() == alone  # a stage that waits for the other's end breaks the barrier
+
+
+def test_a_stage_that_fails_is_named(frame):
+    table, names = frame
+    with pytest.raises(Exception, match="no_such_column"):
+        learners.fit_together((learners.regressor(["no_such_column"], "value", QUICK, 1), table),
+                              (learners.regressor(names[:2], "value", QUICK, 1), table))
+
+
 def test_horizons_and_model_store(spark, frame, tmp_path):
     table, names = frame
     models = learners.fit_horizons(table.where("split = 'train'"), names, (1, 7), QUICK,
